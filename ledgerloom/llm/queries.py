@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerloom.llm import dyadic_sketch, keep_cutoff, packing, splitter
-from ledgerloom.session import shared_folder, table
+from ledgerloom.llm import dyadic_sketch, keep_cutoff, leakage, packing, splitter, truncation
+from ledgerloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,4 +49,16 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(table(spark, folder, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_pieces, p5_daily, p5_span, p6_found, p6_containers, p6_fill)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "documents"))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_pieces, p5_daily, p5_span, p6_found, p6_containers, p6_fill, p7_found, p8_found, p8_rates)}
