@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import dyadic_sketch, forest, keep_cutoff, leakage, packing, splitter, truncation
+from ledgerloom.llm import dyadic_sketch, forest, keep_cutoff, leakage, packing, pii, splitter, truncation
 from ledgerloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitter.session_pieces(table(spark, folder, "sessions"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.session_kinds(table(spark, folder, "sessions"))
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted_sessions(table(spark, folder, "sessions"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return forest.similar_pairs(table(spark, folder, "chunk_vectors"))
 
@@ -70,4 +78,4 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_pieces, p4_found, p4_neighbors, p5_daily, p5_span, p6_found, p6_containers, p6_fill, p7_found, p8_found, p8_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_neighbors, p5_daily, p5_span, p6_found, p6_containers, p6_fill, p7_found, p8_found, p8_rates)}

@@ -207,9 +207,9 @@ def split_texts(texts: DataFrame, keys: list[str], text: str = "text", max_words
     return large.mapInPandas(run, schema)
 
 
-def current_marks(sessions: DataFrame) -> DataFrame:
+def current_marks(sessions: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
     """session_id, updated_at, _tie of the current rows: names the version without moving its text."""
-    narrow = sessions.select("session_id", "updated_at", F.xxhash64("text").alias("_tie"))
+    narrow = sessions.select("session_id", "updated_at", F.xxhash64(*fields).alias("_tie"))
     return current_rows(narrow, ["_tie"])
 
 
