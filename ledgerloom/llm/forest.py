@@ -169,7 +169,8 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: i
     """
     rows = usable(vectors).withColumn("id", F.xxhash64("model", "vec"))
     keys = rows.select("id", "model", "session_id", "ordinal").distinct()
-    classes = rows.groupBy("model", "id").agg(F.first("vec").alias("vec"))
+    # grouped by the key of the later joins, which then need no shuffle of the vectors of their own
+    classes = rows.groupBy("id").agg(F.first("model").alias("model"), F.first("vec").alias("vec"))
     counts = {r["model"]: (r["n"], r["dim"]) for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"), F.min(F.size("vec")).alias("low")).collect()}
     sample: dict[str, list] = {}
     for r in rows.orderBy(F.xxhash64("session_id", "ordinal")).limit(FIT_ROWS).select("model", "vec").collect():
