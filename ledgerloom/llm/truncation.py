@@ -260,7 +260,7 @@ def truncation_odds(documents: DataFrame) -> DataFrame:
 
     nodes = trie(counts.where(F.col("word").isNotNull()).select("word", "n"))
     after = counts.where(F.col("word").isNull()).select("h", "n", "ends")
-    rate = after.join(ends.select(F.col("h1").alias("h")).distinct(), "h", "left_semi").agg((F.sum("ends") / F.sum("n")).alias("rate"))
+    rate = after.join(ends.select(F.col("h1").alias("h")).distinct(), "h", "left_semi").agg((F.sum("ends") / F.sum("n")).alias("rate")).first()["rate"]  # one number
     facts = ends.join(nodes.withColumnRenamed("prefix", "last"), "last", "left")
     for k in range(1, ORDERS + 1):
         facts = facts.join(after.select(F.col("h").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("ends").alias(f"e{k}")), f"h{k}", "left")
@@ -270,7 +270,7 @@ def truncation_odds(documents: DataFrame) -> DataFrame:
     limits = field_limits(ends)
     hits = ends.join(limits, "source").where(F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes")).between(F.col("low"), F.col("high")))
     hits = hits.groupBy("doc_id").agg(F.max("exact").alias("at_limit"))
-    facts = facts.join(hits, "doc_id", "left").crossJoin(F.broadcast(rate))  # one row
+    facts = facts.join(hits, "doc_id", "left").withColumn("rate", F.lit(float(rate or 0.0)))
 
     p = F.col("rate")
     for k in range(1, ORDERS + 1):
