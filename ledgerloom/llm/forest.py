@@ -29,7 +29,7 @@ TREES = 8
 HASH_BITS = 63
 ASCEND = 64
 SLICE_ROWS = 16_384
-#: The mean and the slices' bounds are fitted on at most this many vectors, those with the least hash of their key.
+#: The mean and the slices' bounds are fitted on about this many vectors, drawn by a hash of their keys, and never more than twice as many.
 FIT_ROWS = 20_000
 #: What 8 bits a dimension may be off; candidates this far below the least cosine asked for are still scored.
 ROUGH = 0.012
@@ -173,7 +173,9 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: i
     classes = rows.groupBy("id").agg(F.first("model").alias("model"), F.first("vec").alias("vec"))
     counts = {r["model"]: (r["n"], r["dim"]) for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"), F.min(F.size("vec")).alias("low")).collect()}
     sample: dict[str, list] = {}
-    for r in rows.orderBy(F.xxhash64("session_id", "ordinal")).limit(FIT_ROWS).select("model", "vec").collect():
+    share = min(1_000_000, -(-FIT_ROWS * 1_000_000 // max(1, sum(n for n, _ in counts.values()))))
+    drawn = rows.where(F.pmod(F.xxhash64("session_id", "ordinal"), F.lit(1_000_000)) < share).select("model", "vec").distinct()
+    for r in drawn.limit(2 * FIT_ROWS).collect():
         sample.setdefault(r["model"], []).append(r["vec"])
     forests, first = {}, 0
     for model, (n, dim) in sorted(counts.items()):
@@ -187,8 +189,12 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: i
     else:
         found = candidates(plant(classes, forests), ascend, least, k + 3)
 
-    of = lambda name: classes.select(F.col("id").alias(name), F.col("vec").alias(f"vec_{name}"))
-    scored = found.join(of("id"), "id").join(of("other"), "other").select("id", "other", cosine(F.col("vec_id"), F.col("vec_other")).alias("cosine"))
+    # asking for the model too keeps all three readings of the classes alike, so that they share one shuffle
+    of = lambda name: classes.select(F.col("id").alias(name), F.col("model").alias(f"model_{name}"), F.col("vec").alias(f"vec_{name}"))
+    scored = found.join(of("id"), "id").join(of("other"), "other")
+    # equal models, said so that the planner doesn't take the model into the join's key, which would shuffle the vectors anew
+    scored = scored.where((F.col("model_id") <= F.col("model_other")) & (F.col("model_id") >= F.col("model_other")))
+    scored = scored.select("id", "other", cosine(F.col("vec_id"), F.col("vec_other")).alias("cosine"))
     if least is not None:
         scored = scored.where(F.col("cosine") >= least)
     both = scored.unionByName(scored.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine"))
