@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Outcomes, the one for anything else, and the lengths facets are cut to.
 OUTCOMES = ("fixed", "abandoned", "ongoing", "exploratory")
@@ -64,10 +65,10 @@ def parse_answer(answer: str | None) -> tuple[dict | None, str | None]:
         return None, str(why)
 
 
-FACETS = "topic string, outcome string, summary string, " + ", ".join(f"{name} array<string>" for name in LISTS)
+FACETS = T.StructType([T.StructField(name, T.StringType()) for name in ("topic", "outcome", "summary")] + [T.StructField(name, T.ArrayType(T.StringType())) for name in LISTS] + [T.StructField("failure", T.StringType())])
 
 
-@F.pandas_udf(f"{FACETS}, failure string")
+@F.pandas_udf(FACETS)
 def parse_facets(answers: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """STRUCT of the facets and ``failure``, null where there are facets."""
     for batch in answers:

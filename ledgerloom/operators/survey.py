@@ -13,15 +13,15 @@ CLASSES = ("human", "subagent", "tool-invoked")
 TARGET = 85.0
 
 
-def nearest_rank(column: str | Column, percent: float) -> Column:
-    """The value at rank ceil(percent/100 * n) of the values in order."""
-    name = column if isinstance(column, str) else column
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {name})")
+def nearest_rank(column: str, percent: float, kind: str | None = None) -> Column:
+    """The value at rank ceil(percent/100 * n) of the values in order; ``kind`` is the column's type."""
+    rank = F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY `{column}`)")
+    return rank.cast(kind) if kind else rank
 
 
 def summarize(rows: DataFrame, column: str, group: list[str] = []) -> DataFrame:
     """group..., count, total, min, p10 ... p99, max, mean; no rows at all: count 0, total 0 and the rest null."""
-    ranks = [nearest_rank(column, p).alias("median" if p == 50 else f"p{p}") for p in PERCENTILES]
+    ranks = [nearest_rank(column, p, dict(rows.dtypes)[column]).alias("median" if p == 50 else f"p{p}") for p in PERCENTILES]
     measures = [F.count(column).alias("count"), F.coalesce(F.sum(column), F.lit(0)).alias("total"), F.min(column).alias("min"), *ranks, F.max(column).alias("max"), F.round(F.avg(column), 3).alias("mean")]
     return (rows.groupBy(*group) if group else rows.groupBy()).agg(*measures)
 
@@ -86,13 +86,13 @@ def projects(rows: DataFrame, top: int = 5) -> DataFrame:
 def folder_structure(rows: DataFrame) -> DataFrame:
     """One row: folders, and their least, median and greatest depth."""
     depths = rows.where(F.col("cwd").isNotNull()).select("cwd").distinct().select(path_depth("cwd").alias("depth"))
-    return depths.agg(F.count("depth").alias("folders"), F.min("depth").alias("least"), nearest_rank("depth", 50).alias("median"), F.max("depth").alias("greatest"))
+    return depths.agg(F.count("depth").alias("folders"), F.min("depth").alias("least"), nearest_rank("depth", 50, "int").alias("median"), F.max("depth").alias("greatest"))
 
 
 def monthly_medians(rows: DataFrame, measure: str, current_month: str) -> DataFrame:
     """month, median of the complete months before ``current_month``."""
     dated = rows.withColumn("month", F.date_format(moment("started_at"), "yyyy-MM")).where((F.col("month") < current_month) & F.col(measure).isNotNull())
-    return dated.groupBy("month").agg(nearest_rank(measure, 50).alias("median"), F.count(F.lit(1)).alias("sessions"))
+    return dated.groupBy("month").agg(nearest_rank(measure, 50, dict(rows.dtypes)[measure]).alias("median"), F.count(F.lit(1)).alias("sessions"))
 
 
 def chunk_totals(rows: DataFrame, words: str = "words") -> DataFrame:

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgerloom.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from ledgerloom.plans import analytics, archive, retrieval  # noqa: F401  (they register their queries)
+from ledgerloom.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return retrieval.search_all_words(spark, folder)

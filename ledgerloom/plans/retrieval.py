@@ -1,0 +1,284 @@
+"""Queries that search: chunks, full text, vectors, fusion, and the text functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import redaction
+from ledgerloom.functions.facets import listed, parse_facets
+from ledgerloom.functions.text import comparable_path, model_name, path_depth, path_tag, provenance, safe_label, shard_of, word_count
+from ledgerloom.operators import chunks, search, vectors
+from ledgerloom.operators.current import current_rows, label
+from ledgerloom.operators.filters import Filters, apply
+from ledgerloom.plans.registry import CUR, WS, query
+from ledgerloom.session import table
+
+WORDS = f"list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '')"
+CHUNKS = f"""
+split AS (SELECT doc_id::VARCHAR AS session_id, captured_at AS started_at, {WORDS} AS w FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT *, CASE WHEN len(w) <= 0 THEN 0 WHEN len(w) <= 400 THEN 1 ELSE 1 + ceil((len(w) - 400) / 320.0) END::INT AS n FROM split),
+chunk AS (SELECT session_id, started_at, o::INT AS ordinal, array_to_string(w[o * 320 + 1 : o * 320 + 400], ' ') AS body FROM (SELECT *, unnest(range(n)) AS o FROM counted WHERE n > 0)),
+tok AS (SELECT session_id, ordinal, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS t FROM chunk),
+stats AS (SELECT count(*) AS chunks, avg(len(t)) AS average FROM tok)"""
+
+
+def bm25(leaves: dict[str, str], holds: str, silent: dict[str, str] = {}) -> str:
+    """Oracle SQL of one search leg: ``leaves`` gives each scoring leaf's frequency over ``t``, ``holds`` the condition over them."""
+    freqs = ", ".join(f"({sql}) AS {name}" for name, sql in {**leaves, **silent}.items())
+    counts = ", ".join(f"count_if({name} > 0) AS n_{name}" for name in leaves)
+    idf = lambda n: f"(CASE WHEN ln((chunks - {n} + 0.5) / ({n} + 0.5)) > 0 THEN ln((chunks - {n} + 0.5) / ({n} + 0.5)) ELSE 1e-6 END)"
+    score = " ".join(f"- {idf('n_' + name)} * {name} * 2.2 / ({name} + 1.2 * (0.25 + 0.75 * dl / average))" for name in leaves)
+    return f"""freq AS (SELECT session_id, ordinal, len(t) AS dl, {freqs} FROM tok),
+df AS (SELECT {counts} FROM freq),
+hit AS (SELECT session_id, ordinal, 0 {score} AS score FROM freq, df, stats WHERE {holds}),
+best AS (SELECT session_id, arg_min(ordinal, (score, ordinal)) AS ordinal, min(score) AS score, count(*) AS chunk_hits FROM hit GROUP BY session_id),
+leg AS (SELECT b.*, d.started_at FROM best b JOIN (SELECT DISTINCT session_id, started_at FROM chunk) d USING (session_id) ORDER BY score, started_at DESC NULLS LAST, session_id LIMIT 20)"""
+
+
+def term(word: str) -> str:
+    return f"len(list_filter(t, lambda x: x = '{word}'))"
+
+
+RESULT = "SELECT session_id, ordinal, chunk_hits, round(score, 6) AS score FROM leg"
+
+
+def document_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as sessions: their chunks, and (session_id, started_at)."""
+    documents = table(spark, folder, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("session_id"), F.col("captured_at").alias("started_at"), "text")
+    return chunks.chunk(documents, ["session_id"]), documents.select("session_id", "started_at")
+
+
+def found(spark: SparkSession, folder: str, raw: str, expand: bool = False) -> DataFrame:
+    cut, documents = document_chunks(spark, folder)
+    hits = search.search(search.build_index(cut, stems=False), documents, raw, 20, expand)
+    return hits.select("session_id", "ordinal", "chunk_hits", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CHUNKS}, {bm25({'a': term('rate'), 'b': term('limiter')}, 'a > 0 AND b > 0')} {RESULT}")
+def search_all_words(spark: SparkSession, folder: str) -> DataFrame:
+    return found(spark, folder, "rate limiter")
+
+
+@query(f"WITH {CHUNKS}, {bm25({'a': term('stemmer'), 'b': term('histogram'), 'c': term('banner')}, 'a > 0 OR b > 0 OR c > 0')} {RESULT}")
+def search_any_word(spark: SparkSession, folder: str) -> DataFrame:
+    return found(spark, folder, "stemmer OR histogram OR banner")
+
+
+PHRASE = "len(list_filter(range(1, len(t)), lambda i: t[i] = 'nightly' AND t[i + 1] = 'run'))"
+
+
+@query(f"WITH {CHUNKS}, {bm25({'a': PHRASE}, 'a > 0')} {RESULT}")
+def search_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    return found(spark, folder, '"nightly run"')
+
+
+@query(f"WITH {CHUNKS}, {bm25({'a': 'len(list_filter(t, lambda x: starts_with(x, ' + chr(39) + 'redact' + chr(39) + ')))'}, 'a > 0')} {RESULT}")
+def search_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    return found(spark, folder, "redact*")
+
+
+@query(f"WITH {CHUNKS}, {bm25({'a': term('watcher')}, 'a > 0 AND z = 0', {'z': term('thread')})} {RESULT}")
+def search_without_word(spark: SparkSession, folder: str) -> DataFrame:
+    return found(spark, folder, "watcher NOT thread")
+
+
+THREE = {"a": term("quarry"), "b": term("sundial"), "c": term("crash")}
+#: The second leg of a widened search, with names of its own.
+WIDER = bm25(THREE, "a > 0 OR b > 0 OR c > 0")
+for _name in ("freq", "df", "hit", "best", "leg"):
+    WIDER = WIDER.replace(f"{_name} AS (", f"{_name}2 AS (").replace(f"FROM {_name} ", f"FROM {_name}2 ").replace(f"FROM {_name},", f"FROM {_name}2,").replace(f" {_name},", f" {_name}2,").replace(f"FROM {_name})", f"FROM {_name}2)")
+WIDER = WIDER.replace("USING (session_id) ORDER BY", "USING (session_id) WHERE session_id NOT IN (SELECT session_id FROM leg) ORDER BY")
+
+
+@query(f"""WITH {CHUNKS}, {bm25(THREE, "a > 0 AND b > 0 AND c > 0")}, {WIDER}
+SELECT session_id, ordinal, chunk_hits, round(score, 6) AS score FROM (SELECT * FROM leg UNION ALL SELECT * FROM leg2) ORDER BY score, started_at DESC NULLS LAST, session_id LIMIT 20""")
+def search_widened(spark: SparkSession, folder: str) -> DataFrame:
+    """A query few sessions match, filled up by an OR of its words."""
+    return found(spark, folder, "quarry sundial crash", expand=True)
+
+
+@query(f"""WITH {CUR}, t AS (SELECT session_id, text FROM cur WHERE coalesce(p, '') <> 'tool-invoked' AND text IS NOT NULL),
+w AS (SELECT session_id, {WORDS} AS w FROM t), n AS (SELECT session_id, w, CASE WHEN len(w) <= 0 THEN 0 WHEN len(w) <= 400 THEN 1 ELSE 1 + ceil((len(w) - 400) / 320.0) END::INT AS n FROM w)
+SELECT session_id, o::INT AS ordinal, md5(array_to_string(w[o * 320 + 1 : o * 320 + 400], ' ')) AS body FROM (SELECT *, unnest(range(n)) AS o FROM n WHERE n > 0)""")
+def chunk_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The windows of every conversation's prose, as digests."""
+    rows = apply(current_rows(table(spark, folder, "sessions"), ["words", "text", "provenance"]), Filters())
+    return chunks.chunk(rows, ["session_id"]).select("session_id", "ordinal", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query(f"""WITH {CUR} SELECT session_id, len({WORDS})::INT AS counted,
+  CASE WHEN counted <= 0 THEN 0 WHEN counted <= 400 THEN 1 ELSE 1 + ceil((counted - 400) / 320.0) END::INT AS chunks,
+  CASE WHEN counted <= 0 THEN 0 WHEN counted <= 12000 THEN 1 ELSE ceil(counted / 11600.0) END::INT AS calls FROM cur WHERE text IS NOT NULL""")
+def window_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = current_rows(table(spark, folder, "sessions"), ["words", "text"]).where(F.col("text").isNotNull())
+    counted = rows.select("session_id", word_count("text").alias("counted"))
+    return counted.select("session_id", "counted", chunks.chunk_count(F.col("counted")).alias("chunks"), chunks.enrich_count(F.col("counted")).alias("calls"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query, o.vec_id AS other, round(list_cosine_similarity(q.embedding::DOUBLE[], o.embedding::DOUBLE[]), 12) AS cosine FROM v q JOIN v o ON q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query, other, round(cosine, 6) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, other) AS rank FROM s) WHERE rank <= 10""")
+def vector_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar vectors of all for every query: those whose id is divisible by 100."""
+    rows = table(spark, folder, "embeddings")
+    top = vectors.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), 10, "vec_id", "embedding")
+    return top.select("query", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+SOUND = "vec IS NOT NULL AND len(vec) = dim AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0"
+ASKED = [0.125 if k % 2 else -0.125 for k in range(64)]
+
+
+@query(f"""
+WITH v AS (SELECT session_id, ordinal, list_cosine_similarity(vec::DOUBLE[], {ASKED}::DOUBLE[]) AS c FROM chunk_vectors WHERE model = 'kite-embed-64' AND dim = 64 AND {SOUND})
+SELECT session_id, round(max(c), 6) AS cosine FROM v GROUP BY session_id ORDER BY max(c) DESC, session_id LIMIT 30""")
+def vector_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions by their chunk most similar to a given vector."""
+    best = vectors.rank_sessions(table(spark, folder, "chunk_vectors"), ASKED, 30, "kite-embed-64")
+    return best.select("session_id", F.round("cosine", 6).alias("cosine"))
+
+
+MEANS = f"""
+v AS (SELECT DISTINCT ON (model, session_id, ordinal) model, session_id, ordinal, vec FROM chunk_vectors WHERE {SOUND}),
+x AS (SELECT model, session_id, unnest(vec::DOUBLE[]) AS x, unnest(range(len(vec))) AS i FROM v),
+a AS (SELECT model, session_id, i, avg(x) AS x FROM x GROUP BY ALL),
+m AS (SELECT model, session_id, list(x ORDER BY i) AS vec FROM a GROUP BY ALL)"""
+
+
+@query(f"WITH {MEANS} SELECT model, session_id, len(vec)::INT AS dim, round(vec[1] / sqrt(list_dot_product(vec, vec)), 6) AS first FROM m")
+def session_mean_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    means = vectors.session_means(table(spark, folder, "chunk_vectors"))
+    return means.select("model", "session_id", F.size("vec").alias("dim"), F.round(F.col("vec")[0], 6).alias("first"))
+
+
+@query(f"""
+WITH {MEANS}, own AS (SELECT session_id, vec FROM m WHERE model = 'kite-embed-64' AND session_id = (SELECT min(session_id) FROM m WHERE model = 'kite-embed-64'))
+SELECT o.session_id, round(list_cosine_similarity(o.vec, own.vec), 6) AS cosine FROM m o, own WHERE o.model = 'kite-embed-64' AND o.session_id <> own.session_id ORDER BY list_cosine_similarity(o.vec, own.vec) DESC, 1 LIMIT 10""")
+def correlated_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "chunk_vectors")
+    first = vectors.sound(rows.where("model = 'kite-embed-64'")).agg(F.min("session_id")).first()[0]
+    near = vectors.correlate(rows, first or "", "kite-embed-64", 10)
+    return near.select("session_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"""
+WITH {CUR}, {MEANS}, r AS (SELECT m.session_id, lower(c.repo) AS repo, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM m JOIN cur c USING (session_id) WHERE m.model = 'kite-embed-64' AND c.cwd IS NOT NULL),
+rx AS (SELECT unnest(vec) AS x, unnest(range(len(vec))) AS i FROM r WHERE repo = 'lantern'), centre AS (SELECT list(x ORDER BY i) AS vec FROM (SELECT i, avg(x) AS x FROM rx GROUP BY i))
+SELECT session_id, repo, round(list_cosine_similarity(r.vec, centre.vec), 3) AS cosine FROM r, centre WHERE repo <> 'lantern' AND list_cosine_similarity(r.vec, centre.vec) >= 0.5 ORDER BY list_cosine_similarity(r.vec, centre.vec) DESC, session_id LIMIT 10""")
+def related_elsewhere(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerloom.functions.text import basename
+
+    repos = current_rows(table(spark, folder, "sessions"), ["cwd"]).where(F.col("cwd").isNotNull()).select("session_id", F.lower(basename("cwd")).alias("repo"))
+    return vectors.related_elsewhere(table(spark, folder, "chunk_vectors"), repos, "lantern", "kite-embed-64", 0.5, 10)
+
+
+@query("SELECT model, dim, count(DISTINCT (session_id, ordinal)) AS vectors FROM chunk_vectors GROUP BY model, dim")
+def models_present(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.models_present(table(spark, folder, "chunk_vectors"))
+
+
+@query(f"SELECT model, count(*) AS rows, count_if(NOT coalesce({SOUND}, false)) AS unusable FROM chunk_vectors GROUP BY model")
+def unusable_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "chunk_vectors")
+    every = rows.groupBy("model").agg(F.count(F.lit(1)).alias("rows"))
+    fine = vectors.sound(rows).groupBy("model").agg(F.count(F.lit(1)).alias("_fine"))
+    return every.join(fine, "model", "left").select("model", "rows", (F.col("rows") - F.coalesce("_fine", F.lit(0))).alias("unusable"))
+
+
+PENDING = f"""
+WITH {CUR}, n AS (SELECT session_id, len({WORDS}) AS k FROM cur WHERE text IS NOT NULL),
+c AS (SELECT session_id, unnest(range(CASE WHEN k <= 0 THEN 0 WHEN k <= 400 THEN 1 ELSE 1 + ceil((k - 400) / 320.0) END::INT))::INT AS ordinal FROM n)"""
+
+
+@query(f"{PENDING} SELECT c.* FROM c ANTI JOIN (SELECT * FROM chunk_vectors WHERE model = 'plover-mini-48') v ON v.session_id = c.session_id AND v.ordinal = c.ordinal")
+def pending_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that have no vector of a model yet."""
+    rows = current_rows(table(spark, folder, "sessions"), ["words", "text"])
+    return vectors.pending(chunks.chunk(rows, ["session_id"]).select("session_id", "ordinal"), table(spark, folder, "chunk_vectors"), "plover-mini-48")
+
+
+@query(f"{PENDING.replace('k <= 400', 'k <= 800').replace('(k - 400) / 320.0', '(k - 800) / 640.0')} SELECT v.model, count(*) AS stale FROM chunk_vectors v ANTI JOIN c ON v.session_id = c.session_id AND v.ordinal = c.ordinal GROUP BY v.model")
+def stale_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors whose chunk is gone after cutting all prose anew into windows of twice the size."""
+    rows = current_rows(table(spark, folder, "sessions"), ["words", "text"])
+    left = vectors.stale(chunks.chunk(rows, ["session_id"], window=800, stride=640), table(spark, folder, "chunk_vectors"))
+    return left.groupBy("model").agg(F.count(F.lit(1)).alias("stale"))
+
+
+@query(f"""
+WITH {CUR}, a AS (SELECT session_id AS id, row_number() OVER (ORDER BY words DESC NULLS LAST, session_id) AS rank FROM cur ORDER BY words DESC NULLS LAST, session_id LIMIT 50),
+b AS (SELECT session_id AS id, row_number() OVER (ORDER BY start_us DESC NULLS LAST, session_id) AS rank FROM cur ORDER BY start_us DESC NULLS LAST, session_id LIMIT 50)
+SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY sum(1.0 / (60 + rank)) DESC, id LIMIT 40""")
+def rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest and the newest sessions fused by reciprocal rank."""
+    from ledgerloom.functions.text import moment
+
+    rows = current_rows(table(spark, folder, "sessions"), ["words", "started_at"])
+    longest = search.ranked(rows.select(F.col("session_id").alias("id"), "words"), F.desc_nulls_last("words"), F.col("id"), limit=50)
+    newest = search.ranked(rows.select(F.col("session_id").alias("id"), moment("started_at").alias("_m")), F.desc_nulls_last("_m"), F.col("id"), limit=50)
+    return search.fuse([longest, newest], limit=40).select("id", F.round("score", 9).alias("score"))
+
+
+@query(f"""
+WITH {CUR} SELECT session_id, CASE WHEN trim(model) = '' OR model IS NULL THEN NULL ELSE trim(model) END AS model,
+  CASE WHEN cwd IS NULL THEN NULL ELSE substr(sha256('salt' || chr(0) || rtrim(cwd, '/')), 1, 8) END AS tag,
+  len(list_filter(string_split(cwd, '/'), lambda x: x <> '' AND x <> '.'))::INT AS depth,
+  (('0x' || substr(sha256(session_id), 1, 16))::UBIGINT % 7)::INT AS shard FROM cur""")
+def session_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain model names, salted folder tags, folder depth and shard of each session."""
+    rows = current_rows(table(spark, folder, "sessions"), ["model", "cwd"])
+    return rows.select("session_id", model_name("model").alias("model"), path_tag("cwd", "salt").alias("tag"), path_depth("cwd").alias("depth"), shard_of("session_id", 7).alias("shard"))
+
+
+@query(rf"""
+WITH {CUR}, f AS (SELECT session_id, trim(regexp_replace(regexp_replace(coalesce(title, ''), '[\x00-\x08\x0b-\x1f\x7f-\x{{9f}}]|[\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{2066}}-\x{{2069}}\x{{feff}}]', '', 'g'), '{WS}', ' ', 'g')) AS l FROM cur)
+SELECT session_id, CASE WHEN length(l) > 30 THEN rtrim(substr(l, 1, 29)) || '…' ELSE l END AS label FROM f""")
+def title_labels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = current_rows(table(spark, folder, "sessions"), ["title"])
+    return rows.select("session_id", safe_label("title", 30).alias("label"))
+
+
+@query("""SELECT DISTINCT path, lower(CASE WHEN length(path) > 1 AND ends_with(path, '/') THEN left(path, -1) ELSE path END) AS compared FROM session_files""")
+def compared_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "session_files").select("path").distinct().select("path", comparable_path("path").alias("compared"))
+
+
+def redacted_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets found in the documents by rule; the assignment rule decides match by match, which SQL can't."""
+    rows = table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", redaction.redacted("text").alias("_r"))
+    return rows.select(F.explode("_r.counts").alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("secrets"))
+
+
+query()(redacted_secrets)
+
+
+@query(f"""
+WITH {CUR} SELECT session_id, CASE
+  WHEN s LIKE '%agent%' OR parent_id IS NOT NULL THEN 'subagent'
+  WHEN contains(coalesce(cwd, ''), '/.cache/') OR contains(coalesce(cwd, ''), '/.local/state/') OR contains(coalesce(cwd, ''), '/Library/Caches/') OR contains(coalesce(cwd, ''), '/.thlibo/') OR coalesce(user_turns = 0, false) OR coalesce(user_turns <= 1 AND duration_s < 2.0, false) THEN 'tool-invoked'
+  ELSE 'human' END AS class FROM cur""")
+def provenance_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Who held each session, told anew by its structure."""
+    rows = current_rows(table(spark, folder, "sessions"), ["source", "parent_id", "cwd", "user_turns", "duration_s"])
+    subagent = label("source").contains("agent") | F.col("parent_id").isNotNull()
+    return rows.select("session_id", provenance(subagent, F.lit(None).cast("string"), F.col("cwd"), F.col("user_turns"), F.col("duration_s")).alias("class"))
+
+
+@query(f"""WITH {CUR} SELECT session_id, unnest(from_json(json_extract(facets_json, '$.decisions'), '["VARCHAR"]')) AS decision FROM cur WHERE facets_json IS NOT NULL AND json_valid(facets_json)""")
+def decisions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = current_rows(table(spark, folder, "sessions"), ["facets_json"])
+    return rows.select("session_id", F.explode(listed("facets_json", "decisions")).alias("decision"))
+
+
+def checked_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Facets documents with a topic and outcome put in, checked as a model's answer would be."""
+    rows = current_rows(table(spark, folder, "sessions"), ["topic", "outcome", "facets_json"]).where(F.col("facets_json").isNotNull())
+    answer = F.concat(F.lit('{"topic": '), F.coalesce(F.to_json(F.array("topic")), F.lit("[]")), F.lit(', "outcome": "'), F.coalesce("outcome", F.lit("")), F.lit('"}'))
+    good = F.concat(F.lit('```json\n{"topic": "'), F.coalesce("topic", F.lit("")), F.lit('", "outcome": "'), F.coalesce("outcome", F.lit("none")), F.lit('", '), F.expr("substring(facets_json, 2)"), F.lit("\n```"))
+    checked = rows.select("session_id", parse_facets(F.when(F.col("outcome").isNull(), answer).otherwise(good)).alias("_f"))
+    return checked.select("session_id", "_f.topic", "_f.outcome", F.size("_f.decisions").alias("decisions"), "_f.failure")
+
+
+query()(checked_answers)
