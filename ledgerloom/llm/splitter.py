@@ -114,7 +114,10 @@ def cut_places(chars: np.ndarray, max_words: int = MAX_WORDS, max_chars: int = M
         start = np.where(too_long, np.minimum(later, b), start)
     start[0] = 0
     # the farthest place within both limits
-    by_words = counts[start] + max_words
+    # a piece that starts inside a word holds the rest of it as a word of its own
+    at_start = np.minimum(start, n - 1)
+    inside_word = (counts[np.minimum(start + 1, n)] == counts[start]) & ~np.isin(chars[at_start], SPACES)
+    by_words = counts[start] + max_words - inside_word
     word_end = np.where(by_words < len(index), index[np.minimum(by_words, max(len(index) - 1, 0))] if len(index) else n, n)
     far = np.minimum(start + max_chars, np.maximum(word_end, 0))
     far = np.minimum(far, n)

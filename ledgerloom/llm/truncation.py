@@ -198,7 +198,8 @@ def corpus_counts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
                     tokens = Tokens()
         if totals:
             yield ends()
-        yield words()
+        if seen:
+            yield words()
 
     texts = documents.where(F.length("text") > 0).select("text")
     found = texts.mapInPandas(run, "word string, h long, n long, ends long")
