@@ -31,7 +31,8 @@ def upsert(archive: DataFrame, incoming: DataFrame, key: str = "session_id", fac
     extra = [c for c in incoming.columns if c in archive.columns and c != key]
     new = incoming.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in extra], F.lit(True).alias("_there"))
     kinds = dict(archive.dtypes)
-    merged = archive.join(new, key, "full_outer")
+    # a left join, so that a small batch is broadcast and the archive's prose stays where it is
+    merged = archive.join(new, key, "left")
     columns = []
     for c in archive.columns:
         if c == key or c not in extra:
@@ -41,7 +42,9 @@ def upsert(archive: DataFrame, incoming: DataFrame, key: str = "session_id", fac
         else:
             keep = blank(F.col(f"_new_{c}"), kinds[c]) & ~blank(F.col(c), kinds[c])
             columns.append(F.when(F.col("_there").isNull() | keep, F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c))
-    return merged.select(*columns)
+    added = incoming.join(archive.select(key), key, "left_anti")
+    added = added.select(*[F.col(c).cast(kinds[c]).alias(c) if c in incoming.columns else F.lit(None).cast(kinds[c]).alias(c) for c in archive.columns])
+    return merged.select(*columns).unionByName(added)
 
 
 def disposition(archive: DataFrame, incoming: DataFrame, key: str = "session_id", version: str = "ended_at") -> DataFrame:
@@ -81,11 +84,17 @@ def prune(sessions: DataFrame, chunks: DataFrame, vectors: DataFrame, kind: str
 
 
 def digest(rows: DataFrame, kind: str, key: str, version: str, group: list[str] = []) -> DataFrame:
-    """group..., digest: ``items-sha256:`` over the kind and the sorted lines "key<tab>version" of the group."""
+    """group..., digest: ``items-sha256:`` over the kind and the lines "key<tab>version" of the group, in whatever order they come.
+
+    Two levels, so that no task ever holds all lines of a group: the lines' own hashes are sorted
+    and hashed within 4,096 buckets by their first digits, and the buckets' hashes in order.
+    """
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
     line = F.concat_ws("\t", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(version).cast("string"), F.lit("")))
-    lines = rows.select(*group, line.alias("_line"))
-    joined = F.concat(F.lit(kind + "\n"), F.array_join(F.sort_array(F.collect_list("_line")), "\n"))
-    return (lines.groupBy(*group) if group else lines.groupBy()).agg(F.concat(F.lit("items-sha256:"), F.sha2(joined.cast("binary"), 256)).alias("digest"))
+    lines = rows.select(*group, sha(line).alias("_line")).withColumn("_bucket", F.substr("_line", F.lit(1), F.lit(3)))
+    buckets = lines.groupBy(*group, "_bucket").agg(sha(F.array_join(F.sort_array(F.collect_list("_line")), "\n")).alias("_hash"))
+    joined = F.concat(F.lit(kind + "\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_bucket", "_hash"))), lambda b: b["_hash"]), "\n"))
+    return (buckets.groupBy(*group) if group else buckets.groupBy()).agg(F.concat(F.lit("items-sha256:"), sha(joined)).alias("digest"))
 
 
 def unsafe_to_delete(items: DataFrame, receipts: DataFrame, key: str = "item_id") -> DataFrame:

@@ -134,6 +134,19 @@ def build_index(chunks: DataFrame, stems: bool = True, keys: list[str] = KEYS) -
     return Index(postings, lengths, stats["n"], stats["average"] or 0.0, stems)
 
 
+def write_index(index: Index, folder: str) -> None:
+    """Keeps an index: postings in order of their terms, so that a query's reading skips all files and row groups without its terms."""
+    spark = index.postings.sparkSession
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    spark.createDataFrame([(index.chunks, index.average, index.stems)], "chunks long, average double, stems boolean").coalesce(1).write.mode("overwrite").json(f"{folder}/statistics")
+
+
+def read_index(spark, folder: str) -> Index:
+    stats = spark.read.schema("chunks long, average double, stems boolean").json(f"{folder}/statistics").first()
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), stats["chunks"], stats["average"], stats["stems"])
+
+
 def matches(index: Index, tree: object, keys: list[str] = KEYS) -> DataFrame:
     """keys..., score (lower is better) of the chunks the tree holds for.
 

@@ -80,12 +80,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str, vec: str, ex
                 keys = batch["_key"].to_numpy()
                 sims = np.round(matrix @ theirs.T, 12)
                 n = min(k + 1, len(keys))
-                for q, name in enumerate(names):
-                    line = sims[q]
-                    floor = np.partition(line, len(keys) - n)[len(keys) - n]
-                    at = np.flatnonzero(line >= floor)
-                    at = at[np.lexsort((keys[at], -line[at]))][:n]
-                    yield pd.DataFrame({"query": name, "other": keys[at], "cosine": line[at]})
+                floor = np.partition(sims, len(keys) - n, axis=1)[:, len(keys) - n]
+                q, at = np.nonzero(sims >= floor[:, None])
+                order = np.lexsort((keys[at], -sims[q, at], q))
+                q, at = q[order], at[order]
+                first = np.searchsorted(q, q)  # where each query's candidates begin
+                best = np.arange(len(q)) - first < n
+                q, at = q[best], at[best]
+                yield pd.DataFrame({"query": np.array(names)[q], "other": keys[at], "cosine": sims[q, at]})
 
         part = rows.mapInPandas(run, f"query {key_type}, other {key_type}, cosine double")
         found = part if found is None else found.unionByName(part)

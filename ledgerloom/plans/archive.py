@@ -127,7 +127,9 @@ def prune_tool_invoked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-WITH {CUR} SELECT s AS source, 'items-sha256:' || sha256('sessions' || chr(10) || string_agg(session_id || chr(9) || coalesce(ended_at, ''), chr(10) ORDER BY session_id || chr(9) || coalesce(ended_at, ''))) AS digest FROM cur GROUP BY s""")
+WITH {CUR}, l AS (SELECT s AS source, sha256(session_id || chr(9) || coalesce(ended_at, '')) AS line FROM cur),
+b AS (SELECT source, substr(line, 1, 3) AS bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS hash FROM l GROUP BY ALL)
+SELECT source, 'items-sha256:' || sha256('sessions' || chr(10) || string_agg(hash, chr(10) ORDER BY bucket)) AS digest FROM b GROUP BY source""")
 def digest_by_source(spark: SparkSession, folder: str) -> DataFrame:
     rows = current(spark, folder).withColumn("source", label("source"))
     return archive.digest(rows, "sessions", "session_id", "ended_at", ["source"])

@@ -62,6 +62,14 @@ def test_phrase(spark):
     assert values(search.matches(index, search.parse('"nightly run"')), "session_id") == ["1"]
 
 
+def test_kept_index_finds_the_same(spark, tmp_path):
+    index = search.build_index(spark.createDataFrame([(str(i), 0, f"common word{i % 7} tail") for i in range(50)], "session_id string, ordinal int, body string"))
+    search.write_index(index, str(tmp_path / "index"))
+    kept = search.read_index(spark, str(tmp_path / "index"))
+    tree = search.parse("common word3")
+    assert sorted(map(tuple, search.matches(kept, tree).collect())) == sorted(map(tuple, search.matches(index, tree).collect()))
+
+
 @pytest.mark.parametrize("raw", ["", "   ", "AND", "*", None, "NEAR/10 OR", '""', "a OR"])
 def test_queries_that_say_nothing(spark, raw):
     index = search.build_index(spark.createDataFrame([("1", 0, "a b")], "session_id string, ordinal int, body string"))
