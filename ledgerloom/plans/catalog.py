@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import analytics, archive, retrieval  # noqa: F401  (they register their queries)
+from ledgerloom.plans import analytics, archive, ingest, retrieval  # noqa: F401  (they register their queries)
 from ledgerloom.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 
