@@ -43,12 +43,14 @@ CLOSING_SHARE = 0.002
 AT_LIMIT, IN_BAND, BROKEN, OPEN_FENCE, CLOSING, STOPPED = 200.0, 25.0, 1000.0, 30.0, 0.01, 0.05
 #: A cutting mark behind the text, where lengths speak for a cut and where they don't.
 MARKED_THERE, MARKED = 10.0, 3.0
+#: How much less a word counts as a whole one after a word it never follows elsewhere.
+UNSEEN_PAIR = 20.0
 #: Odds count in full only as far as this much was seen of a context.
 WEIGHT = 2.0
 
-RUN = re.compile(r"[^\W_]+|[.!?…]+[\"')\]»”]*(?=\s|$)|[。！？]|\n|[^\s\w]|_")
+RUN = re.compile(r"[^\W_]+(?:_[^\W_]+)*|[.!?…]+[\"')\]»”]*(?=\s|$)|[。！？]|\n|[^\s\w]|_")
 PIECE = re.compile(r"[A-ZÀ-Þ]?[a-zß-ÿ]+|[A-ZÀ-Þ]+(?![a-zß-ÿ])|.", re.S)
-END, NUMBER = ".", "#"
+END, NUMBER, NAME = ".", "#", "_"
 #: Marks that a cut puts behind a text.
 MARKER = re.compile(r"(?:\s*(?:…|\.\.\.|\[\.\.\.\]|\[…\]|[(\[](?:cut|more|truncated|snip|continued|gekürzt|tronqué|cortado)[)\]]))$", re.I)
 REPLACED = "�"
@@ -57,24 +59,29 @@ STOP = re.compile(r"[.!?。！？][\"')\]»”]*$")
 
 
 def pieces(run: str) -> list[str]:
-    """The tokens of a run: words of camel case apart and in lower case, anything with digits one number, ends of sentences alike."""
-    if run == "\n" or run[0] in ".!?。！？…" and (len(run) > 1 or run in "!?。！？…."):
-        return ["\n"] if run == "\n" else [END]
+    """The words of a run: parts of camel case and snake case apart, in lower case; anything with digits one number, ends of sentences alike."""
+    if run == "\n":
+        return ["\n"]
+    if run[0] in ".!?。！？…" and (len(run) > 1 or run in "!?。！？…."):
+        return [END]
     if any(c.isdigit() for c in run):
         return [NUMBER]
     if len(run) == 1:
         return [run.lower()]
-    return [p.lower() for p in PIECE.findall(run)]
+    return [p.lower() for part in run.split("_") for p in PIECE.findall(part)]
 
 
 class Tokens:
-    """Texts to arrays of 64-bit token hashes, remembering the words behind them."""
+    """Texts to arrays of 64-bit token hashes, remembering the words behind them.
+
+    A token is a word, a number, a sign or an end; an identifier of several words is one token,
+    as which one it is tells nothing of where a sentence ends.
+    """
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int | None, tuple[int, ...]]] = {}
         self.words: dict[int, str] = {}
-        self.end = self.hash(END)
-        self.line = self.hash("\n")
+        self.end, self.line, self.name = self.hash(END), self.hash("\n"), self.hash(NAME)
 
     def hash(self, token: str) -> int:
         h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) - 2**63
@@ -82,18 +89,28 @@ class Tokens:
             self.words[h] = token
         return h
 
-    def codes(self, text: str) -> list[int]:
-        known, out = self.known, []
+    def codes(self, text: str) -> tuple[list[int], list[int], int]:
+        """Tokens, the words among them (parts of identifiers each), and how many of the words are the last token's."""
+        known, out, words, last = self.known, [], [], 0
         if len(known) > 4 * FLUSH:
             known.clear()
         for run in RUN.findall(text):
             got = known.get(run)
             if got is None:
-                got = tuple(self.hash(p) for p in pieces(run))
+                parts = tuple(self.hash(p) for p in pieces(run))
+                # letters without blanks between them, as in Japanese, are tokens each
+                got = (self.name if len(parts) > 1 and run.isascii() else None if len(parts) != 1 else parts[0], parts)
                 if len(run) < 40:
                     known[run] = got
-            out += got
-        return out
+            code, parts = got
+            if code is None:
+                out += parts
+                last = 1
+            else:
+                out.append(code)
+                last = len(parts)
+            words += parts
+        return out, words, last
 
 
 def contexts(codes: np.ndarray) -> list[np.ndarray]:
@@ -119,11 +136,12 @@ def tail_facts(text: str | None, tokens: Tokens) -> tuple:
     if marked:
         bare = bare[: marked.start()].rstrip()
     stopped = bool(STOP.search(bare)) and not marked
-    codes = np.array(tokens.codes(bare), dtype=np.int64)
+    found, words, _ = tokens.codes(bare)
+    codes = np.array(found, dtype=np.int64)
     line = text.rsplit("\n", 1)[-1].strip()
     if not len(codes):
         return ("", *[0] * ORDERS, broken, bool(marked), stopped, line)
-    last = tokens.words.get(int(codes[-1]), "") if bare and bare[-1].isalpha() else ""
+    last = tokens.words.get(words[-1], "") if bare and bare[-1].isalpha() else ""
     return (last, *[int(c[-1]) for c in contexts(codes)], broken, bool(marked), stopped, line)
 
 
@@ -167,18 +185,19 @@ def corpus_counts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
 
         for batch in batches:
             for first in range(0, len(batch), 256):
-                parts, lengths = [], []
+                parts, lengths, vocabulary = [], [], []
                 for text in batch["text"].iloc[first : first + 256]:
-                    codes = tokens.codes(text.rstrip())
+                    codes, found, last = tokens.codes(text.rstrip())
                     if len(codes) > 1:
-                        parts.append(codes)
+                        parts += codes
                         lengths.append(len(codes))
+                        vocabulary += found[: len(found) - last]
                 if not parts:
                     continue
-                codes = np.fromiter((c for p in parts for c in p), dtype=np.int64, count=sum(lengths))
+                codes = np.array(parts, dtype=np.int64)
                 inner = np.ones(len(codes), dtype=bool)
                 inner[np.cumsum(lengths) - 1] = False  # what follows the last token is not known
-                u, n = np.unique(codes[inner], return_counts=True)
+                u, n = np.unique(np.array(vocabulary, dtype=np.int64), return_counts=True)
                 for h, k in zip(u.tolist(), n.tolist()):
                     seen[h] = seen.get(h, 0) + k
                 after = np.concatenate((codes[1:], [0]))
@@ -278,7 +297,9 @@ def truncation_odds(documents: DataFrame) -> DataFrame:
         n, e = F.coalesce(F.col(f"n{k}"), F.lit(0)), F.coalesce(F.col(f"e{k}"), F.lit(0))
         p = (e + WEIGHT * p) / (n + WEIGHT)
     whole, longer = F.coalesce(F.col("whole"), F.lit(0)), F.coalesce(F.col("longer"), F.lit(0))
-    word = F.when(F.col("last") == "", F.lit(1.0)).otherwise((whole + longer + 0.1) / (whole + 0.1))
+    # a word that nowhere else follows the one before it is less likely to be itself
+    known = F.when(F.col("n2") > 0, whole).otherwise(whole / UNSEEN_PAIR)
+    word = F.when(F.col("last") == "", F.lit(1.0)).otherwise((known + longer + 0.1) / (known + 0.1))
     prose = F.when(F.col("stopped"), F.lit(STOPPED)).otherwise(word * F.col("rate") / F.greatest(p, F.lit(1e-4)))
     prose = F.when(F.coalesce("closing", F.lit(False)), F.least(prose, F.lit(1.0)) * CLOSING).otherwise(prose)
     odds = PRIOR * prose
