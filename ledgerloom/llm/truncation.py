@@ -311,7 +311,8 @@ def truncation_odds(documents: DataFrame) -> DataFrame:
 
 
 def truncated(documents: DataFrame) -> DataFrame:
-    return truncation_odds(documents).where("odds > 1").select("doc_id")
+    """(doc_id) of the documents that were cut, each once."""
+    return truncation_odds(documents).where("odds > 1").select("doc_id").distinct()
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:
