@@ -128,6 +128,33 @@ def failures_with_sessions(failures: DataFrame, sessions: DataFrame) -> DataFram
     return joined.select(*failures.columns, F.coalesce("_known", F.lit(False)).alias("recovered"), F.coalesce(F.col("source_present") == 0, F.lit(False)).alias("missing"))
 
 
+def reconcile(sessions: DataFrame, listed: DataFrame | None, namespace: str, windowed: bool) -> tuple[DataFrame, str]:
+    """``sessions`` with those of a plugged-in source marked gone that it no longer lists, and what was done.
+
+    A source that lists only a window of its history is refused, one that lists nothing at all
+    abstains (an empty answer is more likely a failure than a wish); only ids of ``namespace`` are touched.
+    """
+    if windowed:
+        return sessions, "refused"
+    if listed is None or not listed.limit(1).count():
+        return sessions, "abstained"
+    there = listed.select("session_id").distinct().withColumn("_there", F.lit(True))
+    gone = F.col("session_id").startswith(namespace) & F.col("_there").isNull()
+    return sessions.join(there, "session_id", "left").withColumn("source_present", F.when(gone, 0).otherwise(F.col("source_present"))).select(sessions.columns), "reconciled"
+
+
+def file_digest(files: DataFrame) -> DataFrame:
+    """source_path, digest: ``file-sha256:`` of each file's bytes (source_path, content)."""
+    return files.select("source_path", F.concat(F.lit("file-sha256:"), F.sha2("content", 256)).alias("digest"))
+
+
+def tree_digest(listing: DataFrame, root: str) -> DataFrame:
+    """One row, digest: of the paths under ``root``, sizes and times of a listing (source_path, size_bytes, modified)."""
+    relative = F.regexp_replace("source_path", "^" + root.rstrip("/") + "/", "")
+    state = F.concat_ws("\t", F.col("size_bytes").cast("string"), F.unix_micros("modified").cast("string"))
+    return digest(listing.select(relative.alias("_path"), state.alias("_state")), "tree", "_path", "_state")
+
+
 def save(table: DataFrame, path: str) -> str:
     """Writes a snapshot beside ``path`` and names it in a pointer that readers follow; returns the snapshot's folder.
 

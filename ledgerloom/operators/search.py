@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -111,13 +112,18 @@ def expanded(tree: object) -> object | None:
 
 @dataclass
 class Index:
-    """``postings`` (term, keys, tf, positions), ``lengths`` (keys, length), and how terms are made from words."""
+    """``postings`` (term, keys, tf, positions), ``lengths`` (keys, length), and how terms are made from words.
 
-    postings: DataFrame
-    lengths: DataFrame
+    One made for a single query has ``tokens`` (keys, t) instead, from which frequencies are read
+    in one pass without any shuffle.
+    """
+
+    postings: DataFrame | None
+    lengths: DataFrame | None
     chunks: int
     average: float
     stems: bool
+    tokens: DataFrame | None = None
 
 
 def build_index(chunks: DataFrame, stems: bool = True, keys: list[str] = KEYS) -> Index:
@@ -134,6 +140,30 @@ def build_index(chunks: DataFrame, stems: bool = True, keys: list[str] = KEYS) -
     return Index(postings, lengths, stats["n"], stats["average"] or 0.0, stems)
 
 
+def scan_index(chunks: DataFrame, stems: bool = True, keys: list[str] = KEYS) -> Index:
+    """What build_index() gives, for a query or two: nothing is built, chunks are read as they are searched."""
+    body = F.col("body")
+    tokens = chunks.select(*keys, (stemming.stemmed(body) if stems else stemming.unstemmed(body)).alias("t"))
+    return Index(None, None, 0, 0.0, stems, tokens)
+
+
+def scanned(tokens: DataFrame, every: list[Leaf], term_of, keys: list[str]) -> DataFrame:
+    """keys..., length and the frequency of each leaf, read from the tokens of each chunk."""
+    t = F.col("t")
+
+    def frequency(leaf: Leaf) -> Column:
+        words = [term_of(w) for w in leaf.words]
+        ends = leaf.words[-1]
+        if len(words) == 1:
+            return F.size(F.filter(t, lambda x: x.startswith(ends) if leaf.prefix else x == words[0]))
+        at = lambda i, k: F.get(t, i + k)
+        fits = lambda i: reduce(lambda a, b: a & b, [(at(i, k).startswith(ends) if leaf.prefix and k == len(words) - 1 else at(i, k) == w) for k, w in enumerate(words)])
+        starts = F.filter(F.transform(t, lambda x, i: F.when(x == words[0], i)), lambda i: i.isNotNull())
+        return F.size(F.filter(starts, lambda i: F.coalesce(fits(i), F.lit(False))))
+
+    return tokens.select(*keys, F.size(t).alias("length"), *[frequency(leaf).alias(f"_f{k}") for k, leaf in enumerate(every)])
+
+
 def write_index(index: Index, folder: str) -> None:
     """Keeps an index: postings in order of their terms, so that a query's reading skips all files and row groups without its terms."""
     spark = index.postings.sparkSession
@@ -155,27 +185,30 @@ def matches(index: Index, tree: object, keys: list[str] = KEYS) -> DataFrame:
     """
     every, scoring = all_leaves(tree), leaves(tree)
     term_of = stemming.stem if index.stems else (lambda w: w)
-    exact = sorted({term_of(w) for leaf in every for w in (leaf.words[:-1] if leaf.prefix else leaf.words)})
-    starts = sorted({leaf.words[-1] for leaf in every if leaf.prefix})
-    want = F.col("term").isin(exact) if exact else F.lit(False)
-    for start in starts:
-        want = want | F.col("term").startswith(start)
-    hits = index.postings.where(want)
-    places = [F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"_p{k}") for k, t in enumerate(exact)]
-    places += [F.flatten(F.collect_list(F.when(F.col("term").startswith(s), F.col("positions")))).alias(f"_s{k}") for k, s in enumerate(starts)]
-    found = hits.groupBy(*keys).agg(*places)
-
-    def frequency(leaf: Leaf) -> Column:
-        columns = [F.col(f"_p{exact.index(term_of(w))}") for w in (leaf.words[:-1] if leaf.prefix else leaf.words)]
-        if leaf.prefix:
-            columns.append(F.col(f"_s{starts.index(leaf.words[-1])}"))
-        if len(columns) == 1:
-            return F.size(columns[0])
-        fits = lambda p: reduce(lambda a, b: a & b, [F.array_contains(c, p + k) for k, c in enumerate(columns) if k])
-        return F.size(F.filter(columns[0], fits))
-
-    for k, leaf in enumerate(every):
-        found = found.withColumn(f"_f{k}", frequency(leaf))
+    if index.tokens is not None:
+        found = scanned(index.tokens, every, term_of, keys)
+    else:
+        exact = sorted({term_of(w) for leaf in every for w in (leaf.words[:-1] if leaf.prefix else leaf.words)})
+        starts = sorted({leaf.words[-1] for leaf in every if leaf.prefix})
+        want = F.col("term").isin(exact) if exact else F.lit(False)
+        for start in starts:
+            want = want | F.col("term").startswith(start)
+        hits = index.postings.where(want)
+        places = [F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"_p{k}") for k, t in enumerate(exact)]
+        places += [F.flatten(F.collect_list(F.when(F.col("term").startswith(s), F.col("positions")))).alias(f"_s{k}") for k, s in enumerate(starts)]
+        found = hits.groupBy(*keys).agg(*places)
+
+        def frequency(leaf: Leaf) -> Column:
+            columns = [F.col(f"_p{exact.index(term_of(w))}") for w in (leaf.words[:-1] if leaf.prefix else leaf.words)]
+            if leaf.prefix:
+                columns.append(F.col(f"_s{starts.index(leaf.words[-1])}"))
+            if len(columns) == 1:
+                return F.size(columns[0])
+            fits = lambda p: reduce(lambda a, b: a & b, [F.array_contains(c, p + k) for k, c in enumerate(columns) if k])
+            return F.size(F.filter(columns[0], fits))
+
+        for k, leaf in enumerate(every):
+            found = found.withColumn(f"_f{k}", frequency(leaf))
     holds = {leaf: F.col(f"_f{k}") > 0 for k, leaf in enumerate(every)}
 
     def truth(node: object) -> Column:
@@ -184,19 +217,24 @@ def matches(index: Index, tree: object, keys: list[str] = KEYS) -> DataFrame:
         left, right = truth(node.left), truth(node.right)
         return left & right if node.op == "AND" else left | right if node.op == "OR" else left & ~right
 
-    frequencies = found.select(*keys, *[f"_f{k}" for k in range(len(every))])
-    counts = frequencies.agg(*[F.count_if(F.col(f"_f{k}") > 0).alias(f"n{k}") for k in range(len(every))]).first()
+    names = [f"_f{k}" for k in range(len(every))]
+    frequencies = found.select(*keys, *(["length"] if index.tokens is not None else []), *names)
+    present = [F.count_if(F.col(name) > 0).alias(name) for name in names]
+    if index.tokens is not None:
+        counts = frequencies.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *present).first()
+        chunks, average = counts["n"], counts["average"] or 0.0
+        scored = frequencies.where(truth(tree))
+    else:
+        counts, chunks, average = frequencies.agg(*present).first(), index.chunks, index.average
+        scored = frequencies.where(truth(tree)).join(index.lengths, keys)
     score = F.lit(0.0)
-    scored = frequencies.where(truth(tree)).join(index.lengths, keys)
-    import math
-
     for leaf in scoring:
         k = every.index(leaf)
-        n = counts[f"n{k}"] or 0
-        idf = math.log((index.chunks - n + 0.5) / (n + 0.5))
+        n = counts[f"_f{k}"] or 0
+        idf = math.log((chunks - n + 0.5) / (n + 0.5))
         idf = idf if idf > 0 else LEAST_IDF
         f = F.col(f"_f{k}")
-        score = score - F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / index.average))
+        score = score - F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / average))
     return scored.select(*keys, score.alias("score"))
 
 
@@ -262,3 +300,17 @@ def rerank(count: int, order: object) -> list[int]:
     """The order a model gives for ``count`` hits, made safe: distinct indices in range, the rest behind; the input order for anything else."""
     fine = isinstance(order, list) and all(isinstance(i, int) and not isinstance(i, bool) and 0 <= i < count for i in order) and len(set(order)) == len(order)
     return [*order, *[i for i in range(count) if i not in set(order)]] if fine else list(range(count))
+
+
+def hybrid(lexical: DataFrame, semantic: DataFrame, chunks: DataFrame, limit: int = 20) -> DataFrame:
+    """session_id, fused, score, chunk_hits, excerpt of two ranked legs (session_id, rank) fused by reciprocal rank.
+
+    ``lexical`` also has score and chunk_hits, which its sessions keep; those only ``semantic``
+    found get 0 for both. The excerpt is the head of a session's first chunk. Filter both legs alike
+    beforehand: what one leg must not show, the other must not bring back.
+    """
+    fused = fuse([lexical.select(F.col("session_id").alias("id"), "rank"), semantic.select(F.col("session_id").alias("id"), "rank")], limit=limit)
+    kept = fused.select(F.col("id").alias("session_id"), F.col("score").alias("fused"))
+    first = chunks.where(F.col("ordinal") == 0).select("session_id", F.substr("body", F.lit(1), F.lit(300)).alias("excerpt"))
+    rows = kept.join(lexical.select("session_id", "score", "chunk_hits"), "session_id", "left").join(first, "session_id", "left")
+    return rows.select("session_id", "fused", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("chunk_hits", F.lit(0)).alias("chunk_hits"), "excerpt").orderBy(F.desc("fused"), "session_id")

@@ -115,3 +115,19 @@ def drift(before: DataFrame, after: DataFrame, key: str = "source", growth: floa
     moved = F.abs(F.coalesce("_is", F.lit(0.0)) - F.coalesce("_was", F.lit(0.0))) > points
     finding = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").when(F.col("after") >= growth * F.col("before"), "grew").when(F.col("after") < F.col("before"), "shrank").when(moved, "mix")
     return both.select(key, F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"), finding.alias("finding"))
+
+
+def anomalies(rows: DataFrame) -> DataFrame:
+    """source, finding, value: what is odd about a source's sessions (source, provenance, source_present, cwd, started_at).
+
+    many-tool and many-subagent from 25 %, no-human, few (under 30 conversations), irreplaceable
+    (sessions whose file is gone), one-folder (one holds 40 %), short-history (under three months).
+    """
+    share = lambda kind: F.count_if(F.col("provenance") == kind) / F.count(F.lit(1)) * 100
+    human = F.count_if(F.col("provenance") == "human")
+    facts = rows.groupBy("source").agg(share("tool-invoked").alias("tool"), share("subagent").alias("sub"), human.alias("human"), F.count_if(F.col("source_present") == 0).alias("gone"), F.count_distinct(F.date_format(moment("started_at"), "yyyy-MM")).alias("months"), F.count("cwd").alias("placed"))
+    folders = rows.where(F.col("cwd").isNotNull()).groupBy("source", "cwd").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.max("n").alias("top"))
+    facts = facts.join(folders, "source", "left")
+    tests = [("many-tool", F.col("tool") >= 25, "tool"), ("many-subagent", F.col("sub") >= 25, "sub"), ("no-human", F.col("human") == 0, "human"), ("few", F.col("human") < 30, "human"), ("irreplaceable", F.col("gone") > 0, "gone"), ("one-folder", F.col("top") >= 0.4 * F.col("placed"), "top"), ("short-history", F.col("months") < 3, "months")]
+    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(name).alias("finding"), F.round(F.col(value).cast("double"), 2).alias("value"))) for name, test, value in tests]))
+    return facts.select("source", F.explode(found).alias("_f")).select("source", "_f.finding", "_f.value")

@@ -21,8 +21,13 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalized(vec: Column) -> Column:
     """The vector at length 1; one of zeros, or null, stays as it is."""
-    norm = F.sqrt(dot(vec, vec))
-    return F.when(norm > 0, F.transform(vec, lambda x: x.cast("double") / norm)).otherwise(F.transform(vec, lambda x: x.cast("double")))
+    # one-element arrays bind the vector and its norm to lambda variables, so that each is computed once and not once a value
+
+    def scaled(v: Column) -> Column:
+        doubles = F.transform(v, lambda x: x.cast("double"))
+        return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(doubles))[0]
+
+    return F.transform(F.array(vec), scaled)[0]
 
 
 def sound(vectors: DataFrame, vec: str = "vec", dim: str | None = "dim") -> DataFrame:
@@ -134,3 +139,25 @@ def related_elsewhere(vectors: DataFrame, repos: DataFrame, repo: str, model: st
     near = means.where(F.col("repo") != repo).join(F.broadcast(centre), "model")  # one row
     scored = near.select("session_id", "repo", dot(F.col("vec"), F.col("_centre")).alias("cosine")).where(F.col("cosine") >= least)
     return scored.orderBy(F.desc("cosine"), "session_id").limit(limit).withColumn("cosine", F.round("cosine", 3))
+
+
+def store(vectors: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``vectors`` with the incoming ones put in place of those of the same (session_id, ordinal, model). Raises for a length other than dim."""
+    keys = ["session_id", "ordinal", "model"]
+    checked = incoming.withColumn("vec", F.when(F.size("vec") == F.col("dim"), F.col("vec")).otherwise(F.raise_error(F.lit("a vector's length is not its dim")).cast(incoming.schema["vec"].dataType)))
+    newest = checked.groupBy(*keys).agg(F.max(F.struct("dim", "vec")).alias("_v")).select(*keys, "_v.dim", "_v.vec")
+    return vectors.join(newest.select(*keys), keys, "left_anti").select(*keys, "dim", "vec").unionByName(newest)
+
+
+def mean_pairwise(vectors: DataFrame, group: list[str]) -> DataFrame:
+    """group..., vectors, similarity: the mean cosine over all pairs of a group, from the length of the sum of its unit vectors alone.
+
+    The sum of all cosines of n unit vectors is the squared length of their sum; without the n
+    pairs of a vector with itself it is divided by n (n - 1). No pair is ever formed.
+    """
+    rows = sound(vectors).select(*group, normalized(F.col("vec")).alias("_u"))
+    flat = rows.select(*group, F.posexplode("_u").alias("place", "x"))
+    sums = flat.groupBy(*group, "place").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    total = sums.groupBy(*group).agg(F.sum(F.col("x") * F.col("x")).alias("_s"), F.max("n").alias("vectors"))
+    pairs = F.col("vectors") * (F.col("vectors") - 1)
+    return total.select(*group, "vectors", F.when(pairs > 0, (F.col("_s") - F.col("vectors")) / pairs).alias("similarity"))

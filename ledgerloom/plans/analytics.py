@@ -146,3 +146,13 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").where(F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz")).groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).groupBy("o_orderpriority").agg(F.sum("q").alias("quantity"), F.sum("n").alias("lines"))
+
+
+@query(f"""WITH {CUR}, g AS (SELECT s, count_if(p = 'tool-invoked') / count(*) * 100 AS tool, count_if(p = 'subagent') / count(*) * 100 AS sub, count_if(p = 'human') AS human, count_if(source_present = 0) AS gone, count(DISTINCT strftime(make_timestamp(start_us), '%Y-%m')) AS months, count(cwd) AS placed FROM cur GROUP BY s),
+f AS (SELECT s, max(n) AS top FROM (SELECT s, cwd, count(*) AS n FROM cur WHERE cwd IS NOT NULL GROUP BY ALL) GROUP BY s), x AS (SELECT g.*, f.top FROM g LEFT JOIN f USING (s))
+SELECT s AS source, 'many-tool' AS finding, round(tool::DOUBLE, 2) AS value FROM x WHERE tool >= 25 UNION ALL SELECT s, 'many-subagent', round(sub::DOUBLE, 2) FROM x WHERE sub >= 25
+UNION ALL SELECT s, 'no-human', human::DOUBLE FROM x WHERE human = 0 UNION ALL SELECT s, 'few', human::DOUBLE FROM x WHERE human < 30 UNION ALL SELECT s, 'irreplaceable', gone::DOUBLE FROM x WHERE gone > 0
+UNION ALL SELECT s, 'one-folder', top::DOUBLE FROM x WHERE top >= 0.4 * placed UNION ALL SELECT s, 'short-history', months::DOUBLE FROM x WHERE months < 3""")
+def source_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    rows = current(spark, folder)
+    return survey.anomalies(rows.withColumn("source", label("source")).withColumn("provenance", label("provenance")))

@@ -51,7 +51,7 @@ def document_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 
 def found(spark: SparkSession, folder: str, raw: str, expand: bool = False) -> DataFrame:
     cut, documents = document_chunks(spark, folder)
-    hits = search.search(search.build_index(cut, stems=False), documents, raw, 20, expand)
+    hits = search.search(search.scan_index(cut, stems=False), documents, raw, 20, expand)
     return hits.select("session_id", "ordinal", "chunk_hits", F.round("score", 6).alias("score"))
 
 
@@ -78,6 +78,14 @@ def search_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return found(spark, folder, "redact*")
 
 
+@query(f"WITH {CHUNKS}, {bm25({'a': term('month'), 'b': term('histogram')}, 'a > 0 AND b > 0')} {RESULT}")
+def search_by_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """A search through the inverted index, as a kept index is searched."""
+    cut, documents = document_chunks(spark, folder)
+    hits = search.search(search.build_index(cut, stems=False), documents, "month histogram", 20, False)
+    return hits.select("session_id", "ordinal", "chunk_hits", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {CHUNKS}, {bm25({'a': term('watcher')}, 'a > 0 AND z = 0', {'z': term('thread')})} {RESULT}")
 def search_without_word(spark: SparkSession, folder: str) -> DataFrame:
     return found(spark, folder, "watcher NOT thread")
@@ -282,3 +290,56 @@ def checked_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 query()(checked_answers)
+
+
+@query(f"""
+WITH {CUR}, {MEANS}, b AS (SELECT m.model, CASE WHEN coalesce(c.words, 0) < 200 THEN 'short' WHEN c.words < 1000 THEN 'middle' ELSE 'long' END AS bucket, m.session_id, list_transform(m.vec, lambda x: x / sqrt(list_dot_product(m.vec, m.vec))) AS u FROM m JOIN cur c USING (session_id)),
+q AS (SELECT model, bucket, unnest(u) AS x, unnest(range(len(u))) AS i FROM b), t AS (SELECT model, bucket, i, sum(x) AS x FROM q GROUP BY ALL), s AS (SELECT model, bucket, sum(x * x) AS s FROM t GROUP BY ALL), n AS (SELECT model, bucket, count(*) AS n FROM b GROUP BY ALL)
+SELECT model, bucket, n AS vectors, round((s - n) / (n * (n - 1)), 6) AS similarity FROM s JOIN n USING (model, bucket)""")
+def similarity_by_length(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean cosine over all pairs of sessions of like length, without forming a pair."""
+    words = current_rows(table(spark, folder, "sessions"), ["words"])
+    bucket = F.when(F.coalesce("words", F.lit(0)) < 200, "short").when(F.col("words") < 1000, "middle").otherwise("long")
+    means = vectors.session_means(table(spark, folder, "chunk_vectors")).join(words.select("session_id", bucket.alias("bucket")), "session_id")
+    alike = vectors.mean_pairwise(means.withColumn("dim", F.size("vec")), ["model", "bucket"])
+    return alike.select("model", "bucket", "vectors", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""
+WITH old AS (SELECT DISTINCT session_id, ordinal, model FROM chunk_vectors WHERE ordinal IS NOT NULL AND session_id IS NOT NULL AND model IS NOT NULL),
+fresh AS (SELECT DISTINCT session_id, ordinal, model FROM old WHERE ordinal = 0)
+SELECT model, count(*) AS vectors, count_if(ordinal = 0) AS renewed FROM (SELECT * FROM old WHERE ordinal <> 0 UNION ALL SELECT * FROM fresh) GROUP BY model""")
+def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors by model after those of all first chunks were put in again."""
+    keys = ["session_id", "ordinal", "model"]
+    old = table(spark, folder, "chunk_vectors").dropna(subset=keys).dropDuplicates(keys)
+    fresh = old.where("ordinal = 0").withColumn("vec", F.array_repeat(F.lit(1.0).cast("float"), F.col("dim")))
+    return vectors.store(old, fresh).groupBy("model").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("ordinal") == 0).alias("renewed"))
+
+
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions found by words and by a vector, fused, with the filters on both legs."""
+    sessions = apply(current_rows(table(spark, folder, "sessions"), ["words", "text", "provenance", "started_at"]), Filters())
+    cut = chunks.chunk(sessions, ["session_id"])
+    index = search.scan_index(cut)
+    lexical = search.search(index, sessions, "coverage gates", 30)
+    legs = search.ranked(lexical, F.col("score"), F.desc_nulls_last("started_at"), F.col("session_id"), limit=30)
+    near = vectors.rank_sessions(table(spark, folder, "chunk_vectors").join(sessions.select("session_id"), "session_id", "left_semi"), ASKED, 30, "kite-embed-64")
+    semantic = search.ranked(near, F.desc("cosine"), F.col("session_id"), limit=30)
+    return search.hybrid(legs, semantic, cut, 20).withColumn("excerpt", search.snippet(F.col("excerpt"), ["coverage", "gate"]))
+
+
+query()(hybrid_search)
+
+
+@query(f"""WITH {CUR} SELECT session_id, array_to_string(CASE WHEN len(r) = 0 THEN ['default_human'] ELSE r END, ',') AS rules FROM (
+  SELECT session_id, list_filter([CASE WHEN parent_id IS NOT NULL THEN 'subagent_path' END, CASE WHEN origin = 'prose-index' AND parent_id IS NULL THEN 'nested_transcript_path' END, CASE WHEN contains(coalesce(cwd, ''), '/.cache/') THEN 'cwd_state_dir' END,
+  CASE WHEN user_turns = 0 THEN 'zero_user_turns' END, CASE WHEN user_turns = 1 AND duration_s < 2.0 THEN 'single_user_turn_under_2s' END], lambda x: x IS NOT NULL) AS r FROM cur)""")
+def provenance_signs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every structural sign of who held a session."""
+    from ledgerloom.functions.text import provenance_rules
+
+    rows = current_rows(table(spark, folder, "sessions"), ["parent_id", "origin", "cwd", "user_turns", "duration_s"])
+    no = F.lit(False)
+    rules = provenance_rules(F.col("parent_id").isNotNull(), F.col("origin") == "prose-index", no, no, no, F.coalesce("cwd", F.lit("")).contains("/.cache/"), F.col("user_turns"), F.col("duration_s"))
+    return rows.select("session_id", F.array_join(rules, ",").alias("rules"))

@@ -49,12 +49,14 @@ def test_stemming_and_scores_equal_sqlite(spark):
     except sqlite3.OperationalError:
         pytest.skip("no fts5")
     db.executemany("insert into c(rowid, body) values (?, ?)", [(i + 1, b) for i, b in enumerate(bodies)])
-    index = search.build_index(spark.createDataFrame([(str(i + 1), 0, b) for i, b in enumerate(bodies)], "session_id string, ordinal int, body string"), stems=True)
-    for query, raw in (('"running"', "running"), ('"queue" "relational"', "queue relational"), ('"hopping" OR "cafe"', "hopping OR café"), ('"easily" NOT "cats"', "easily NOT cats"), ('"gener"*', "gener*"), ('"zurich"', "Zürich")):
+    rows = spark.createDataFrame([(str(i + 1), 0, b) for i, b in enumerate(bodies)], "session_id string, ordinal int, body string")
+    index, scan = search.build_index(rows), search.scan_index(rows)
+    for query, raw in (('"running"', "running"), ('"queue" "relational"', "queue relational"), ('"hopping" OR "cafe"', "hopping OR café"), ('"easily" NOT "cats"', "easily NOT cats"), ('"gener"*', "gener*"), ('"zurich"', "Zürich"), ('"relational conditional"', '"relational conditional"')):
         truth = dict(db.execute("select rowid, bm25(c) from c where c match ?", (query,)))
         got = {int(r.session_id): r.score for r in search.matches(index, search.parse(raw)).collect()}
         assert got.keys() == truth.keys(), raw
         assert all(math.isclose(got[k], truth[k], rel_tol=1e-6, abs_tol=1e-9) for k in truth), raw
+        assert {int(r.session_id): round(r.score, 9) for r in search.matches(scan, search.parse(raw)).collect()} == {k: round(v, 9) for k, v in got.items()}, raw
 
 
 def test_phrase(spark):
@@ -233,3 +235,50 @@ def test_plain_tokens_fold(parts):
 def test_age_labels(spark):
     rows = spark.createDataFrame([(s,) for s in (10, 200, 7300, 100_000, 400_000)], "s int").select(text.age_label(F.timestamp_seconds(F.lit(1_000_000_000) - F.col("s")), F.timestamp_seconds(F.lit(1_000_000_000))).alias("a"))
     assert values(rows, "a") == ["just now", "3m ago", "2h ago", "yesterday", "4d ago"]
+
+
+def test_hybrid_keeps_lexical_scores_and_fills_the_rest(spark):
+    lexical = spark.createDataFrame([("a", 1, -2.0, 3), ("b", 2, -1.0, 1)], "session_id string, rank int, score double, chunk_hits long")
+    semantic = spark.createDataFrame([("c", 1), ("a", 2)], "session_id string, rank int")
+    cut = spark.createDataFrame([(s, o, f"{s}{o} text") for s in "abc" for o in (0, 1)], "session_id string, ordinal int, body string")
+    got = {r.session_id: r for r in search.hybrid(lexical, semantic, cut).collect()}
+    assert list(got) == ["a", "c", "b"] and got["a"].score == -2.0 and got["c"].score == 0.0 and got["c"].chunk_hits == 0 and got["c"].excerpt == "c0 text"
+
+
+def test_snippet(spark):
+    row = spark.createDataFrame([(" ".join(f"w{i}" for i in range(30)) + " target, end",)], "b string").select(search.snippet(F.col("b"), ["target"]).alias("s")).first()
+    assert row.s.startswith(" ... ") and "[target,]" in row.s and row.s.endswith("end")
+
+
+def test_mean_pairwise_equals_brute_force(spark):
+    import itertools
+
+    import numpy as np
+
+    data = np.random.default_rng(1).standard_normal((7, 5))
+    rows = spark.createDataFrame([("g", [float(x) for x in v], 5) for v in data], "g string, vec array<double>, dim int")
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    truth = np.mean([a @ b for a, b in itertools.combinations(unit, 2)])
+    assert math.isclose(vectors.mean_pairwise(rows, ["g"]).first().similarity, truth, rel_tol=1e-9)
+
+
+def test_wrong_length_is_refused(spark):
+    good = spark.createDataFrame([("a", 0, "m", 2, [1.0, 2.0])], "session_id string, ordinal int, model string, dim int, vec array<float>")
+    bad = spark.createDataFrame([("a", 0, "m", 3, [1.0, 2.0])], good.schema)
+    assert vectors.store(good, good).count() == 1
+    with pytest.raises(Exception, match="length"):
+        vectors.store(good, bad).collect()
+
+
+def test_reconcile(spark):
+    sessions = spark.createDataFrame([("plugin:x:1", 1), ("plugin:x:2", 1), ("own", 1)], "session_id string, source_present int")
+    listed = spark.createDataFrame([("plugin:x:1",)], "session_id string")
+    kept, done = archive.reconcile(sessions, listed, "plugin:x:", False)
+    assert done == "reconciled" and {(r.session_id, r.source_present) for r in kept.collect()} == {("plugin:x:1", 1), ("plugin:x:2", 0), ("own", 1)}
+    assert archive.reconcile(sessions, listed, "plugin:x:", True)[1] == "refused" and archive.reconcile(sessions, listed.where("false"), "plugin:x:", False)[1] == "abstained"
+
+
+def test_model_windows(spark):
+    rows = spark.createDataFrame([(f"n{n}", " ".join(["w"] * n)) for n in (0, 12_000, 12_001, 23_200, 23_201)], "session_id string, text string")
+    got = {r.session_id: r["count"] for r in chunks.windows_of(rows, ["session_id"]).groupBy("session_id").count().collect()}
+    assert got == {"n12000": 1, "n12001": 2, "n23200": 2, "n23201": 3}
