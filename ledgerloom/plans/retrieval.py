@@ -12,7 +12,7 @@ from ledgerloom.operators import chunks, search, vectors
 from ledgerloom.operators.current import current_rows, label
 from ledgerloom.operators.filters import Filters, apply
 from ledgerloom.plans.registry import CUR, WS, query
-from ledgerloom.session import table
+from ledgerloom.session import spread, table
 
 WORDS = f"list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '')"
 CHUNKS = f"""
@@ -46,6 +46,7 @@ RESULT = "SELECT session_id, ordinal, chunk_hits, round(score, 6) AS score FROM
 def document_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Documents as sessions: their chunks, and (session_id, started_at)."""
     documents = table(spark, folder, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("session_id"), F.col("captured_at").alias("started_at"), "text")
+    documents = spread(documents)
     return chunks.chunk(documents, ["session_id"]), documents.select("session_id", "started_at")
 
 
