@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import spread
+
 WINDOW = 12
 PASSAGE = 64
 K1, B = 1.2, 0.75
@@ -201,7 +203,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """
     spark = documents.sparkSession
     key_type, item_type = dict(documents.dtypes)[key], dict(items.dtypes)[item]
-    narrow = documents.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text"))
+    narrow = spread(documents.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text")))
     numbered = items.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).distinct()
     n = numbered.count()
     out = None

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.splitter import current_marks
 from ledgerloom.operators.current import current_rows
+from ledgerloom.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
@@ -350,7 +351,7 @@ def session_kinds(sessions: DataFrame, fields: tuple[str, ...] = ("text", "title
                     out += [(row.session_id, row.updated_at, row[2], field, kind) for kind in kinds]
             yield pd.DataFrame(out, columns=["session_id", "updated_at", "_tie", "field", "kind"])
 
-    found = rows.mapInPandas(run, f"session_id string, updated_at {dict(sessions.dtypes)['updated_at']}, _tie long, field string, kind string")
+    found = spread(rows).mapInPandas(run, f"session_id string, updated_at {dict(sessions.dtypes)['updated_at']}, _tie long, field string, kind string")
     marks = current_marks(sessions, fields).withColumnRenamed("updated_at", "_at").withColumnRenamed("_tie", "_of").withColumnRenamed("session_id", "_id")
     kept = found.join(marks, (found["session_id"] == marks["_id"]) & found["updated_at"].eqNullSafe(marks["_at"]) & (found["_tie"] == marks["_of"]), "left_semi")
     return kept.select("session_id", "field", "kind").distinct()

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.current import current_rows
+from ledgerloom.session import spread
 
 MAX_WORDS = 1000
 MAX_CHARS = 8000
@@ -223,7 +224,7 @@ def session_pieces(sessions: DataFrame, with_text: bool = True) -> DataFrame:
     which spares a shuffle of all texts; exact copies count once.
     """
     rows = sessions.where(F.col("session_id").isNotNull()).select("session_id", "updated_at", F.xxhash64("text").alias("_tie"), "text")
-    pieces = split_texts(rows, ["session_id", "updated_at", "_tie"], with_text=with_text)
+    pieces = split_texts(spread(rows), ["session_id", "updated_at", "_tie"], with_text=with_text)
     marks = current_marks(sessions).withColumnRenamed("updated_at", "_at").withColumnRenamed("_tie", "_of")
     kept = pieces.join(marks, (pieces["session_id"] == marks["session_id"]) & pieces["updated_at"].eqNullSafe(marks["_at"]) & (pieces["_tie"] == marks["_of"]), "left_semi")
     return kept.drop("updated_at", "_tie").dropDuplicates(["session_id", "piece"])

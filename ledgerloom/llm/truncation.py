@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.operators.current import label
-from ledgerloom.session import shared_folder
+from ledgerloom.session import shared_folder, spread
 
 ORDERS = 4
 TAIL_CHARS = 400
@@ -161,7 +161,7 @@ def tails(documents: DataFrame) -> DataFrame:
             rows = [tail_facts(t, tokens) for t in batch["_tail"]]
             yield pd.concat([batch[kept].reset_index(drop=True), pd.DataFrame(rows, columns=facts)], axis=1)
 
-    return narrow.mapInPandas(run, schema)
+    return spread(narrow).mapInPandas(run, schema)
 
 
 def corpus_counts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -221,7 +221,7 @@ def corpus_counts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
             yield words()
 
     texts = documents.where(F.length("text") > 0).select("text")
-    found = texts.mapInPandas(run, "word string, h long, n long, ends long")
+    found = spread(texts).mapInPandas(run, "word string, h long, n long, ends long")
     return found.groupBy("word", "h").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
