@@ -82,7 +82,8 @@ class Model:
             got = tuple(found)
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            self.seen[token] = got
+            if len(token) < 100:
+                self.seen[token] = got
         return got
 
 
@@ -225,7 +226,7 @@ class Window:
                 for j in range(k + 1, min(n, i + 8) + 1):
                     if not all(self.inside(t) for t in range(i, j)):
                         break
-                    if self.nameable(j - 1):
+                    if self.nameable(j - 1) and (j - i > 1 or classes[i][1] != "l"):  # one lower-case word is never a name by itself
                         yield i, j, "person"
 
     def nameable(self, k: int) -> bool:
@@ -252,7 +253,7 @@ class Window:
         if kind in ("phone", "id_number"):
             shape = collapse(span)
             digits = sum(map(str.isdigit, span))
-            out += [f"{k}s={shape}", f"{k}d={digits}", f"{k}h={shape[:3]}", f"{k}sep={''.join(sorted(set(re.sub(r'[0-9A-Za-z]', '', span))))}", f"{k}t={shape[-4:]}", f"{k}sL={shape}_{left}"]
+            out += [f"{k}s={shape}", f"{k}d={digits}", f"{k}h={shape[:3]}", f"{k}sep={''.join(sorted(set(re.sub(r'[0-9A-Za-z]', '', span))))}", f"{k}t={shape[-4:]}", f"{k}sL={shape}_{left}", f"{k}f={span[0]}_{digits}", f"{k}fL={span[0]}_{left}"]
         elif kind == "email":
             local, _, domain = re.split(rf"({AT})", span, maxsplit=1, flags=re.I)[:3]
             parts = re.split(DOT, domain, flags=re.I)

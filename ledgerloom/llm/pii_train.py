@@ -35,7 +35,7 @@ CARRIERS = {
 }
 NOBODY = ["nobody", "the team", "the build bot", "everyone", "{n}", "{hex}", "{path}", "{ident}", "the {adj} {noun} {noun2}", "{noun}", "the {noun} {noun2}", "main", "root"]
 LOOKALIKES = {
-    None: ["Epoch {e} is in milliseconds.", "Epoch {e} parsed as text", "Part number 9{n2}-{n7} is only a sample.", "Build 2026-11-0{n} has order number 55{n10}.", "Range {n}-555-{n2} of the table is greedy.", "Range 555-{n4} of the table is greedy.", "Budget is 202-{n3} units per run.", "size {n3} x {n4} is too small", "Ticket REQ-{n4}-{n4} was closed on 2026-03-14 09:26:53.", "Ticket REQ-{n3}-{n4}", "Listen on 127.0.0.1:{n4} instead.", "Version 10.{n3}.{n2}.{n} looks like an address.", "Line {n3} Lane detection and line {n4} Drive sync moved to {path}.", "Line {n4} Lane", "The {Town} {Place} cluster runs {n3} Court cases as samples.", "The {Given} compiler in {path} warns {n2} times.", "The {Given} build on hosts {given}-01 and {given}-02 took {n3} ms.", "Project {Color} {Animal} depends on {Color} {Animal}.", "Project {Color} {Animal} is late", "Pin {ident}@4.17.{n3} in the lock file.", "Bump {ident}@4.17.{n2}", "{ident}@{ident} is how the cache names that pair.", "Clone it from git@code.example:tools/{ident}.git first.", "git clone git@host.example:{given}/{noun}.git", "Trace {hex}-{hex}", "Commit {n7} fixed it", "try {n8} instead", "order {n10}", "uid={n6} gid={n6}", "Row with {n4} columns", "Ports {n4} and {n4} are open", "The {Town} release ships on Monday.", "Machine {given}-{n2} is down.", "checksum {n12} differs", "cost 1 {n3} {n3} tokens", "{n4}-{n2}-{n2} {n2}:{n2}:{n2} started", "See issue {n5} and {n5}", "Session {hex}-{n4}-{n4}", "0x{n8} at {n6}", "ratio 0.{n9}", "Close {n3} tabs on the Drive", "way {n2} is closed", "st {n2}", "Matrix size {n3} x {n3} x {n2} is too small.", "tool output follows", "{Color} {Animal} rollout", "The {Odd} plugin is late", "{Odd} size {n3} is too small", "Running {Odd} on {path} printed {n2} lines and one error.", "Upgrade {Odd} to 4.{n2}", "we use {Odd} and {Odd} here", "the {odd} is {adj}", "{odd} the {noun}, then {odd} it", "{Odd} rollout", "the {adj} {odd} {noun} stays {odd}", "{Odd} {noun} and {noun2}", "{Odd} the {noun}", "{noun} {odd}", "Fix {odd} in {path}", "The @app.route decorator hides {n2} errors.", "@{noun}.{odd} {noun2} is {adj}", "{noun}.{odd} {odd} of {path}"],
+    None: ["Epoch {e} is in milliseconds.", "Epoch {e} parsed as text", "Part number 9{n2}-{n7} is only a sample.", "Build 2026-11-0{n} has order number 55{n10}.", "Build 2026-11-0{n3} has order number 55{n9}.", "Build 2026-11-0{n2} has order number 5{n9}.", "order number {n11} is late", "invoice {n9} of {n4}", "Range {n}-555-{n2} of the table is greedy.", "Range 555-{n4} of the table is greedy.", "Budget is 202-{n3} units per run.", "size {n3} x {n4} is too small", "Ticket REQ-{n4}-{n4} was closed on 2026-03-14 09:26:53.", "Ticket REQ-{n3}-{n4}", "Listen on 127.0.0.1:{n4} instead.", "Version 10.{n3}.{n2}.{n} looks like an address.", "Line {n3} Lane detection and line {n4} Drive sync moved to {path}.", "Line {n4} Lane", "The {Town} {Place} cluster runs {n3} Court cases as samples.", "The {Given} compiler in {path} warns {n2} times.", "The {Given} build on hosts {given}-01 and {given}-02 took {n3} ms.", "Project {Color} {Animal} depends on {Color} {Animal}.", "Project {Color} {Animal} is late", "Pin {ident}@4.17.{n3} in the lock file.", "Bump {ident}@4.17.{n2}", "{ident}@{ident} is how the cache names that pair.", "Clone it from git@code.example:tools/{ident}.git first.", "git clone git@host.example:{given}/{noun}.git", "Trace {hex}-{hex}", "Commit {n7} fixed it", "try {n8} instead", "order {n10}", "uid={n6} gid={n6}", "Row with {n4} columns", "Ports {n4} and {n4} are open", "The {Town} release ships on Monday.", "Machine {given}-{n2} is down.", "checksum {n12} differs", "cost 1 {n3} {n3} tokens", "{n4}-{n2}-{n2} {n2}:{n2}:{n2} started", "See issue {n5} and {n5}", "Session {hex}-{n4}-{n4}", "0x{n8} at {n6}", "ratio 0.{n9}", "Close {n3} tabs on the Drive", "way {n2} is closed", "st {n2}", "Matrix size {n3} x {n3} x {n2} is too small.", "tool output follows", "{Color} {Animal} rollout", "The {Odd} plugin is late", "{Odd} size {n3} is too small", "Running {Odd} on {path} printed {n2} lines and one error.", "Upgrade {Odd} to 4.{n2}", "we use {Odd} and {Odd} here", "the {odd} is {adj}", "{odd} the {noun}, then {odd} it", "{Odd} rollout", "the {adj} {odd} {noun} stays {odd}", "{Odd} {noun} and {noun2}", "{Odd} the {noun}", "{noun} {odd}", "Fix {odd} in {path}", "The @app.route decorator hides {n2} errors.", "@{noun}.{odd} {noun2} is {adj}", "{noun}.{odd} {odd} of {path}"],
 }
 COLORS, ANIMALS, PLACES = "Silver Marble Amber Copper Velvet Crimson Ivory Cobalt".split(), "Quokka Finch Heron Otter Badger Lynx Falcon Marten".split(), "Harbour Bay Ridge Point Gate Mesa".split()
 
