@@ -34,13 +34,18 @@ def attributions(commits: DataFrame, sessions: DataFrame) -> DataFrame:
     ``commits``: commit_id, repo, at. ``sessions``: session_id, cwd, started_at, ended_at; a session
     without an end lasts a moment. An equi-join on the repository and the days a session spans
     keeps the range condition from becoming a product: every session is listed once a day it
-    was open, and a commit meets only the sessions of its repository on its day.
+    was open (once a month if for longer than one), and a commit meets only the sessions of its
+    repository on its day or in its month.
     """
     spans = sessions.select("session_id", F.lower(basename("cwd")).alias("repo"), moment("started_at").alias("_from"), F.coalesce(moment("ended_at"), moment("started_at")).alias("_to"))
     spans = spans.where(F.col("_from").isNotNull() & (F.col("_to") >= F.col("_from")) & (F.col("repo") != ""))
-    days = spans.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
-    made = commits.where(F.col("repo").isNotNull() & F.col("at").isNotNull()).select("commit_id", F.lower("repo").alias("repo"), F.col("at").cast("timestamp").alias("_at")).withColumn("_day", F.to_date("_at"))
-    hit = made.join(days, ["repo", "_day"]).where((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to")))
+    first, last = F.to_date("_from"), F.to_date("_to")
+    days = F.transform(F.sequence(first, last), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    months = F.transform(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
+    open_in = spans.withColumn("_when", F.explode(F.when(F.date_diff(last, first) <= 31, days).otherwise(months)))
+    made = commits.where(F.col("repo").isNotNull() & F.col("at").isNotNull()).select("commit_id", F.lower("repo").alias("repo"), F.col("at").cast("timestamp").alias("_at"))
+    made = made.withColumn("_when", F.explode(F.array(F.date_format("_at", "yyyy-MM-dd"), F.date_format("_at", "yyyy-MM"))))
+    hit = made.join(open_in, ["repo", "_when"]).where((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to")))
     return hit.select("commit_id", "session_id").distinct()
 
 

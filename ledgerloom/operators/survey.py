@@ -79,8 +79,8 @@ def model_usage(rows: DataFrame) -> DataFrame:
 def projects(rows: DataFrame, top: int = 5) -> DataFrame:
     """repo, sessions, share (%) of the ``top`` folders by sessions; sessions without a folder are left out."""
     named = rows.where(F.col("cwd").isNotNull()).groupBy(basename("cwd").alias("repo")).agg(F.count(F.lit(1)).alias("sessions"))
-    total = named.agg(F.sum("sessions").alias("_all"))
-    return named.orderBy(F.desc("sessions"), "repo").limit(top).join(F.broadcast(total)).select("repo", "sessions", F.round(F.col("sessions") / F.col("_all") * 100, 2).alias("share"))  # one row
+    total = named.agg(F.sum("sessions")).first()[0]  # one number
+    return named.orderBy(F.desc("sessions"), "repo").limit(top).select("repo", "sessions", F.round(F.col("sessions") / total * 100, 2).alias("share"))
 
 
 def folder_structure(rows: DataFrame) -> DataFrame:
@@ -108,9 +108,9 @@ def drift(before: DataFrame, after: DataFrame, key: str = "source", growth: floa
 
     grew: at least ``growth`` times as many; mix: the share of all moved by more than ``points``.
     """
-    total = lambda rows: rows.agg(F.sum("sessions").alias("_all"))
-    a = before.join(F.broadcast(total(before))).select(key, F.col("sessions").alias("before"), (F.col("sessions") / F.col("_all") * 100).alias("_was"))  # one row
-    b = after.join(F.broadcast(total(after))).select(key, F.col("sessions").alias("after"), (F.col("sessions") / F.col("_all") * 100).alias("_is"))
+    total = lambda rows: rows.agg(F.sum("sessions")).first()[0]  # noqa: E731  (one number)
+    a = before.select(key, F.col("sessions").alias("before"), (F.col("sessions") / F.lit(total(before)) * 100).alias("_was"))
+    b = after.select(key, F.col("sessions").alias("after"), (F.col("sessions") / F.lit(total(after)) * 100).alias("_is"))
     both = a.join(b, key, "full_outer")
     moved = F.abs(F.coalesce("_is", F.lit(0.0)) - F.coalesce("_was", F.lit(0.0))) > points
     finding = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").when(F.col("after") >= growth * F.col("before"), "grew").when(F.col("after") < F.col("before"), "shrank").when(moved, "mix")
