@@ -165,6 +165,7 @@ def session_sketches(sessions: DataFrame) -> DataFrame:
 
 
 def daily_percentiles(sessions: DataFrame) -> DataFrame:
+    """Percentiles per source and day of ingested_at; a null source or day is a group of its own, a day without values gives no row."""
     return percentiles(session_sketches(sessions), ["source", "day", "metric"])
 
 

@@ -116,7 +116,11 @@ def session_cutoffs(sessions: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def kept_sessions(sessions: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, provenance, session_id) of the sessions kept, labels as in ``targets``."""
+    """(source, provenance, session_id) of the sessions kept, labels as in ``targets``.
+
+    A null label of a session or target equals none; sessions whose current row has null or
+    negative words aren't kept and don't count; targets without sessions give no rows.
+    """
     cuts = session_cutoffs(sessions, targets).select("source", "provenance", "_as", "cutoff")
     kept = session_scores(sessions).where(F.col("score") >= 0).join(cuts, ["source", "provenance"]).where(F.col("score") >= F.col("cutoff"))
     return kept.select("_as.source", "_as.provenance", "session_id").distinct()

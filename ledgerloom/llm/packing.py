@@ -189,6 +189,7 @@ def document_sizes(documents: DataFrame) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, part, offset, length, container) of every document; null and empty texts take no room in container 0."""
     return pack(document_sizes(documents), ["doc_id"], "size", capacity)
 
 

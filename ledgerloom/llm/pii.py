@@ -359,7 +359,7 @@ def session_kinds(sessions: DataFrame, fields: tuple[str, ...] = ("text", "title
 
 
 def redacted_sessions(sessions: DataFrame) -> DataFrame:
-    """session_id, text and title of the current rows with placeholders for personal information."""
+    """session_id, text and title of the current rows with placeholders for personal information; null and empty fields stay as they are."""
     rows = current_rows(sessions, ["text", "title"]).select("session_id", "text", "title")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -316,5 +316,5 @@ def truncated(documents: DataFrame) -> DataFrame:
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:
-    """Per source (trimmed, lower case): documents with a text, how many were cut, and the share."""
+    """Per source (trimmed, lower case; null is a source of its own): documents with a text, how many were cut, and the share."""
     return truncation_odds(documents).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("odds") > 1).alias("cut"), (F.count_if(F.col("odds") > 1) / F.count(F.lit(1))).alias("share"))
