@@ -16,7 +16,7 @@ MODEL_ALLOWED = "<synthetic>"
 MODEL_HIDDEN = "custom/redacted"
 MODEL_SAFE = r"^[A-Za-z0-9][A-Za-z0-9._:@\-\[\]]{0,63}$"
 # Directories whose sessions programs start, and entry points that are programs.
-TOOL_FOLDERS = ("/.local/state/", "/.cache/", "/Library/Caches/", "/.thlibo/", "\\AppData\\Local\\", "/AppData/Local/")
+TOOL_FOLDERS = ("/.local/state/", "/.cache/", "/Library/Caches/", "\\AppData\\Local\\", "/AppData/Local/")
 TOOL_ENTRYPOINTS = ("sdk-cli", "sdk", "sdk-ts", "sdk-py")
 # Escape sequences, control and invisible characters a label must not hold.
 ANSI = r"\x1b(?:\[[0-9;:<=>?]*[ -/]*[@-~]|\][^\x07\x1b]*(?:\x07|\x1b\\)|[@-Z\\-_])"

@@ -266,7 +266,7 @@ query()(redacted_secrets)
 @query(f"""
 WITH {CUR} SELECT session_id, CASE
   WHEN s LIKE '%agent%' OR parent_id IS NOT NULL THEN 'subagent'
-  WHEN contains(coalesce(cwd, ''), '/.cache/') OR contains(coalesce(cwd, ''), '/.local/state/') OR contains(coalesce(cwd, ''), '/Library/Caches/') OR contains(coalesce(cwd, ''), '/.thlibo/') OR coalesce(user_turns = 0, false) OR coalesce(user_turns <= 1 AND duration_s < 2.0, false) THEN 'tool-invoked'
+  WHEN contains(coalesce(cwd, ''), '/.cache/') OR contains(coalesce(cwd, ''), '/.local/state/') OR contains(coalesce(cwd, ''), '/Library/Caches/') OR coalesce(user_turns = 0, false) OR coalesce(user_turns <= 1 AND duration_s < 2.0, false) THEN 'tool-invoked'
   ELSE 'human' END AS class FROM cur""")
 def provenance_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Who held each session, told anew by its structure."""
