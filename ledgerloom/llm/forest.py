@@ -107,14 +107,14 @@ def plant(classes: DataFrame, forests: dict[str, Forest]) -> DataFrame:
     return classes.mapInArrow(run, "slice int, string long, id long, code binary")
 
 
-def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids met while ascending from each place of a slice's sorted array.
+def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids met while ascending from each place of a slice's sorted array, and their rough cosines.
 
     With ``least`` those whose rough cosine may reach it; else each vector's ``keep`` best.
     """
     width = code.shape[1] - 4
     rows = code[:, :width].view(np.int8).astype(np.float32) * np.ascontiguousarray(code[:, width:]).view("<f4")
-    n, left, right = len(ids), [], []
+    n, left, right, rough = len(ids), [], [], []
     if least is None:
         sims = np.full((n, 2 * ascend), -2, dtype=np.float32)
     for step in range(1, min(ascend, n - 1) + 1):
@@ -126,19 +126,24 @@ def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, k
             hit = np.flatnonzero(dots >= least - ROUGH)
             left.append(ids[hit])
             right.append(ids[hit + step])
+            rough.append(dots[hit])
     if least is None:
         best = np.argpartition(-sims, min(keep, 2 * ascend) - 1, axis=1)[:, :keep]
-        good = np.take_along_axis(sims, best, axis=1) > -2
+        near = np.take_along_axis(sims, best, axis=1)
+        good = near > -2
         place = np.arange(n)[:, None] + np.where(best < ascend, best + 1, ascend - 1 - best)
-        return np.repeat(ids, good.sum(axis=1)), ids[place[good]]
+        return np.repeat(ids, good.sum(axis=1)), ids[place[good]], near[good]
     if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(rough)
 
 
 def candidates(planted: DataFrame, ascend: int, least: float | None, keep: int) -> DataFrame:
-    """Distinct candidate pairs (id, other), the smaller id first."""
-    schema = pa.schema([("id", pa.int64()), ("other", pa.int64())])
+    """Distinct candidate pairs (id, other), the smaller id first.
+
+    Without ``least`` the ``keep`` best of each id by rough cosine over all trees, so that few
+    vectors are fetched for the exact scores; an id has at most ``keep`` from each tree.
+    """
 
     def one(part: pa.Table) -> pa.Table:
         strings = part.column("string").to_numpy()
@@ -148,10 +153,17 @@ def candidates(planted: DataFrame, ascend: int, least: float | None, keep: int)
         start = code.offset * width
         data = np.frombuffer(code.buffers()[2], np.uint8)[start : start + len(code) * width].reshape(-1, width)
         order = np.argsort(strings, kind="stable")
-        a, b = climb(data[order], part.column("id").to_numpy()[order], ascend, least, keep)
-        return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+        a, b, rough = climb(data[order], part.column("id").to_numpy()[order], ascend, least, keep)
+        if least is not None:
+            return pa.table({"id": np.minimum(a, b), "other": np.maximum(a, b)})
+        return pa.table({"id": a, "other": b, "rough": rough})
 
-    return planted.groupBy("slice").applyInArrow(one, "id long, other long").distinct()
+    if least is not None:
+        return planted.groupBy("slice").applyInArrow(one, "id long, other long").distinct()
+    met = planted.groupBy("slice").applyInArrow(one, "id long, other long, rough float")
+    lists = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("rough", "other")), asc=False), 1, keep).alias("_best"))
+    best = lists.select("id", F.explode("_best.other").alias("other"))
+    return best.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
 
 
 def cosine(a: Column, b: Column) -> Column:
