@@ -9,8 +9,9 @@ loses none. Items are stored in blocks with the greatest impact of each term in
 whose bound stays below all its thresholds is skipped, the rest is scored exactly (block-max WAND,
 done for many passages at once on arrays). Retrieved pairs are then verified word by word.
 
-Items come in index blocks of at most ITEMS_A_BLOCK, each broadcast on its own, so what is sent to
-the executors is bounded however many items there are.
+Items come in index blocks of about ITEMS_A_BLOCK items and WORDS_A_BLOCK words, each broadcast on
+its own. An index has four bytes for each pair of a word and an item, so what is sent to the
+executors at once stays below 200 MB (1 MB for the 240 items here), however many items there are.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ WINDOW = 12
 PASSAGE = 64
 K1, B = 1.2, 0.75
 BLOCK = 8
-ITEMS_A_BLOCK = 4096
+ITEMS_A_BLOCK, WORDS_A_BLOCK = 1024, 50_000
 #: Passages scored at once.
 BATCH = 4096
 
@@ -199,18 +200,18 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     Items of fewer words can't leak and documents of fewer can't hold any; null and empty texts give
     no rows; items with the same text leak together; repeated (key, item) come out once. Documents
-    are read where they lie; items go out in blocks of at most ITEMS_A_BLOCK.
+    are read where they lie, once for each block of items.
     """
     spark = documents.sparkSession
     key_type, item_type = dict(documents.dtypes)[key], dict(items.dtypes)[item]
     narrow = spread(documents.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text")))
     numbered = items.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("_item"), F.col(item_text).alias("_text")).distinct()
-    n = numbered.count()
+    size = numbered.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(F.split("_text", " "))), F.lit(0)).alias("words")).first()
     out = None
-    blocks = max(1, -(-n // ITEMS_A_BLOCK))
+    blocks = max(1, -(-size["n"] // ITEMS_A_BLOCK), -(-size["words"] // WORDS_A_BLOCK))
     for block in range(blocks):
         mine = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == block)
-        rows = [(r["_item"], r["_text"]) for r in mine.collect()]  # about ITEMS_A_BLOCK items
+        rows = [(r["_item"], r["_text"]) for r in mine.collect()]  # one block of items
         names = [i for i, _ in rows]
         index = spark.sparkContext.broadcast(ItemIndex([(k, t) for k, (_, t) in enumerate(rows)]))
 
