@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,10 +90,10 @@ def plant(classes: DataFrame, forests: dict[str, Forest]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            models = batch.column("model")
-            for model in models.unique().to_pylist():
-                part = batch.filter(pa.compute.equal(models, model))
-                forest = shared.value[model]
+            spaces = batch.column("space")
+            for space in spaces.unique().to_pylist():
+                part = batch.filter(pa.compute.equal(spaces, space))
+                forest = shared.value[space]
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 rows = unit(matrix(part.column("vec"), len(forest.mean)))
                 strings = forest.strings(rows)
@@ -175,37 +176,37 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: int = TREES, ascend: int = ASCEND) -> DataFrame:
     """model, session_id, ordinal, other_session_id, other_ordinal, cosine, rank: the k most similar other chunks of each.
 
-    Only within one model. With ``least`` neighbours of a smaller cosine aren't looked for. Ties go
+    Only within one model, and there between vectors of one length. With ``least`` neighbours of a smaller cosine aren't looked for. Ties go
     to the smaller key. A key with several different vectors is compared by each of them and never
     with itself. Models with one vector give no rows, as do empty tables.
     """
-    rows = usable(vectors).withColumn("id", F.xxhash64("model", "vec"))
+    rows = usable(vectors).withColumn("id", F.xxhash64("model", "vec")).withColumn("space", F.concat_ws("/", "model", F.size("vec")))
     keys = rows.select("id", "model", "session_id", "ordinal").distinct()
     # grouped by the key of the later joins, which then need no shuffle of the vectors of their own
-    classes = rows.groupBy("id").agg(F.first("model").alias("model"), F.first("vec").alias("vec"))
-    counts = {r["model"]: (r["n"], r["dim"]) for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"), F.min(F.size("vec")).alias("low")).collect()}
+    classes = rows.groupBy("id").agg(F.first("space").alias("space"), F.first("vec").alias("vec"))
+    counts = {r["space"]: (r["n"], r["dim"]) for r in rows.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).collect()}  # a row for each model
     sample: dict[str, list] = {}
     share = min(1_000_000, -(-FIT_ROWS * 1_000_000 // max(1, sum(n for n, _ in counts.values()))))
-    drawn = rows.where(F.pmod(F.xxhash64("session_id", "ordinal"), F.lit(1_000_000)) < share).select("model", "vec").distinct()
+    drawn = rows.where(F.pmod(F.xxhash64("session_id", "ordinal"), F.lit(1_000_000)) < share).select("space", "vec").distinct()
     for r in drawn.limit(2 * FIT_ROWS).collect():
-        sample.setdefault(r["model"], []).append(r["vec"])
+        sample.setdefault(r["space"], []).append(r["vec"])
     forests, first = {}, 0
-    for model, (n, dim) in sorted(counts.items()):
+    for space, (n, dim) in sorted(counts.items()):
         slices = max(1, -(-n // SLICE_ROWS))
-        fitted = unit(np.array(sample[model])) if model in sample else np.zeros((0, dim), np.float32)
+        fitted = unit(np.array(sample[space])) if space in sample else np.zeros((0, dim), np.float32)
         slices = min(slices, max(1, len(fitted)))
-        forests[model] = Forest(fitted, slices, first, trees)
+        forests[space] = Forest(fitted, slices, first, trees)
         first += slices * trees
     if not forests:
         found = classes.select(F.col("id"), F.col("id").alias("other")).where("false")
     else:
         found = candidates(plant(classes, forests), ascend, least, k + 3)
 
-    # asking for the model too keeps all three readings of the classes alike, so that they share one shuffle
-    of = lambda name: classes.select(F.col("id").alias(name), F.col("model").alias(f"model_{name}"), F.col("vec").alias(f"vec_{name}"))
+    # asking for the space too keeps all three readings of the classes alike, so that they share one shuffle
+    of = lambda name: classes.select(F.col("id").alias(name), F.col("space").alias(f"space_{name}"), F.col("vec").alias(f"vec_{name}"))
     scored = found.join(of("id"), "id").join(of("other"), "other")
-    # equal models, said so that the planner doesn't take the model into the join's key, which would shuffle the vectors anew
-    scored = scored.where((F.col("model_id") <= F.col("model_other")) & (F.col("model_id") >= F.col("model_other")))
+    # equal spaces, said so that the planner doesn't take them into the join's key, which would shuffle the vectors anew
+    scored = scored.where((F.col("space_id") <= F.col("space_other")) & (F.col("space_id") >= F.col("space_other")))
     scored = scored.select("id", "other", cosine(F.col("vec_id"), F.col("vec_other")).alias("cosine"))
     if least is not None:
         scored = scored.where(F.col("cosine") >= least)

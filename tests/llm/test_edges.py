@@ -26,7 +26,7 @@ ROWS = {
         (None, "claude", "human", "x", 7, 1e300, "mail a.b@corp.invalid now", NOW, NOW),
     ],
     "documents": [(1, None, None), (2, "", "s"), (3, "word " * 3_000, " S "), (4, "\n \n", "s"), (None, "cut in the midd", "s"), (5, "one two three four five six seven eight nine ten eleven twelve thirteen", "s")],
-    "chunk_vectors": [("a", 0, "m", 2, [1.0, 0.0]), ("a", 1, "m", 2, [1.0, 0.001]), ("b", 0, "m", 2, None), ("b", 1, "m", 2, [0.0, 0.0]), ("b", None, "m", 2, [1.0, 1.0]), (None, 1, "m", 2, [1.0, 1.0]), ("c", 0, "m", None, [1.0, 1.0]), ("c", 0, "k", 2, [float("inf"), 1.0])],
+    "chunk_vectors": [("a", 0, "m", 2, [1.0, 0.0]), ("a", 1, "m", 2, [1.0, 0.001]), ("b", 0, "m", 2, None), ("b", 1, "m", 2, [0.0, 0.0]), ("e", 0, "m", 3, [1.0, 0.0, 0.0]), ("e", 1, "m", 3, [1.0, 0.0, 0.001]), ("b", None, "m", 2, [1.0, 1.0]), (None, 1, "m", 2, [1.0, 1.0]), ("c", 0, "m", None, [1.0, 1.0]), ("c", 0, "k", 2, [float("inf"), 1.0])],
     "eval_items": [(1, "ONE two, three four five six seven eight nine ten eleven twelve!"), (2, None), (3, ""), (None, "x"), (4, "short")],
     "keep_targets": [("claude", "human", 50), ("claude", "human", 50), ("claude", None, 10), (None, None, None), ("codex", "human", 10)],
 }
@@ -67,6 +67,6 @@ def test_defined_results(spark, folders):
     assert got("p1_found") == [("claude", "human", "a")]
     assert got("p2_found") == [("a",), ("d",)]
     assert got("p3_found") == [("a", "title", "person")]
-    assert got("p4_found") == [("m", "a", 0, "a", 1)]
+    assert got("p4_found") == [("m", "a", 0, "a", 1), ("m", "e", 0, "e", 1)]
     assert got("p6_found") == [(3,)]
     assert got("p7_found") == [(5, 1)]
