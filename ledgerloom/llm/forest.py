@@ -30,6 +30,7 @@ TREES = 8
 HASH_BITS = 63
 ASCEND = 64
 SLICE_ROWS = 16_384
+MOST_TASKS = 20_000
 #: The mean and the slices' bounds are fitted on about this many vectors, drawn by a hash of their keys, and never more than twice as many.
 FIT_ROWS = 20_000
 #: What 8 bits a dimension may be off; candidates this far below the least cosine asked for are still scored.
@@ -139,7 +140,7 @@ def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, k
     return np.concatenate(left), np.concatenate(right), np.concatenate(rough)
 
 
-def candidates(planted: DataFrame, ascend: int, least: float | None, keep: int) -> DataFrame:
+def candidates(planted: DataFrame, slices: int, ascend: int, least: float | None, keep: int) -> DataFrame:
     """Distinct candidate pairs (id, other), the smaller id first.
 
     Without ``least`` the ``keep`` best of each id by rough cosine over all trees, so that few
@@ -159,6 +160,8 @@ def candidates(planted: DataFrame, ascend: int, least: float | None, keep: int)
             return pa.table({"id": np.minimum(a, b), "other": np.maximum(a, b)})
         return pa.table({"id": a, "other": b, "rough": rough})
 
+    # a few slices a task, however many there are, whatever the session's number of partitions
+    planted = planted.repartition(max(1, min(slices // 4, MOST_TASKS)), "slice")
     if least is not None:
         return planted.groupBy("slice").applyInArrow(one, "id long, other long").distinct()
     met = planted.groupBy("slice").applyInArrow(one, "id long, other long, rough float")
@@ -200,7 +203,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: i
     if not forests:
         found = classes.select(F.col("id"), F.col("id").alias("other")).where("false")
     else:
-        found = candidates(plant(classes, forests), ascend, least, k + 3)
+        found = candidates(plant(classes, forests), first, ascend, least, k + 3)
 
     # asking for the space too keeps all three readings of the classes alike, so that they share one shuffle
     of = lambda name: classes.select(F.col("id").alias(name), F.col("space").alias(f"space_{name}"), F.col("vec").alias(f"vec_{name}"))
