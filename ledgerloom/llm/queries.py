@@ -43,7 +43,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """All five neighbours, however far: more trees and a longer ascent than close pairs need."""
-    return forest.nearest(table(spark, folder, "chunk_vectors"), trees=16, ascend=512)
+    return forest.nearest(table(spark, folder, "chunk_vectors"), trees=40, ascend=512)
 
 
 def p5_daily(spark: SparkSession, folder: str) -> DataFrame:
