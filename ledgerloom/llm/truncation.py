@@ -11,8 +11,8 @@ Three kinds of evidence are multiplied into the odds that a text was cut where i
   lengths around it, and few longer, has a field limit there; one whose texts pile up in a narrow
   band with few beyond cuts at the last word before a limit.
 
-Last lines that end a fair share of all documents ("Done", "Thanks", "And so on...") are closings.
-All counts run over all documents. What has to be counted is only the contexts in which documents
+Last lines that end a fair share of all different texts ("Done", "Thanks", "And so on...") are
+closings; copies of one text are one there. All other counts run over all documents. What has to be counted is only the contexts in which documents
 end; a bitmap of fixed size tells the counting tasks which these may be, and a join settles it.
 """
 
@@ -36,7 +36,7 @@ ORDERS = 4
 TAIL_CHARS = 400
 BITS = 24
 FLUSH = 200_000
-#: Odds that a text is cut before anything is known of it, and the share of all documents from which a last line is a closing.
+#: Odds that a text is cut before anything is known of it, and the share of all different texts from which a last line is a closing.
 PRIOR = 0.07
 CLOSING_SHARE = 0.002
 #: Factors on the odds.
@@ -146,14 +146,14 @@ def tail_facts(text: str | None, tokens: Tokens) -> tuple:
 
 
 def tails(documents: DataFrame) -> DataFrame:
-    """One row a document with a text: doc_id, source, lengths, whether a code fence is open, and the facts of its end."""
+    """One row a document with a text: doc_id, source, lengths, whether a code fence is open, a hash that copies share, and the facts of its end."""
     text = F.col("text")
     fences = F.regexp_count(text, F.lit(r"(?m)^[ \t]*```"))
-    narrow = documents.where(F.length(F.btrim(text, F.lit(" \t\r\n"))) > 0).select("doc_id", label("source").alias("source"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"), (fences % 2 == 1).alias("open_fence"), F.right(F.rtrim(text), F.lit(TAIL_CHARS)).alias("_tail"))
+    narrow = documents.where(F.length(F.btrim(text, F.lit(" \t\r\n"))) > 0).select("doc_id", label("source").alias("source"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"), (fences % 2 == 1).alias("open_fence"), F.xxhash64(F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"\s+", " ")).alias("copy"), F.right(F.rtrim(text), F.lit(TAIL_CHARS)).alias("_tail"))
     facts = ["last", *[f"h{k}" for k in range(1, ORDERS + 1)], "broken", "marked", "stopped", "line"]
-    kept = ["doc_id", "source", "chars", "bytes", "open_fence"]
+    kept = ["doc_id", "source", "chars", "bytes", "open_fence", "copy"]
     id_type = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, source string, chars int, bytes int, open_fence boolean, last string, " + ", ".join(f"h{k} long" for k in range(1, ORDERS + 1)) + ", broken boolean, marked boolean, stopped boolean, line string"
+    schema = f"doc_id {id_type}, source string, chars int, bytes int, open_fence boolean, copy long, last string, " + ", ".join(f"h{k} long" for k in range(1, ORDERS + 1)) + ", broken boolean, marked boolean, stopped boolean, line string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens()
@@ -284,8 +284,8 @@ def truncation_odds(documents: DataFrame) -> DataFrame:
     facts = ends.join(nodes.withColumnRenamed("prefix", "last"), "last", "left")
     for k in range(1, ORDERS + 1):
         facts = facts.join(after.select(F.col("h").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("ends").alias(f"e{k}")), f"h{k}", "left")
-    total = ends.count()
-    closings = ends.groupBy("line").agg(F.count(F.lit(1)).alias("_lines")).where((F.col("_lines") >= 3) & (F.col("_lines") >= CLOSING_SHARE * total)).select("line", F.lit(True).alias("closing"))
+    total = ends.select("copy").distinct().count()
+    closings = ends.groupBy("line").agg(F.count_distinct("copy").alias("_lines")).where((F.col("_lines") >= 3) & (F.col("_lines") >= CLOSING_SHARE * total)).select("line", F.lit(True).alias("closing"))
     facts = facts.join(closings, "line", "left")
     limits = field_limits(ends)
     hits = ends.join(limits, "source").where(F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes")).between(F.col("low"), F.col("high")))
@@ -301,7 +301,9 @@ def truncation_odds(documents: DataFrame) -> DataFrame:
     known = F.when(F.col("n2") > 0, whole).otherwise(whole / UNSEEN_PAIR)
     word = F.when(F.col("last") == "", F.lit(1.0)).otherwise((known + longer + 0.1) / (known + 0.1))
     prose = F.when(F.col("stopped"), F.lit(STOPPED)).otherwise(word * F.col("rate") / F.greatest(p, F.lit(1e-4)))
-    prose = F.when(F.coalesce("closing", F.lit(False)), F.least(prose, F.lit(1.0)) * CLOSING).otherwise(prose)
+    # a closing says nothing against a proven limit or a broken character
+    proven = F.coalesce("at_limit", F.lit(False)) | F.col("broken")
+    prose = F.when(F.coalesce("closing", F.lit(False)) & ~proven, F.least(prose, F.lit(1.0)) * CLOSING).otherwise(prose)
     odds = PRIOR * prose
     odds = odds * F.when(F.col("at_limit"), F.lit(AT_LIMIT)).when(~F.col("at_limit"), F.lit(IN_BAND)).otherwise(1.0)
     mark = F.when(F.col("at_limit").isNotNull(), F.lit(MARKED_THERE)).otherwise(F.lit(MARKED))

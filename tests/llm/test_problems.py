@@ -340,3 +340,20 @@ def test_field_limit_is_found(spark):
 def test_trie_counts(spark):
     nodes = {r.prefix: (r.whole, r.longer) for r in truncation.trie(spark.createDataFrame([("cat", 3), ("cater", 2)], "word string, n long")).collect()}
     assert nodes == {"c": (0, 5), "ca": (0, 5), "cat": (3, 2), "cate": (0, 2), "cater": (2, 0)}
+
+
+def test_copies_of_a_cut_text_are_no_closing(spark):
+    rng = random.Random(22)
+    things, verbs = ["the job queue", "the rate limiter", "a smoke test", "the lock row"], ["restarts", "measures", "inspects", "validates"]
+    sentence = lambda: f"{rng.choice(things)} {rng.choice(verbs)} {rng.choice(things)} after lunch.".capitalize()
+    docs = [(d, " ".join(sentence() for _ in range(rng.randrange(2, 9))), "a") for d in range(400)]
+    docs += [(1000 + d, docs[d][1] + "\n\nThanks", "a") for d in range(20)]
+    cut = " ".join(sentence() for _ in range(4)) + " The job queue rest"
+    docs += [(2000 + d, cut + " " * (d % 2), "a") for d in range(30)]
+    # a proven limit and a broken character count against a closing, too
+    docs += [(3000 + d, f"{docs[d][1]} {docs[d + 40][1]} {'x' * 2000}"[: 2000 - 20] + "\nPlease see the lock ", "b") for d in range(30)]
+    docs += [(4000 + d, docs[d][1] + "\nsee R\\u00", "a") for d in range(10)]
+    got = {r.doc_id for r in truncation.truncated(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert {d for d, _, _ in docs if 2000 <= d < 3000 or d >= 4000} <= got
+    assert not any(d < 2000 for d in got)
+    assert {3000 + d for d in range(30)} <= got
