@@ -10,13 +10,20 @@ longest prefixes of every tree first and of ever shorter ones after them.
 The arrays are cut into slices of a few thousand vectors at quantiles of the hash strings, taken
 from a bounded sample; equal strings at a cut are dealt out over the slices that meet there, so
 no slice grows with a hot string. Slices carry vectors in 8 bits a dimension; the candidates they
-name are scored again with the vectors themselves. Equal vectors are one class in the forest,
+name are scored again with the vectors themselves.
+
+A vector that meets more than k others of the least cosine asked for on one ascent lies in a crowd,
+which no prefix divides well enough: it is compared with every vector that may be that close. Such
+vectors go out in blocks, each divided into groups of a stated radius around leaders, so that all
+vectors too far from a group's leader are passed over without loss; this is exact for crowds of any
+size, and its cost grows with the product of a crowd and its surroundings. Equal vectors are one class in the forest,
 whatever their number, and are opened to their members at the end, of which no result needs more
 than the first k + 1.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.session import shared_folder
+
 TREES = 8
 HASH_BITS = 63
 ASCEND = 64
@@ -36,6 +45,15 @@ FIT_ROWS = 20_000
 #: What 8 bits a dimension may be off; candidates this far below the least cosine asked for are still scored.
 ROUGH = 0.012
 SEED = 71
+#: Vectors compared with all others go out in blocks of so many bytes, in groups of this radius (radians) around at most so many leaders; what lies near none of these is compared without bounds.
+BLOCK_BYTES = 32_000_000
+RADIUS = 0.45
+LEADERS = 256
+#: Queries scored at once, and what a cosine in single precision may be off.
+AT_ONCE = 512
+SLACK = 1e-5
+#: Bits of the filter that tells which vectors are fetched for exact scores.
+BITS = 24
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -109,10 +127,12 @@ def plant(classes: DataFrame, forests: dict[str, Forest]) -> DataFrame:
     return classes.mapInArrow(run, "slice int, string long, id long, code binary")
 
 
-def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, keep: int, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of ids met while ascending from each place of a slice's sorted array, and their rough cosines.
 
-    With ``least`` those whose rough cosine may reach it; else each vector's ``keep`` best.
+    With ``least`` those whose rough cosine may reach it; else each vector's ``keep`` best. Vectors
+    that meet more than ``crowd`` of such are told by a pair with themselves, and pairs of two of
+    them are left to ``against_all``.
     """
     width = code.shape[1] - 4
     rows = code[:, :width].view(np.int8).astype(np.float32) * np.ascontiguousarray(code[:, width:]).view("<f4")
@@ -126,8 +146,8 @@ def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, k
             sims[step:, ascend + step - 1] = dots
         else:
             hit = np.flatnonzero(dots >= least - ROUGH)
-            left.append(ids[hit])
-            right.append(ids[hit + step])
+            left.append(hit)
+            right.append(hit + step)
             rough.append(dots[hit])
     if least is None:
         best = np.argpartition(-sims, min(keep, 2 * ascend) - 1, axis=1)[:, :keep]
@@ -137,11 +157,15 @@ def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, k
         return np.repeat(ids, good.sum(axis=1)), ids[place[good]], near[good]
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    return np.concatenate(left), np.concatenate(right), np.concatenate(rough)
+    a, b, rough = np.concatenate(left), np.concatenate(right), np.concatenate(rough)
+    crowded = np.bincount(a, minlength=n) + np.bincount(b, minlength=n) > crowd
+    open_ = ~(crowded[a] & crowded[b])
+    own = np.flatnonzero(crowded)
+    return ids[np.concatenate((a[open_], own))], ids[np.concatenate((b[open_], own))], np.concatenate((rough[open_], np.ones(len(own), np.float32)))
 
 
-def candidates(planted: DataFrame, slices: int, ascend: int, least: float | None, keep: int) -> DataFrame:
-    """Distinct candidate pairs (id, other), the smaller id first.
+def candidates(planted: DataFrame, slices: int, ascend: int, least: float | None, keep: int, crowd: int) -> DataFrame:
+    """Distinct candidate pairs (id, other), the smaller id first; with ``least`` also (id, id) for vectors in a crowd.
 
     Without ``least`` the ``keep`` best of each id by rough cosine over all trees, so that few
     vectors are fetched for the exact scores; an id has at most ``keep`` from each tree.
@@ -155,7 +179,7 @@ def candidates(planted: DataFrame, slices: int, ascend: int, least: float | None
         start = code.offset * width
         data = np.frombuffer(code.buffers()[2], np.uint8)[start : start + len(code) * width].reshape(-1, width)
         order = np.argsort(strings, kind="stable")
-        a, b, rough = climb(data[order], part.column("id").to_numpy()[order], ascend, least, keep)
+        a, b, rough = climb(data[order], part.column("id").to_numpy()[order], ascend, least, keep, crowd)
         if least is not None:
             return pa.table({"id": np.minimum(a, b), "other": np.maximum(a, b)})
         return pa.table({"id": a, "other": b, "rough": rough})
@@ -165,11 +189,138 @@ def candidates(planted: DataFrame, slices: int, ascend: int, least: float | None
     if least is not None:
         return planted.groupBy("slice").applyInArrow(one, "id long, other long").distinct()
     met = planted.groupBy("slice").applyInArrow(one, "id long, other long, rough float")
+    return best_pairs(met, keep)
+
+
+def best_pairs(met: DataFrame, keep: int) -> DataFrame:
+    """Distinct pairs (id, other), the smaller id first, of each id's ``keep`` best by rough cosine."""
     lists = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("rough", "other")), asc=False), 1, keep).alias("_best"))
     best = lists.select("id", F.explode("_best.other").alias("other"))
     return best.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
 
 
+class Block:
+    """Vectors of one space that are compared with all others, in groups around leaders."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, least: float | None):
+        group = np.full(len(rows), -1)
+        leaders = []
+        if least is not None:
+            rest = np.arange(len(rows))
+            while len(rest) and len(leaders) < LEADERS:
+                near = rows[rest] @ rows[rest[0]] >= np.cos(RADIUS)
+                near[0] = True
+                group[rest[near]] = len(leaders)
+                leaders.append(rows[rest[0]])
+                rest = rest[~near]
+        order = np.argsort(group, kind="stable")
+        self.ids, self.rows, self.least = ids[order], rows[order], -2.0 if least is None else least - SLACK
+        self.leaders = np.array(leaders, np.float32).reshape(-1, rows.shape[1])
+        self.starts = np.searchsorted(group[order], np.arange(-1, len(leaders) + 1))
+        self.reach = -2.0 if least is None else np.cos(min(np.pi, RADIUS + np.arccos(max(-1.0, self.least)))) - SLACK
+
+
+class Scan:
+    """The ``keep`` best of each vector of a block among all vectors met so far."""
+
+    def __init__(self, block: Block, keep: int):
+        self.block, self.keep = block, keep
+        self.sims = np.full((len(block.ids), keep), -3, np.float32)
+        self.others = np.zeros((len(block.ids), keep), np.int64)
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        block = self.block
+        ids, first = np.unique(ids, return_index=True)
+        rows = rows[first]
+        near = rows @ block.leaders.T >= block.reach
+        for g, (a, z) in enumerate(zip(block.starts[:-1], block.starts[1:])):
+            if a == z:
+                continue
+            at = slice(None) if g == 0 else np.flatnonzero(near[:, g - 1])
+            some, some_ids = rows[at], ids[at]
+            if len(some):
+                for start in range(a, z, AT_ONCE):
+                    self.score(start, min(z, start + AT_ONCE), some, some_ids)
+
+    def score(self, a: int, z: int, rows: np.ndarray, ids: np.ndarray) -> None:
+        keep, own = self.keep, self.block.ids[a:z]
+        sims = self.block.rows[a:z] @ rows.T
+        floor = np.maximum(self.sims[a:z].min(axis=1), self.block.least)
+        # held ones and the vector itself may be met again, so that many more are looked at
+        need, parts = 2 * keep + 1, 16
+        wide = len(ids) // parts
+        if wide > need:
+            # the best of each of ``wide`` disjoint sets: the need-th of them is a lower bound of the need-th of all
+            tops = sims[:, : wide * parts].reshape(len(own), parts, wide).max(axis=1)
+            floor = np.maximum(floor, np.partition(tops, wide - need, axis=1)[:, wide - need])
+        hit = np.flatnonzero(sims >= floor[:, None])
+        q, y = hit // len(ids), hit % len(ids)
+        new = (ids[y] != own[q]) & (self.others[a + q] != ids[y][:, None]).all(axis=1)
+        q, y = q[new], y[new]
+        if not len(q):
+            return
+        u = np.unique(q)
+        who = np.concatenate((np.repeat(u, keep), q))
+        sim = np.concatenate((self.sims[a + u].ravel(), sims[q, y]))
+        other = np.concatenate((self.others[a + u].ravel(), ids[y]))
+        order = np.lexsort((-sim, who))
+        starts = np.searchsorted(who[order], u)
+        best = order[(starts[:, None] + np.arange(keep)).ravel()]
+        self.sims[a + u], self.others[a + u] = sim[best].reshape(-1, keep), other[best].reshape(-1, keep)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, at = np.nonzero(self.sims > -3)
+        return self.block.ids[q], self.others[q, at], self.sims[q, at]
+
+
+def against_all(wanted: DataFrame, rows: DataFrame, least: float | None, keep: int, folder: str) -> DataFrame:
+    """Distinct pairs (id, other) of the ``keep`` most similar of all ``rows`` for each of ``wanted``, which is read again for each block."""
+    spark = rows.sparkSession
+    size = wanted.agg(F.sum(F.size("vec") * 4)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for number in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).select("id", "space", "vec").toArrow()
+        held = {}
+        for space in part.column("space").unique().to_pylist():
+            mine = part.filter(pa.compute.equal(part.column("space"), space))
+            vec = mine.column("vec")
+            held[space] = Block(mine.column("id").to_numpy(), unit(matrix(vec, len(vec[0]))), least)
+        shared = spark.sparkContext.broadcast(held)  # BLOCK_BYTES and as much again for ids at the most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scans = {space: Scan(block, keep) for space, block in shared.value.items()}  # noqa: B023
+            for batch in batches:
+                spaces = batch.column("space")
+                for space in spaces.unique().to_pylist():
+                    if space in scans:
+                        mine = batch.filter(pa.compute.equal(spaces, space))
+                        scans[space].meet(mine.column("id").to_numpy(zero_copy_only=False), unit(matrix(mine.column("vec"), scans[space].block.rows.shape[1])))
+            for scan in scans.values():
+                a, b, rough = scan.found()
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(rough)], ["id", "other", "rough"])
+
+        rows.select("id", "space", "vec").mapInArrow(run, "id long, other long, rough float").write.parquet(f"{folder}/block={number}")
+        shared.destroy()
+    return best_pairs(spark.read.schema("id long, other long, rough float").parquet(*[f"{folder}/block={number}" for number in range(blocks)]), keep)
+
+
+def named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of ``rows`` that ``found`` may name: a bitmap of fixed size is asked."""
+    bit = F.call_function("shiftrightunsigned", F.col("id"), F.lit(64 - BITS))
+    ids = found.select(F.explode(F.array("id", "other")).alias("id")).select(bit.alias("bit"))
+    words = ids.groupBy(F.call_function("shiftright", F.col("bit"), F.lit(6)).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")).toPandas()
+    bits = np.zeros(2 ** (BITS - 6), dtype="<i8")  # 2**BITS bits, whatever the number of vectors
+    bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)
+            yield batch.filter(pa.array((shared.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+
+    return rows.select("id", "space", "vec").mapInArrow(run, "id long, space string, vec array<float>")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -202,8 +353,19 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: i
         first += slices * trees
     if not forests:
         found = classes.select(F.col("id"), F.col("id").alias("other")).where("false")
+    elif least is None:
+        found = candidates(plant(classes, forests), first, ascend, None, k + 3, k)
     else:
-        found = candidates(plant(classes, forests), first, ascend, least, k + 3)
+        # pairs of ids alone are written, so that the crowd can be looked for in them
+        folder = f"{shared_folder(vectors.sparkSession)}/forest-{uuid.uuid4().hex}"
+        candidates(plant(classes, forests), first, ascend, least, k + 3, k).write.parquet(f"{folder}/met")
+        met = vectors.sparkSession.read.parquet(f"{folder}/met")
+        found, crowd = met.where("id <> other"), met.where("id = other").select("id")
+        if not crowd.isEmpty():
+            of_crowd = named(rows, crowd.withColumn("other", F.col("id"))).dropDuplicates(["id"]).join(crowd, "id", "left_semi")
+            of_crowd.write.parquet(f"{folder}/crowd")
+            found = found.unionByName(against_all(vectors.sparkSession.read.parquet(f"{folder}/crowd"), rows, least, k + 3, f"{folder}/exact")).distinct()
+        classes = named(rows, found).groupBy("id").agg(F.first("space").alias("space"), F.first("vec").alias("vec"))
 
     # asking for the space too keeps all three readings of the classes alike, so that they share one shuffle
     of = lambda name: classes.select(F.col("id").alias(name), F.col("space").alias(f"space_{name}"), F.col("vec").alias(f"vec_{name}"))

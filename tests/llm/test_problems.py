@@ -357,3 +357,26 @@ def test_copies_of_a_cut_text_are_no_closing(spark):
     assert {d for d, _, _ in docs if 2000 <= d < 3000 or d >= 4000} <= got
     assert not any(d < 2000 for d in got)
     assert {3000 + d for d in range(30)} <= got
+
+
+def clustered(rows, members, dim=64):
+    """Vectors of which the first ``members`` have pairwise cosines of about 0.95."""
+    rng = np.random.default_rng(4)
+    near = rng.standard_normal((rows, dim))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    near[:members] = near[-1] + np.sqrt(1 / 0.95 - 1) * near[:members]
+    near[-1] = rng.standard_normal(dim)
+    return near.astype(np.float32)
+
+
+def test_a_crowd_of_a_third_is_found_whole(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK_BYTES", 400_000, raising=False)  # several blocks
+    vectors = clustered(6_000, 2_000)
+    frame = spark.createDataFrame(pd.DataFrame({"session_id": [f"{i:04d}" for i in range(6_000)], "ordinal": 0, "model": "m", "dim": 64, "vec": [v.tolist() for v in vectors]}), "session_id string, ordinal int, model string, dim int, vec array<float>")
+    frame = frame.unionByName(frame.where("session_id < '0300'"))  # repeated rows count once
+    got = {(int(r.session_id_a), int(r.session_id_b)) for r in forest.similar_pairs(frame).collect()}
+    units = forest.unit(vectors.astype(np.float64))
+    sims = units @ units.T
+    np.fill_diagonal(sims, -2)
+    truth = {(min(i, int(j)), max(i, int(j))) for i in range(6_000) for j in np.argsort(-sims[i])[:5] if sims[i, j] >= 0.93}
+    assert len(truth) > 5_000 and len(got & truth) >= 0.999 * len(truth) and len(got - truth) <= 0.001 * len(truth), (len(got & truth), len(truth), len(got - truth))
