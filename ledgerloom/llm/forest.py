@@ -327,17 +327,8 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: int = TREES, ascend: int = ASCEND) -> DataFrame:
-    """model, session_id, ordinal, other_session_id, other_ordinal, cosine, rank: the k most similar other chunks of each.
-
-    Only within one model, and there between vectors of one length. With ``least`` neighbours of a smaller cosine aren't looked for. Ties go
-    to the smaller key. A key with several different vectors is compared by each of them and never
-    with itself. Models with one vector give no rows, as do empty tables.
-    """
-    rows = usable(vectors).withColumn("id", F.xxhash64("model", "vec")).withColumn("space", F.concat_ws("/", "model", F.size("vec")))
-    keys = rows.select("id", "model", "session_id", "ordinal").distinct()
-    # grouped by the key of the later joins, which then need no shuffle of the vectors of their own
-    classes = rows.groupBy("id").agg(F.first("space").alias("space"), F.first("vec").alias("vec"))
+def fitted(rows: DataFrame, trees: int) -> tuple[dict[str, Forest], int]:
+    """Each space's forest, and the number of slices of all."""
     counts = {r["space"]: (r["n"], r["dim"]) for r in rows.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).collect()}  # a row for each model
     sample: dict[str, list] = {}
     share = min(1_000_000, -(-FIT_ROWS * 1_000_000 // max(1, sum(n for n, _ in counts.values()))))
@@ -347,11 +338,31 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: i
     forests, first = {}, 0
     for space, (n, dim) in sorted(counts.items()):
         slices = max(1, -(-n // SLICE_ROWS))
-        fitted = unit(np.array(sample[space])) if space in sample else np.zeros((0, dim), np.float32)
-        slices = min(slices, max(1, len(fitted)))
-        forests[space] = Forest(fitted, slices, first, trees)
+        drawn_rows = unit(np.array(sample[space])) if space in sample else np.zeros((0, dim), np.float32)
+        slices = min(slices, max(1, len(drawn_rows)))
+        forests[space] = Forest(drawn_rows, slices, first, trees)
         first += slices * trees
-    if not forests:
+    return forests, first
+
+
+def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: int = TREES, ascend: int = ASCEND, exact: bool = False) -> DataFrame:
+    """model, session_id, ordinal, other_session_id, other_ordinal, cosine, rank: the k most similar other chunks of each.
+
+    Only within one model, and there between vectors of one length. With ``least`` neighbours of a smaller cosine aren't looked for; with ``exact`` there is no forest and all are compared with all. Ties go
+    to the smaller key. A key with several different vectors is compared by each of them and never
+    with itself. Models with one vector give no rows, as do empty tables.
+    """
+    rows = usable(vectors).withColumn("id", F.xxhash64("model", "vec")).withColumn("space", F.concat_ws("/", "model", F.size("vec")))
+    keys = rows.select("id", "model", "session_id", "ordinal").distinct()
+    # grouped by the key of the later joins, which then need no shuffle of the vectors of their own
+    classes = rows.groupBy("id").agg(F.first("space").alias("space"), F.first("vec").alias("vec"))
+    forests, first = ({}, 0) if exact else fitted(rows, trees)
+    if exact:
+        folder = f"{shared_folder(vectors.sparkSession)}/forest-{uuid.uuid4().hex}"
+        classes.write.parquet(f"{folder}/classes")
+        classes = vectors.sparkSession.read.parquet(f"{folder}/classes")
+        found = against_all(classes, classes, least, k + 3, f"{folder}/exact")
+    elif not forests:
         found = classes.select(F.col("id"), F.col("id").alias("other")).where("false")
     elif least is None:
         found = candidates(plant(classes, forests), first, ascend, None, k + 3, k)

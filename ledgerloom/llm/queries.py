@@ -42,8 +42,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    """All five neighbours, however far: more trees and a longer ascent than close pairs need."""
-    return forest.nearest(table(spark, folder, "chunk_vectors"), trees=40, ascend=512)
+    """All five neighbours, however far: no index separates those, so all vectors are compared with all."""
+    return forest.nearest(table(spark, folder, "chunk_vectors"), exact=True)
 
 
 def p5_daily(spark: SparkSession, folder: str) -> DataFrame:

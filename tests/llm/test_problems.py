@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerloom.llm import dyadic_sketch, forest, keep_cutoff, leakage, packing, pii, pii_train, splitter, truncation
+from ledgerloom.llm.queries import QUERIES
 
 
 # 1: cutoffs
@@ -380,3 +381,20 @@ def test_a_crowd_of_a_third_is_found_whole(spark, monkeypatch):
     np.fill_diagonal(sims, -2)
     truth = {(min(i, int(j)), max(i, int(j))) for i in range(6_000) for j in np.argsort(-sims[i])[:5] if sims[i, j] >= 0.93}
     assert len(truth) > 5_000 and len(got & truth) >= 0.999 * len(truth) and len(got - truth) <= 0.001 * len(truth), (len(got & truth), len(truth), len(got - truth))
+
+
+def test_all_neighbours_of_many_vectors(spark, tmp_path, monkeypatch):
+    """Far neighbours are found whole, however small a share an ascent would meet."""
+    monkeypatch.setattr(forest, "BLOCK_BYTES", 300_000, raising=False)
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal((30_000, 32)).astype(np.float32)
+    frame = pd.DataFrame({"session_id": [f"{i:05d}" for i in range(len(vectors))], "ordinal": np.zeros(len(vectors), np.int32), "model": "m", "dim": np.full(len(vectors), 32, np.int32), "vec": list(vectors)})
+    frame.to_parquet(tmp_path / "chunk_vectors.parquet")
+    got = {}
+    for r in QUERIES["p4_neighbors"](spark, str(tmp_path)).where("ordinal = 0 and session_id < '00300'").collect():
+        got.setdefault(int(r.session_id), set()).add(int(r.other_session_id))
+    units = forest.unit(vectors.astype(np.float64))
+    sims = units[:300] @ units.T
+    sims[np.arange(300), np.arange(300)] = -2
+    truth = {i: set(np.argsort(-sims[i])[:5].tolist()) for i in range(300)}
+    assert sum(len(got[i] & truth[i]) for i in truth) >= 0.9999 * 1500
