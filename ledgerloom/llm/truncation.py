@@ -12,7 +12,7 @@ Three kinds of evidence are multiplied into the odds that a text was cut where i
   band with few beyond cuts at the last word before a limit.
 
 Last lines that end a fair share of all different texts ("Done", "Thanks", "And so on...") are
-closings; copies of one text are one there. All other counts run over all documents. What has to be counted is only the contexts in which documents
+closings; copies of one text are one there, as for lengths. All other counts run over all documents. What has to be counted is only the contexts in which documents
 end; a bitmap of fixed size tells the counting tasks which these may be, and a join settles it.
 """
 
@@ -287,7 +287,7 @@ def truncation_odds(documents: DataFrame) -> DataFrame:
     total = ends.select("copy").distinct().count()
     closings = ends.groupBy("line").agg(F.count_distinct("copy").alias("_lines")).where((F.col("_lines") >= 3) & (F.col("_lines") >= CLOSING_SHARE * total)).select("line", F.lit(True).alias("closing"))
     facts = facts.join(closings, "line", "left")
-    limits = field_limits(ends)
+    limits = field_limits(ends.select("source", "chars", "bytes", "copy").distinct())
     hits = ends.join(limits, "source").where(F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes")).between(F.col("low"), F.col("high")))
     hits = hits.groupBy("doc_id").agg(F.max("exact").alias("at_limit"))
     facts = facts.join(hits, "doc_id", "left").withColumn("rate", F.lit(float(rate or 0.0)))

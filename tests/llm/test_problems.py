@@ -398,3 +398,19 @@ def test_all_neighbours_of_many_vectors(spark, tmp_path, monkeypatch):
     sims[np.arange(300), np.arange(300)] = -2
     truth = {i: set(np.argsort(-sims[i])[:5].tolist()) for i in range(300)}
     assert sum(len(got[i] & truth[i]) for i in truth) >= 0.9999 * 1500
+
+
+def test_copies_make_and_hide_no_field_limit(spark):
+    rng = random.Random(23)
+    things = ["the job queue", "the rate limiter", "a smoke test", "the lock row"]
+    sentence = lambda: f"{rng.choice(things)} restarts {rng.choice(things)} after lunch.".capitalize()
+    text = lambda n: " ".join(sentence() for _ in range(n))
+    docs = [(d, text(rng.randrange(2, 5)), "a") for d in range(60)]
+    docs.append((1000, text(9), "a"))
+    docs += [(2000 + d, docs[60][1], "a") for d in range(30)]  # copies of one complete text
+    docs += [(3000 + d, text(60)[:1000], "b") for d in range(20)]  # a real limit, with a longer text copied beyond it
+    longer = text(80)
+    docs += [(4000 + d, longer, "b") for d in range(60)] + [(5000 + d, text(3), "b") for d in range(30)]
+    got = {r.doc_id: r for r in truncation.truncation_odds(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert not any(got[2000 + d].at_limit for d in range(30))
+    assert all(got[3000 + d].at_limit for d in range(20))
