@@ -59,6 +59,8 @@ NUMBER = re.compile(r"\d[\d ().\-/]{3,}\d")
 WIDE_NUMBER = re.compile(r"(?:tel:)?(?<![\w.])(?:[A-Z]{1,3}[ -]?)?\+?\(?\d[\d ().\-/‐‑–]*\d(?:(?: ?[-]?[A-Z])?(?!\w)|(?= ?(?:x|ext\.?|#) ?\d))(?: ?(?:x|ext\.?|#) ?\d+)?(?!\w)")
 STREET_CUE = re.compile(r"(?<![\w/.@-])(?:" + "|".join(sorted(STREETS - {"st", "via"})) + r"|St\.?(?= )|st\.|[^\W\d_]{3,}(?:weg|straße|strasse|str\.|gasse|platz)|Kanal|P\.? ?O\.? Box)(?![\w/@-])", re.I)
 NAMELIKE = re.compile(r"[A-ZÀ-ÖØ-ÞŁŚŽČ]?[a-zß-öø-ÿłśžčąęńżźćőűşğı]+(?:['’-][A-ZÀ-Þ]?[a-zß-ÿ]+)*|[A-ZÀ-ÖØ-Þ]{2,}(?:[-'’][A-ZÀ-Þ]+)*")
+#: A capitalised word, ordinary or not, after a title or an initial; given names are anchors themselves.
+NAMED = re.compile(r"(?<![\w/.@])(?:(?:" + "|".join(t.title() for t in sorted(TITLES)) + r")\.?|[A-ZÀ-Þ]\.) (?=[A-ZÀ-Þ][a-zß-ÿ]+(?![\w/@]))")
 EDGES = ".,;:!?\"'()[]{}<>|=*`#…。、-"
 IDENTIFIER = re.compile(r"(?:Job|Error|Map)$")
 
@@ -113,6 +115,7 @@ def anchors(text: str, model: Model) -> list[tuple[int, int]]:
             if (at == 0 or not (text[at - 1].isalnum() or text[at - 1] in "_/.@")) and (end == len(text) or not (text[end].isalnum() or text[end] in "_/@")):
                 found.append((at, end))
             at = text.find(name, end)
+    found += [m.span() for m in NAMED.finditer(text)]
     found += [m.span() for m in STREET_CUE.finditer(text)] if names or any(c.isdigit() for c in text) else []
     return sorted(found)
 
@@ -218,7 +221,7 @@ class Window:
                         if (classes[j - 1] in ("N", "Z", "S", "I", "i", "L") or classes[j - 1][-1] in "CAlm" or last == ".") and any(c in ("N", "Z") for c in classes[i:j]):
                             yield i, j, "address"
         for k in range(n):
-            if classes[k][0] not in "uG" or len(classes[k]) != 2:
+            if (classes[k][0] not in "uG" or len(classes[k]) != 2) and not self.named(k):
                 continue
             for i in range(max(0, k - 5), k + 1):
                 if not self.nameable(i):
@@ -226,12 +229,26 @@ class Window:
                 for j in range(k + 1, min(n, i + 8) + 1):
                     if not all(self.inside(t) for t in range(i, j)):
                         break
-                    if self.nameable(j - 1) and (j - i > 1 or classes[i][1] != "l"):  # one lower-case word is never a name by itself
+                    if self.nameable(j - 1) and (j - i > 1 or classes[i][-1] != "l"):  # one lower-case word is never a name by itself
                         yield i, j, "person"
 
+    def named(self, k: int) -> bool:
+        """Whether an ordinary word stands where a name may: capitalised, after a title, an initial with its stop, or a given name."""
+        if not self.capital(k):
+            return False
+        stop = k > 1 and self.tokens[k - 1] == "."
+        before = k - 2 if stop else k - 1
+        if before < 0:
+            return False
+        c = self.classes[before]
+        return c == "T" and self.tokens[before][0].isupper() or c == "I" and stop or c == "GC" and not stop
+
+    def capital(self, k: int) -> bool:
+        return self.classes[k] == "kC" or self.classes[k] == "S" and self.tokens[k][0].isupper()
+
     def nameable(self, k: int) -> bool:
         c = self.classes[k]
-        return c in ("T", "I", "L") or len(c) == 2 and c[0] in "uGk" and c[1] in "CAl"
+        return c in ("T", "I", "L") or c == "S" and self.named(k) or len(c) == 2 and c[0] in "uGk" and c[1] in "CAl"
 
     def inside(self, k: int) -> bool:
         return self.nameable(k) or self.tokens[k] in ".,-"

@@ -119,6 +119,12 @@ def test_spans_restore_the_text():
         assert out + text[last:] == text
 
 
+@pytest.mark.parametrize("name", ["J. Page", "Dr. Long", "Mrs. Street"])
+def test_names_of_ordinary_words(name):
+    text = f"Ask {name} before you merge this."
+    assert [(text[a:z], k) for a, z, k in pii.find(text)] == [(name, "person")]
+
+
 # 4: nearest vectors
 
 
