@@ -3,17 +3,19 @@
 A text is searched for anchors (an at sign or its spellings, long numbers, words of streets, words
 that ordinary text doesn't have). Around each a window of tokens is cut out and divided into
 segments: single tokens that are nothing, or spans of an e-mail address, phone number, identity
-number, street address or person. Every span a kind could take there, bounded in length, is a
-candidate and is scored as a whole (its shape, its word classes, what stands on either side); the
-best division of the window is found by dynamic programming over segments, which chooses limits
-and kinds together. Weights are learned by pii_train.py as a CRF, by the likelihood of the right
-division against all others, and kept in pii_model.json.
+number, street address or person. Every span that the classes of its tokens allow for a kind is a
+candidate, bounded in length, and is scored as a whole (its shape, its word classes, what stands on
+either side) together with the move from the kind found before it in the window to its own; the
+best division of the window is found by dynamic programming over segments and the kind last found,
+which chooses limits and kinds together. Weights are learned by pii_train.py as a CRF, by the
+likelihood of the right division against all others, and kept in pii_model.json.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -31,38 +33,46 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 MODEL = Path(__file__).with_name("pii_model.json")
 MARGIN = 70
 
-# Forms of address and common given names.
+# Forms of address, and given names that are among the most common of many countries.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "herr", "frau", "señor", "señora", "sr", "sra", "mme", "monsieur", "madame", "sir"}
 GIVEN = set(
     """
-    aiko alice amina anders andrea anna anneke antonio aoife arjun astrid bastian beatriz benjamin bronagh carlos carmela cedric
-    charlotte chloe christina claire daniel david delphine diego dmitri dorota elena elias elif emeka emily emma eric esther ewan
-    farida fatima felix fiona francesca gabriel george giulia grace gustavo hamish hanna hanneli hassan helena henrik hiroshi hugo
-    ibrahim ignacio ilse imran ines ingrid isabel ivan jacob jakub james jana javier jean jennifer joanna johan john jonas jorge jose
-    julia karin katarzyna kavita keiko kenji kofi kwame lars laura leila leticia li linda lucas lucia luis maria marek marie marta
-    martin mateus matteo maya mehmet mei michael miguel mohammed nadia naomi natalia nicolas nina noah nora olga oliver olivia olufemi
-    omar oscar pablo patricia paul pedro peter petra philippe pierre priya quentin rachel rafael ravi rebecca richard robert rosa
-    rosalind samuel sandra sara saskia sean sofia stefan stephan susan svetlana tamsin thomas tomas tariq ulrike valentina vera victor
-    viktor wendeline william yusuf yuki zelda zoe
+    ahmed aisha akira alexander ali alice amelia amina ana andrea andreas andrew angela anna anne anthony antonio anya arthur barbara
+    ben benjamin bernd brian carlos carmen carol caroline catherine charles charlotte chen chloe chris christian christine claire claudia
+    daniel david deborah diana diego dmitri donald dorothy edward elena elizabeth ella emily emma eric erik eva fatima felix fernando
+    francesca francisco frank françois gabriel george giovanni giulia grace hans hannah haruto helen helga henry hiroshi hugo ibrahim ines
+    ingrid isabel ivan jack jacques jakob james jan jane javier jean jennifer jessica jing joan johannes john jonas jose joseph juan julia
+    julie karen karl kate kenji kevin khalid klaus laura lea leila leo leon li linda lisa louis lucas lucia luis lukas manuel marco margaret
+    maria marie mark marta martin mary matteo matthew max maya mehmet mei michael michelle miguel mohammed monika nadia nancy natalia nicole
+    nina noah nora oliver olga olivia omar pablo patricia patrick paul pedro peter petra philip pierre priya rachel rafael raj rebecca
+    richard robert rosa ruth samuel sandra sara sarah simon sofia sophie stefan stephen susan thomas tim tom victoria wei william yuki yusuf zoe
     """.split()
 )
-STREETS = set("street st road rd avenue ave lane ln blvd boulevard drive court close terrace crescent quay rue calle avenida plaza via allee chemin ruelle".split())
-STREET_ENDS = ("weg", "straße", "strasse", "str", "gasse", "platz", "allee", "ufer", "kanal", "damm", "ring")
+STREETS = set("street st road rd avenue ave lane ln blvd boulevard drive court close terrace crescent quay rue calle avenida plaza via allee chemin ruelle impasse quai paseo viale piazza".split())
+#: Ordinary words that are streets only where they are written large.
+STREETS_LARGE = set("way place square row walk parkway route platz weg ring damm ufer markt corso camino".split())
+STREET_ENDS = ("weg", "straße", "strasse", "str", "gasse", "platz", "allee", "ufer", "damm", "ring")
 LINKS = {"de", "du", "des", "del", "la", "le", "les", "am", "im", "an", "der", "dem", "alten", "bis", "in", "zum", "zur", "van", "von"}
 
 TOKEN = re.compile(r"\d+|[^\W\d_]+(?:['’][^\W\d_]+)*|\n|[^\s]|_")
 AT = r"(?:@|＠|%40|\s*[(\[]\s*at\s*[)\]]\s*|\s+at\s+)"
 DOT = r"(?:\.|．|\s*[(\[]\s*dot\s*[)\]]\s*|\s+dot\s+)"
-EMAIL = re.compile(rf"[\w.+'-]+{AT}[^\W_](?:[\w-]*[^\W_])?(?:{DOT}[^\W_](?:[\w-]*[^\W_])?)*", re.I)
 AT_SIGNS = re.compile(r"@|＠|%40|[(\[]\s*at\s*[)\]]|\bat\s+[\w-]+\s*(?:[(\[]\s*dot\s*[)\]]|\bdot\b)", re.I)
 NUMBER = re.compile(r"\d[\d ().\-/]{3,}\d")
-WIDE_NUMBER = re.compile(r"(?:tel:)?(?<![\w.])(?:[A-Z]{1,3}[ -]?)?\+?\(?\d[\d ().\-/‐‑–]*\d(?:(?: ?[-]?[A-Z])?(?!\w)|(?= ?(?:x|ext\.?|#) ?\d))(?: ?(?:x|ext\.?|#) ?\d+)?(?!\w)")
-STREET_CUE = re.compile(r"(?<![\w/.@-])(?:" + "|".join(sorted(STREETS - {"st", "via"})) + r"|St\.?(?= )|st\.|[^\W\d_]{3,}(?:weg|straße|strasse|str\.|gasse|platz)|Kanal|P\.? ?O\.? Box)(?![\w/@-])", re.I)
+STREET_CUE = re.compile(r"(?<![\w/.@-])(?:" + "|".join(sorted(STREETS - {"st", "via"})) + r"|St\.?(?= )|st\.|[^\W\d_]{3,}(?:weg|straße|strasse|str\.|gasse|platz)|P\.? ?O\.? Box)(?![\w/@-])", re.I)
+STREET_LARGE = re.compile(r"(?<![\w/.@-])(?:" + "|".join(w.title() for w in sorted(STREETS_LARGE)) + r")(?= \d|, | \w+ \d)|(?<=\d )(?:[A-ZÀ-Þ][\w'’.-]* ){1,3}(?:" + "|".join(w.title() for w in sorted(STREETS_LARGE)) + r")(?![\w/@-])")
 NAMELIKE = re.compile(r"[A-ZÀ-ÖØ-ÞŁŚŽČ]?[a-zß-öø-ÿłśžčąęńżźćőűşğı]+(?:['’-][A-ZÀ-Þ]?[a-zß-ÿ]+)*|[A-ZÀ-ÖØ-Þ]{2,}(?:[-'’][A-ZÀ-Þ]+)*")
 #: A capitalised word, ordinary or not, after a title or an initial; given names are anchors themselves.
 NAMED = re.compile(r"(?<![\w/.@])(?:(?:" + "|".join(t.title() for t in sorted(TITLES)) + r")\.?|[A-ZÀ-Þ]\.) (?=[A-ZÀ-Þ][a-zß-ÿ]+(?![\w/@]))")
+#: What a number may be made of besides digits and capital letters, and its bounds in digits and in words.
+NUMBER_SIGNS = set("+()-./‐‑–")
+MOST_DIGITS, MOST_PARTS = 22, 9
+#: A number the North American plan allows: neither area nor exchange begins with 0 or 1.
+NANP = re.compile(r"1?[2-9]\d\d[2-9]\d{6}")
+#: What joins the parts of an e-mail address.
+MAIL_SIGNS = set("._+-'%")
+KIND_NUMBER = {kind: k + 1 for k, kind in enumerate(KINDS)}
 EDGES = ".,;:!?\"'()[]{}<>|=*`#…。、-"
-IDENTIFIER = re.compile(r"(?:Job|Error|Map)$")
 
 
 class Model:
@@ -71,6 +81,13 @@ class Model:
     def __init__(self, weights: dict[str, float], common: set[str]):
         self.weights, self.common = weights, common
         self.seen: dict[str, tuple[str, ...]] = {}
+        self.learn_moves()
+
+    def learn_moves(self) -> None:
+        """[kind last found in the window, 0 for none][kind] -> weight of going from one to the other."""
+        names = ("none", *KINDS)
+        self.moves = [[0.0, *[self.weights.get(f"move:{a}>{b}", 0.0) for b in KINDS]] for a in names]
+        self.most_moved = max(max(row) for row in self.moves)
 
     def names_in(self, token: str) -> tuple[str, ...]:
         """The pieces of a blank-separated token that may be part of a name; remembered by token."""
@@ -79,7 +96,7 @@ class Model:
             found = []
             for piece in [token.strip(EDGES)] if token.strip(EDGES).isalpha() else re.split(r"[\s;:=\",(){}\[\]<>|]+", token):
                 piece = piece.strip(EDGES)
-                if len(piece) > 2 and NAMELIKE.fullmatch(piece) and not IDENTIFIER.search(piece) and any(p.lower() not in self.common for p in re.split(r"['’-]", piece)):
+                if (len(piece) > 2 or len(piece) == 2 and piece[0].isupper() and piece[1].islower()) and NAMELIKE.fullmatch(piece) and any(p.lower() not in self.common for p in re.split(r"['’-]", piece)):
                     found.append(piece)
             got = tuple(found)
             if len(self.seen) > 300_000:
@@ -116,7 +133,9 @@ def anchors(text: str, model: Model) -> list[tuple[int, int]]:
                 found.append((at, end))
             at = text.find(name, end)
     found += [m.span() for m in NAMED.finditer(text)]
-    found += [m.span() for m in STREET_CUE.finditer(text)] if names or any(c.isdigit() for c in text) else []
+    if names or any(c.isdigit() for c in text):
+        found += [m.span() for m in STREET_CUE.finditer(text)]
+        found += [m.span() for m in STREET_LARGE.finditer(text)]
     return sorted(found)
 
 
@@ -143,7 +162,7 @@ def word_class(token: str, model: Model) -> str:
         return token
     if low in TITLES:
         return "T"
-    if low in STREETS or low.endswith(STREET_ENDS) and len(low) > 4 or low in ("str", "kanal"):
+    if low in STREETS or low == "str" or low in STREETS_LARGE and token[0].isupper() or low.endswith(STREET_ENDS) and len(low) > 4 and low not in model.common:
         return "S"
     if low in LINKS:
         return "L"
@@ -177,38 +196,15 @@ class Window:
                 self.segments.append((i, j, kind, self.features(i, j, kind)))
 
     def candidates(self) -> Iterator[tuple[int, int, str]]:
-        text, tokens, classes, n = self.text, self.tokens, self.classes, len(self.tokens)
-        for m in EMAIL.finditer(text):
-            i, j = self.start_at.get(m.start()), self.end_at.get(m.end())
-            if i is not None and j is not None:
-                yield i, j, "email"
-        for m in WIDE_NUMBER.finditer(text):
-            digits = sum(map(str.isdigit, m.group()))
-            if digits < 6:
-                continue
-            a, z = m.span()
-            starts = {a}
-            for k in re.finditer(r"[+(\d]", m.group()):
-                starts.add(a + k.start())
-                if k.group().isdigit():
-                    break
-            ends = {z}
-            inner = re.match(r"(.*\d)(?: ?-?[A-Z]| ?(?:x|ext\.?|#) ?\d+)$", m.group())
-            if inner:
-                ends.add(a + inner.end(1))
-            for s in starts:
-                for e in ends:
-                    i, j = self.start_at.get(s), self.end_at.get(e)
-                    if i is None or j is None or i >= j:
-                        continue
-                    if 7 <= sum(map(str.isdigit, text[s:e])) <= 22:
-                        yield i, j, "phone"
-                    yield i, j, "id_number"
-        # identity numbers that start with letters of their own token: "QQ", "D", "Z"
+        tokens, classes, n = self.tokens, self.classes, len(self.tokens)
+        yield from self.mail_spans()
+        yield from self.number_spans()
         for k in range(n):
             cue = classes[k]
-            if cue == "S" or tokens[k].lower() == "box" and k and tokens[k - 1] in ("O", "o", "."):
-                lows = [i for i in range(max(0, k - 7), k + 1) if classes[i] in ("N", "Z", "S") or classes[i][-1] in "CAlm" or classes[i] in ("L", "I")]
+            # a post code between a house number and a town speaks for a street of any name
+            code = cue == "Z" and k > 1 and k + 1 < n and classes[k + 1][-1] == "C" and any(classes[i] in ("N", "Z") and classes[i - 1][-1] in "CA" for i in range(max(1, k - 4), k))
+            if cue == "S" or code or tokens[k].lower() == "box" and k and tokens[k - 1] in ("O", "o", "."):
+                lows = [i for i in range(max(0, k - 9 if code else k - 7), k + 1) if classes[i] in ("N", "Z", "S") or classes[i][-1] in "CAlm" or classes[i] in ("L", "I")]
                 for i in lows:
                     if "\n" in tokens[i:k]:
                         continue
@@ -232,6 +228,104 @@ class Window:
                     if self.nameable(j - 1) and (j - i > 1 or classes[i][-1] != "l"):  # one lower-case word is never a name by itself
                         yield i, j, "person"
 
+    def glued(self, k: int) -> bool:
+        """Whether token k follows the one before it without a gap."""
+        return k > 0 and self.spans[k - 1][1] == self.spans[k][0]
+
+    def mail_spans(self) -> Iterator[tuple[int, int, str]]:
+        """Spans round an at sign, or its spellings, of words, numbers and the signs that join them; they may end after each part of the domain."""
+        tokens, n = self.tokens, len(self.tokens)
+        part = lambda k: tokens[k][0].isalnum() and tokens[k].isalnum()
+        for k in range(1, n - 1):
+            low = tokens[k].lower()
+            if low in ("@", "＠") and self.glued(k) and self.glued(k + 1):
+                a, z, spelled = k, k + 1, False
+            elif low == "%" and tokens[k + 1] == "40" and self.glued(k):
+                a, z, spelled = k, k + 2, False
+            elif low == "at":
+                bracket = tokens[k - 1] in "([" and tokens[k + 1] in ")]"
+                a, z, spelled = (k - 1, k + 2, False) if bracket else (k, k + 1, True)
+            else:
+                continue
+            if a < 1 or z >= n or not part(z):
+                continue
+            i = a - 1
+            if tokens[i] == "_" or not (part(i) or tokens[i] in MAIL_SIGNS):
+                continue
+            while i > 0 and self.glued(i) and (tokens[i - 1] in MAIL_SIGNS or part(i - 1)):
+                i -= 1
+            while i < a - 1 and not part(i):
+                i += 1
+            if not part(i):
+                continue
+            j, dotted = z + 1, False
+            if not spelled:
+                yield i, j, "email"
+            while j < n:
+                if self.glued(j) and (tokens[j] in "-_" or part(j)) and j + 1 < n:
+                    j += 1
+                    if not (part(j - 1)):
+                        continue
+                elif tokens[j] in ".．" and self.glued(j) and j + 1 < n and self.glued(j + 1) and part(j + 1):
+                    j += 2
+                elif tokens[j].lower() == "dot" and j + 1 < n and part(j + 1):
+                    j, dotted = j + 2, True
+                elif tokens[j] in "([" and j + 3 < n and tokens[j + 1].lower() == "dot" and tokens[j + 2] in ")]" and part(j + 3):
+                    j, dotted = j + 4, True
+                else:
+                    break
+                if dotted or not spelled:
+                    yield i, j, "email"
+
+    def number_spans(self) -> Iterator[tuple[int, int, str]]:
+        """Spans of whole parts (digits, capitals and the signs between them, single blanks between the parts) for phone and identity numbers."""
+        tokens, spans, text, n = self.tokens, self.spans, self.text, len(self.tokens)
+
+        def fits(k: int) -> bool:
+            t = tokens[k]
+            return t.isdigit() or t in NUMBER_SIGNS or t.isupper() and t.isalpha() and len(t) <= 6 or t in ("x", "ext") and k > 0 and k + 1 < n and tokens[k - 1].isdigit() and (self.glued(k + 1) or t == "ext")
+
+        k = 0
+        while k < n:
+            if not fits(k):
+                k += 1
+                continue
+            first = k
+            while k < n and fits(k) and (k == first or spans[k][0] - spans[k - 1][1] <= 1 and text[spans[k - 1][1] : spans[k][0]] in ("", " ")):
+                k += 1
+            last = max(k, first + 1)
+            k = last
+            if sum(len(t) for t in tokens[first:last] if t.isdigit()) < 6:
+                continue
+            starts, ends = [], []
+            for m in range(first, last):
+                if m == first or not self.glued(m):
+                    s = m
+                    while s < last and not (tokens[s].isalnum() or tokens[s] in "+("):
+                        s += 1
+                    if s < last and not (s and self.glued(s) and (tokens[s - 1][-1].isalnum() or tokens[s - 1] == "_")):
+                        starts.append(s)
+                if m + 1 == last or not self.glued(m + 1):
+                    e = m
+                    while e >= first and not tokens[e].isalnum():
+                        e -= 1
+                    if e >= first and not (e + 1 < n and self.glued(e + 1) and (tokens[e + 1][0].isalnum() and tokens[e + 1] != "x" or tokens[e + 1] == "_")):
+                        ends.append(e + 1)
+            for i in starts:
+                after = bisect_right(ends, i)
+                for j in ends[after : after + MOST_PARTS]:
+                    inside = tokens[i:j]
+                    digits = sum(len(t) for t in inside if t.isdigit())
+                    if digits < 5:
+                        continue
+                    if digits > MOST_DIGITS:
+                        break
+                    letters = [t for t in inside if t.isalpha()]
+                    if 7 <= digits and all(t in ("x", "ext") for t in letters):
+                        yield i, j, "phone"
+                    if digits >= 6 or letters:
+                        yield i, j, "id_number"
+
     def named(self, k: int) -> bool:
         """Whether an ordinary word stands where a name may: capitalised, after a title, an initial with its stop, or a given name."""
         if not self.capital(k):
@@ -265,12 +359,12 @@ class Window:
         span = self.text[a:z]
         left, left2, right, right2 = self.around(i - 1), self.around(i - 2), self.around(j), self.around(j + 1)
         glued = ("l" if i and self.spans[i - 1][1] == a and self.tokens[i - 1] not in "\n" else "") + ("r" if j < len(self.spans) and self.spans[j][0] == z else "")
-        k = kind[0] + ":"
+        k = kind[:2] + ":"
         out = [k, f"{k}L={left}", f"{k}R={right}", f"{k}L2={left2} {left}", f"{k}R2={right} {right2}", f"{k}LR={left}_{right}", f"{k}glue={glued}"]
         if kind in ("phone", "id_number"):
             shape = collapse(span)
             digits = sum(map(str.isdigit, span))
-            out += [f"{k}s={shape}", f"{k}d={digits}", f"{k}h={shape[:3]}", f"{k}sep={''.join(sorted(set(re.sub(r'[0-9A-Za-z]', '', span))))}", f"{k}t={shape[-4:]}", f"{k}sL={shape}_{left}", f"{k}f={span[0]}_{digits}", f"{k}fL={span[0]}_{left}"]
+            out += [f"{k}s={shape}", f"{k}d={digits}", f"{k}parts={span.count(' ')}_{len(re.findall('[A-Z]', span))}", f"{k}h={shape[:3]}", f"{k}sep={''.join(sorted(set(re.sub(r'[0-9A-Za-z]', '', span))))}", f"{k}t={shape[-4:]}", f"{k}sL={shape}_{left}", f"{k}nanp={bool(NANP.fullmatch(re.sub('[^0-9]', '', span.split('x')[0])))}_{digits}"]
         elif kind == "email":
             local, _, domain = re.split(rf"({AT})", span, maxsplit=1, flags=re.I)[:3]
             parts = re.split(DOT, domain, flags=re.I)
@@ -299,27 +393,39 @@ class Window:
         return sum(weights.get(f, 0.0) for f in features)
 
     def decode(self) -> list[tuple[int, int, str]]:
-        """The best division: (start, end, kind) in characters, left to right."""
-        n = len(self.tokens)
-        by_end: dict[int, list[tuple[int, str, float]]] = {}
+        """The best division: (start, end, kind) in characters, left to right.
+
+        A state is a place and the kind last found before it (0: none yet); a token that is nothing keeps it.
+        """
+        n, moves = len(self.tokens), self.model.moves
+        by_end: dict[int, list[tuple[int, int, float]]] = {}
         for i, j, kind, features in self.segments:
             s = self.score(features)
-            if s > 0:  # a segment that scores below nothing is never part of the best division
-                by_end.setdefault(j, []).append((i, kind, s))
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
+            if s + self.model.most_moved > 0:  # what scores below nothing after any kind is never part of the best division
+                by_end.setdefault(j, []).append((i, KIND_NUMBER[kind], s))
+        if not by_end:
+            return []
+        low = float("-inf")
+        best = [[0.0] + [low] * len(KINDS)]
+        back: list[list] = [[None] * (len(KINDS) + 1)]
         for j in range(1, n + 1):
-            best[j] = best[j - 1]
+            row, came = list(best[j - 1]), [None] * (len(KINDS) + 1)
             for i, kind, s in by_end.get(j, ()):
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, kind)
+                for before, value in enumerate(best[i]):
+                    total = value + s + moves[before][kind]
+                    if total > row[kind]:
+                        row[kind], came[kind] = total, (i, before)
+            best.append(row)
+            back.append(came)
         out, j = [], n
+        state = max(range(len(KINDS) + 1), key=lambda k: best[n][k])
         while j > 0:
-            if back[j] is None:
+            came = back[j][state]
+            if came is None:
                 j -= 1
             else:
-                i, kind = back[j]
-                out.append((self.spans[i][0], self.spans[j - 1][1], kind))
-                j = i
+                out.append((self.spans[came[0]][0], self.spans[j - 1][1], KINDS[state - 1]))
+                j, state = came
         return out[::-1]
 
 

@@ -102,7 +102,7 @@ def test_found_in_unseen_inventions():
 
 
 def test_redaction_keeps_the_rest():
-    text = "Ask Hanneli Tarrowby before you merge this.\nMail kofi.x@corp.invalid or call +44 20 7946 0408.\n  DNI 00737969Z  ok"
+    text = "Ask Hanna Tarrowby before you merge this.\nMail kofi.x@corp.invalid or call +44 20 7946 0408.\n  DNI 00737969Z  ok"
     assert pii.redact(text) == "Ask [PERSON] before you merge this.\nMail [EMAIL] or call [PHONE].\n  DNI [ID_NUMBER]  ok"
     for same in ("", None, "Clone it from git@code.example:tools/x.git first.", "Version 3.14 of the parser", "Listen on 127.0.0.1:8080 instead."):
         assert pii.redact(same) == same
