@@ -1,13 +1,15 @@
 """Filling containers of fixed capacity: configuration LP over the length histogram, then rounding.
 
 The lengths of at most ``capacity`` different values form a histogram (bounded, whatever the number
-of items). The configuration LP "choose how often to use each way to fill a container, so that every
-length is covered" is solved by multiplicative weights: each round prices the lengths, finds the
-most valuable filling by a knapsack dynamic programme over the capacity, and lowers the prices of
-what it covers. The fractional solution is rounded down to whole containers; what remains is filled
-by best fit over the histogram. The plan is a bounded table of fillings with their multiplicity;
-the items themselves are numbered within their length and joined to it, so nothing of the size of
-the input reaches the driver.
+of items). For the configuration LP, "choose how often to use each way to fill a container, so that
+every length is covered", lengths above a small one are rounded up to units of the capacity; it is
+solved by multiplicative weights: each round prices the classes of lengths, finds the most
+valuable filling by a knapsack dynamic programme over the units, and lowers the prices of what it
+covers. The fractional solution is scaled until every class is covered, rounded down to whole
+containers and opened to exact lengths, the longest first; the room that rounding left is filled
+with the next lengths that fit, and what remains is filled by best fit. The plan is a bounded table
+of fillings with their multiplicity; the items themselves are numbered within their length and
+joined to it, so nothing of the size of the input reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,82 +21,172 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CAPACITY = 4096
-ROUNDS = 120
+#: Ways to solve the LP, (units of the capacity that lengths are rounded up to, rounds, fillings a round): finer units fit tighter, coarser ones cover rare lengths sooner.
+LEVELS = ((1024, 400, 6), (4096, 100, 1))
+#: The part of the capacity up to which lengths only fill gaps.
+SMALL = 16
+#: How fast prices fall with the cover of a class, and how much of its scarcest class a round covers.
+FALL, STEP = 24.0, 0.05
+#: How far open a container of the LP may stay, each tried: little where lengths fit well, any where they can't.
+LOOSEST = (0.001, 1.0)
 #: Numbering is done in as many slices as keep a slice of one length under this many rows.
 SLICE_ROWS = 500_000
 
 
-def knapsack(value: np.ndarray, size: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """How often to take each size (sorted, distinct) for the greatest value within the capacity; unbounded DP, then cut to ``limit``."""
-    best = np.zeros(capacity + 1)
+def knapsack(value: np.ndarray, size: np.ndarray, limit: np.ndarray, capacity: int, several: int = 1) -> list[np.ndarray]:
+    """How often to take each size (sorted, distinct) for the greatest value within the capacity; unbounded DP, then cut to ``limit``.
+
+    The best filling comes first; up to ``several`` are given, which differ in the size taken last
+    and are worth nearly as much.
+    """
+    least = int(size[0])
+    worth = np.full(capacity + 1, -np.inf)  # by size; sizes without items are worth nothing
+    worth[size] = value
+    back = np.zeros(capacity + 1)  # the best of capacity c lies at capacity - c, so that what is left lies beside the sizes
     took = np.full(capacity + 1, -1, dtype=np.int64)
-    last = np.searchsorted(size, np.arange(capacity + 1), side="right")
-    for c in range(int(size[0]), capacity + 1):
-        k = last[c]
-        worth = best[c - size[:k]] + value[:k]
-        j = int(worth.argmax())
-        if worth[j] > best[c - 1]:
-            best[c], took[c] = worth[j], j
+    total = np.empty(capacity + 1)
+    for c in range(least, capacity + 1):
+        some = total[: c - least + 1]
+        np.add(back[capacity - c + least :], worth[least : c + 1], out=some)
+        j = int(some.argmax())
+        if some[j] > back[capacity - c + 1]:
+            back[capacity - c], took[c] = some[j], j + least
         else:
-            best[c] = best[c - 1]
-    counts = np.zeros(len(size), dtype=np.int64)
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-            continue
-        counts[took[c]] += 1
-        c -= int(size[took[c]])
-    return np.minimum(counts, limit)
-
-
-def configuration_lp(size: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
+            back[capacity - c] = back[capacity - c + 1]
+    place = np.full(capacity + 1, -1, dtype=np.int64)
+    place[size] = np.arange(len(size))
+    last = np.argsort(-total[: capacity - least + 1], kind="stable")[:several]
+    found = []
+    for j in last[total[last] >= 0.97 * total[last[0]]]:
+        counts = np.zeros(len(size), dtype=np.int64)
+        counts[place[j + least]] = 1
+        c = capacity - int(j) - least
+        while c > 0:
+            if took[c] < 0:
+                c -= 1
+                continue
+            counts[place[took[c]]] += 1
+            c -= int(took[c])
+        found.append(np.minimum(counts, limit))
+    return found
+
+
+def configuration_lp(size: np.ndarray, need: np.ndarray, capacity: int, rounds: int, several: int = 1) -> list[tuple[np.ndarray, float]]:
     """Fillings (counts by size) and fractional multiplicities that about cover ``need``.
 
-    Multiplicative weights with a first price proportional to the size; a filling is used until it
-    has covered a fixed share of the scarcest of its lengths, and prices of lengths fall
-    exponentially with their cover. At the end all are scaled so that the length covered most is
-    covered once.
+    Multiplicative weights with a first price proportional to the size; a round's filling covers a
+    fixed share of the scarcest of its lengths, and the price of a length falls exponentially with
+    its cover. Rounds go on, up to four times as many, until each length is covered; at the end all
+    are scaled so that together they hold as much as there is.
     """
     log_price = np.log(size / capacity)
     cover = np.zeros(len(size))
-    fillings: list[tuple[np.ndarray, float]] = []
-    for _ in range(rounds):
-        price = np.exp(log_price - 4.0 * cover)
-        filling = knapsack(price, size, need, capacity)
-        used = filling > 0
-        if not used.any():
+    found: dict[bytes, list] = {}
+    for made in range(4 * rounds):
+        if made >= rounds and cover.min() > 0:
+            break
+        price = np.exp(log_price - FALL * (cover - cover.min()))
+        for filling in knapsack(price, size, need, capacity, several):
+            used = filling > 0
+            step = STEP * float((need[used] / filling[used]).min())
+            found.setdefault(filling.tobytes(), [filling, 0.0])[1] += step
+            cover[used] += step * filling[used] / need[used]
+    covered = float((cover * need) @ size)
+    scale = float(need @ size) / covered if covered else 1.0
+    return [(filling, step * scale) for filling, step in found.values()]
+
+
+def opened(filling: np.ndarray, whole: int, members: list[list[int]], left: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """``whole`` containers of a filling of classes as fillings of exact lengths, each class's longest first; ``left`` is lowered."""
+    made = []
+    while whole > 0:
+        exact: dict[int, int] = {}
+        for c in np.flatnonzero(filling):
+            want = int(filling[c])
+            while want:
+                while members[c] and not left[members[c][-1]]:
+                    members[c].pop()
+                if not members[c]:
+                    break
+                for i in reversed(members[c]):
+                    take = int(min(want, left[i]))
+                    if take:
+                        exact[i] = take
+                        want -= take
+                    if not want:
+                        break
+                break
+        if not exact:
             break
-        step = 0.25 * float((need[used] / filling[used]).min())
-        fillings.append((filling, step))
-        cover[used] += step * filling[used] / need[used]
-    scale = 1 / cover.max() if len(fillings) else 1
-    return [(filling, step * scale) for filling, step in fillings]
+        times = int(min(whole, *(left[i] // k for i, k in exact.items())))
+        made.append((exact, times))
+        for i, k in exact.items():
+            left[i] -= times * k
+        whole -= times
+    return made
 
 
-def plan(size: np.ndarray, need: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[list[tuple[int, int]], int]]:
+def plan(size: np.ndarray, need: np.ndarray, capacity: int = CAPACITY, levels: tuple = LEVELS) -> list[tuple[list[tuple[int, int]], int]]:
     """Fillings [(index of size, count)...] with whole multiplicities that hold every item exactly once.
 
-    ``size`` is sorted and between 1 and ``capacity``. Fractional containers are rounded down and
-    never take more than is left; the rest is filled greedily, the largest first and each next the
-    largest that fits, with each filling repeated as often as what is left allows, so there are
-    at most len(size) + rounds fillings.
+    ``size`` is sorted and between 1 and ``capacity``. The LP is solved for each of ``levels``
+    and rounded; of these plans, and of best fit alone, the first with the fewest containers is taken.
     """
-    size, left = np.asarray(size, dtype=np.int64), np.asarray(need, dtype=np.int64).copy()
+    size, need = np.asarray(size, dtype=np.int64), np.asarray(need, dtype=np.int64)
+    if not len(size):
+        return []
+    plans = []
+    for units, rounds, several in levels:
+        unit = max(1, -(-capacity // units))
+        large = np.flatnonzero(size > capacity // SMALL)
+        classes, home = np.unique(-(-size[large] // unit), return_inverse=True)
+        members = [large[home == c].tolist() for c in range(len(classes))]
+        wanted = np.bincount(home, weights=need[large]).astype(np.int64)
+        solved = configuration_lp(classes, wanted, capacity // unit, rounds, several) if len(large) else []
+        plans += [rounded(size, need, capacity, solved, members, loosest) for loosest in LOOSEST]
+    return min([*plans, rounded(size, need, capacity)], key=lambda made: sum(times for _, times in made))
+
+
+def rounded(size: np.ndarray, need: np.ndarray, capacity: int, solved: list[tuple[np.ndarray, float]] = [], members: list[list[int]] = [], loosest: float = 1.0) -> list[tuple[list[tuple[int, int]], int]]:
+    """One plan: containers of the LP as ``solved`` for classes of lengths, with their gaps filled, then best fit.
+
+    Containers of the LP never take more than is left; those that stay open by more than
+    ``loosest`` of the capacity are emptied again. Best fit takes the largest first and each next
+    the largest that fits, and repeats each filling as often as what is left allows. The number of
+    fillings is bounded by those of sizes and of rounds.
+    """
+    left, members = need.copy(), [list(m) for m in members]
     made: list[tuple[list[tuple[int, int]], int]] = []
-    if len(size) == 0:
-        return made
-    merged: dict[bytes, list] = {}
-    for filling, step in configuration_lp(size, left, capacity, rounds) if rounds else []:
-        merged.setdefault(filling.tobytes(), [filling, 0.0])[1] += step
-    for filling, times in sorted(merged.values(), key=lambda x: -x[1]):
-        used = np.flatnonzero(filling)
-        if int(filling @ size) < 0.99 * capacity:
-            continue
-        whole = int(min(np.floor(times), (left[used] // filling[used]).min()))
+    chosen: list[tuple[dict[int, int], int]] = []
+    carried = 0.0
+    for filling, times in sorted(solved, key=lambda x: -x[1]):
+        carried += times  # what rounding down leaves of one filling is given to the next
+        whole = int(min(np.floor(carried), np.min([sum(left[i] for i in members[c]) // filling[c] for c in np.flatnonzero(filling)])))
         if whole > 0:
-            made.append(([(int(i), int(filling[i])) for i in used], whole))
-            left[used] -= whole * filling[used]
+            carried -= whole
+            chosen += opened(filling, whole, members, left)
+        carried = min(carried, 1.0)
+    # the fullest first: their small gaps take what fits best; a length too rare for all of a filling's containers divides it
+    gaps = sorted(chosen, key=lambda x: sum(size[i] * k for i, k in x[0].items()))
+    while gaps:
+        exact, times = gaps.pop()
+        room = capacity - sum(int(size[i]) * k for i, k in exact.items())
+        there = np.flatnonzero(left[: int(np.searchsorted(size, room, side="right"))])
+        while len(there):
+            at = int(there[-1])
+            if left[at] < times:
+                gaps.append((dict(exact), times - int(left[at])))
+                times = int(left[at])
+            take = int(min(room // size[at], left[at] // times))
+            exact[at] = exact.get(at, 0) + take
+            left[at] -= take * times
+            room -= take * int(size[at])
+            there = np.flatnonzero(left[: int(np.searchsorted(size, room, side="right"))])
+        if room > loosest * capacity:  # what is left open here may be closed with other lengths
+            for i, k in exact.items():
+                left[i] += k * times
+        else:
+            made.append((list(exact.items()), times))
     order = [int(i) for i in np.flatnonzero(left)]
     while order:
         filling, room = {}, capacity
@@ -128,7 +220,7 @@ def slots(made: list[tuple[list[tuple[int, int]], int]], size: np.ndarray) -> pd
     return pd.DataFrame(rows, columns=["size", "first", "last", "base", "each"])
 
 
-def pack(items: DataFrame, keys: list[str], size: str = "size", capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, keys: list[str], size: str = "size", capacity: int = CAPACITY, levels: tuple = LEVELS) -> DataFrame:
     """Every item's place: keys..., part, offset, length, container.
 
     An item of at most ``capacity`` is whole: one row with part 0. A larger one is split into full
@@ -145,9 +237,12 @@ def pack(items: DataFrame, keys: list[str], size: str = "size", capacity: int =
     heads = item.where(full > 0).select(*keys, F.posexplode(F.sequence(F.lit(0), full - 1)).alias("part", "_x")).select(*keys, "part", (F.col("part").cast("long") * capacity).alias("offset"), F.lit(capacity).alias("length"))
     none = item.where(F.col("_size") == 0).select(*keys, F.lit(0).alias("part"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("container"))
 
-    sizes = last.groupBy("length").count().toPandas().sort_values("length")  # at most capacity - 1 rows
+    # at most ``capacity`` rows: how many items end in each length, and how many full containers those before it fill
+    sizes = item.where(F.col("_size") > 0).groupBy(rest.alias("length")).agg(F.count(F.lit(1)).alias("count"), F.sum(full).alias("full")).toPandas().sort_values("length")
+    n_full = int(sizes["full"].sum())
+    sizes = sizes[sizes["length"] > 0]
     size_of, need = sizes["length"].to_numpy(np.int64), sizes["count"].to_numpy(np.int64)
-    made = plan(size_of, need, capacity, rounds)
+    made = plan(size_of, need, capacity, levels)
     n_shared = sum(whole for _, whole in made)
     runs = slots(made, size_of)
     if len(runs) == 0:
@@ -167,19 +262,12 @@ def pack(items: DataFrame, keys: list[str], size: str = "size", capacity: int =
         return cut.join(starts, [*within, "_slice"]).withColumn("_seq", F.col("_seq") + F.col("_start")).drop("_slice", "_start")
 
     placed = numbered(last, ["length"], int(need.max()) if len(need) else 1)
-    # at most (len(size) + rounds) fillings of at most capacity / size kinds: bounded by the capacity, so broadcast
+    # fillings and the lengths in each are bounded by the capacity and the rounds, so broadcast
     table = spark.createDataFrame(runs).select(F.col("size").cast("int").alias("_length"), F.col("first"), F.col("last"), F.col("base"), F.col("each"))
     placed = placed.join(F.broadcast(table), (F.col("length") == F.col("_length")) & (F.col("_seq") >= F.col("first")) & (F.col("_seq") <= F.col("last")))
     placed = placed.select(*keys, "part", "offset", "length", (F.col("base") + F.floor((F.col("_seq") - F.col("first")) / F.col("each"))).cast("long").alias("container"))
-    heads = heads.withColumn("_n", F.pmod(F.xxhash64(*keys, "part"), F.lit(64)).cast("int"))
-    per = {int(r["_n"]): int(r["count"]) for r in heads.groupBy("_n").count().collect()}  # 64 rows
-    start, starts = n_shared, []
-    for k in range(64):
-        starts.append(start)
-        start += per.get(k, 0)
-    own = Window.partitionBy("_n").orderBy(*keys, "part")
-    first = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_n") + 1)
-    heads = heads.withColumn("container", first + F.row_number().over(own) - 1).drop("_n")
+    heads = numbered(heads.withColumn("_all", F.lit(0)), ["_all"], n_full)
+    heads = heads.select(*keys, "part", "offset", "length", (F.lit(n_shared).cast("long") + F.col("_seq")).alias("container"))
     return placed.unionByName(heads).unionByName(none)
 
 
@@ -194,9 +282,10 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def split_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id) of documents that were split, as packed: those of more than one part."""
-    packed = pack_documents(documents, capacity)
-    return packed.where(F.col("part") > 0).select("doc_id").distinct()
+    """(doc_id) of documents that were split, as packed: those with parts in more than one container."""
+    of = pack_documents(documents, capacity).where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    spread_over = of.agg(F.max("part").alias("part"), F.min("container").alias("first"), F.max("container").alias("last"))
+    return spread_over.where((F.col("part") > 0) & (F.col("first") < F.col("last"))).select("doc_id")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

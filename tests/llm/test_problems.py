@@ -219,7 +219,7 @@ def test_codes_keep_order_and_decode():
 def test_plan_holds_every_item_once(histogram):
     size = np.array(sorted(histogram))
     need = np.array([histogram[s] for s in size])
-    made = packing.plan(size, need, 60, 30)
+    made = packing.plan(size, need, 60, ((60, 30, 2), (20, 30, 1)))
     placed = np.zeros(len(size), dtype=int)
     for filling, times in made:
         assert times > 0 and sum(size[i] * k for i, k in filling) <= 60
@@ -245,7 +245,7 @@ def test_small_plans_are_close_to_the_best():
     for _ in range(25):
         items = [rng.randrange(5, 40) for _ in range(10)]
         size, need = np.unique(items, return_counts=True)
-        assert sum(t for _, t in packing.plan(size, need, 50, 40)) <= fewest(items, 50) + 1
+        assert sum(t for _, t in packing.plan(size, need, 50, ((50, 40, 3),))) <= fewest(items, 50) + 1
 
 
 def test_packing_places_whole_items(spark):
@@ -265,6 +265,37 @@ def test_packing_places_whole_items(spark):
     assert len([c for c, n in room.items() if n]) <= math.ceil(sum(s or 0 for s in sizes) / 4096) * 1.06 + 1
 
 
+def test_the_lp_beats_best_fit_where_best_fit_is_poor():
+    # lengths just below and above a third of the capacity, where the largest first leaves gaps nothing fits
+    size = np.concatenate((np.arange(1300, 1366, 3), np.arange(1366, 1500, 3)))
+    need = np.full(len(size), 400)
+    greedy, lp = (sum(t for _, t in made) for made in (packing.rounded(size, need, 4096), packing.plan(size, need)))
+    assert lp <= 0.96 * greedy, (lp, greedy)
+
+
+def test_most_containers_come_from_the_lp(monkeypatch):
+    rng = np.random.default_rng(5)
+    size, need = np.unique(np.clip(rng.lognormal(6.6, 0.9, 20_000).astype(int), 1, 4095), return_counts=True)
+    best_fit = sum(times for _, times in packing.rounded(size, need, 4096))
+    monkeypatch.setattr(packing, "rounded", lambda *given, plain=packing.rounded: plain(*given) if len(given) > 3 else plain(*given) + [([], 10**9)])  # never best fit alone
+    opened, of_lp = packing.opened, [0]
+
+    def counted(*given):
+        made = opened(*given)
+        of_lp[0] += sum(times for _, times in made)
+        return made
+
+    monkeypatch.setattr(packing, "opened", counted)
+    monkeypatch.setattr(packing, "LOOSEST", (0.001,))
+    total = sum(times for _, times in packing.plan(size, need, levels=packing.LEVELS[:1]))
+    assert of_lp[0] > total / 2 and total <= 1.001 * best_fit, (of_lp, total, best_fit)
+
+
+def test_split_documents_are_those_in_several_containers(spark):
+    texts = [(1, "x" * 4096), (2, "x" * 4097), (3, "é" * 2049), (4, "x" * 8192), (5, ""), (6, None)]
+    assert sorted(r.doc_id for r in packing.split_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()) == [2, 3, 4]
+
+
 def test_numbering_in_slices(spark, monkeypatch):
     monkeypatch.setattr(packing, "SLICE_ROWS", 50)
     rows = packing.pack(spark.createDataFrame([(i, 1000) for i in range(400)], "doc_id long, size int"), ["doc_id"]).collect()
@@ -272,6 +303,8 @@ def test_numbering_in_slices(spark, monkeypatch):
     for r in rows:
         filled[r.container] = filled.get(r.container, 0) + 1
     assert len(rows) == 400 and sorted(filled.values()) == [4] * 100
+    rows = packing.pack(spark.createDataFrame([(i, 3 * 4096) for i in range(60)], "doc_id long, size int"), ["doc_id"]).collect()
+    assert len({r.container for r in rows}) == len(rows) == 180  # full containers numbered in slices, too
 
 
 # 7: leaks
