@@ -23,9 +23,23 @@ cuts AS (
   GROUP BY ALL
 )"""
 
+#: Exact nearest-rank percentiles of coded values: what sketches of groups with few enough codes must give.
+VALUED = f"""
+WITH {CURRENT},
+v AS (
+  SELECT s AS source, ingested_at::DATE AS day, 'words' AS metric, words::BIGINT AS value, 1.0 AS units FROM cur WHERE words >= 0
+  UNION ALL
+  SELECT s, ingested_at::DATE, 'duration_s', round(duration_s * 1000)::BIGINT, 1000.0 FROM cur WHERE duration_s >= 0 AND NOT isnan(duration_s) AND duration_s < 1e15
+), d AS (
+  SELECT *, CASE WHEN value < 8192 THEN value::DOUBLE ELSE (value >> (floor(log2(value))::INT - 12) << (floor(log2(value))::INT - 12)) + ((1::BIGINT << (floor(log2(value))::INT - 12)) - 1) / 2.0 END / units AS x FROM v
+)"""
+PERCENTILES = "count(*) AS n, quantile_disc(x, 0.5) AS median, quantile_disc(x, 0.9) AS p90, quantile_disc(x, 0.99) AS p99, 0.0::DOUBLE AS median_rank_error, 0.0::DOUBLE AS p90_rank_error, 0.0::DOUBLE AS p99_rank_error, (1 / 4096.0)::DOUBLE AS value_error"
+
 ORACLE: dict[str, str] = {
     "p1_found": CUTS + " SELECT DISTINCT c.source, c.provenance, d.session_id FROM cuts c JOIN scored d ON d.s = c.s AND d.p = c.p AND d.words >= c.cutoff",
     "p1_cutoffs": CUTS + " SELECT source, provenance, keep_pct, n, cutoff::BIGINT AS cutoff, kept FROM cuts",
     "p2_found": f"WITH {CURRENT} SELECT session_id FROM cur WHERE length(text) > 8000 OR len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) > 1000",
+    "p5_daily": f"{VALUED} SELECT source, day, metric, {PERCENTILES} FROM d GROUP BY ALL",
+    "p5_span": f"{VALUED} SELECT source, metric, {PERCENTILES} FROM d GROUP BY ALL",
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
 }

@@ -181,20 +181,39 @@ def test_equal_hash_strings_are_dealt_over_slices():
 # 5: percentiles
 
 
-def test_sketch_error_is_bounded_and_merges(spark):
+def checked(row, every):
+    """No percentile is off in rank by more than it says."""
+    every = np.sort(every)
+    assert row.n == len(every)
+    for p, got, error in ((0.5, row.median, row.median_rank_error), (0.9, row.p90, row.p90_rank_error), (0.99, row.p99, row.p99_rank_error)):
+        rank = np.searchsorted(every, [got * (1 - row.value_error) - 1, got * (1 + row.value_error) + 1])
+        assert rank[0] - error * row.n <= p * row.n <= rank[1] + error * row.n + 1
+        assert error <= 0.01
+
+
+@pytest.mark.parametrize("spread_over", [300, 3_000_000])
+def test_sketch_error_is_bounded_and_merges(spark, spread_over):
     rng = np.random.default_rng(2)
-    days = {f"2026-01-0{d}": np.floor(rng.lognormal(5, 1.5, 4_000)).astype(int) for d in range(1, 4)}
+    days = {f"2026-01-0{d}": np.floor(rng.lognormal(0, 1.5, 4_000 * d) * spread_over).astype(int) for d in range(1, 4)}
     frame = spark.createDataFrame(pd.DataFrame([("a", d, "words", int(v)) for d, vs in days.items() for v in vs], columns=["source", "day", "metric", "value"]))
     daily = dyadic_sketch.sketch(frame, ["source", "day", "metric"])
     merged = {tuple(r) for r in dyadic_sketch.merge(daily, ["source", "metric"]).collect()}
     assert merged == {tuple(r) for r in dyadic_sketch.merge(dyadic_sketch.sketch(frame, ["source", "metric"]), ["source", "metric"]).collect()}
-    row = dyadic_sketch.percentiles(dyadic_sketch.merge(daily, ["source", "metric"]), ["source", "metric"]).first()
-    every = np.sort(np.concatenate(list(days.values())))
-    assert row.n == len(every)
-    for p, got in ((0.5, row.median), (0.9, row.p90), (0.99, row.p99)):
-        rank = np.searchsorted(every, [got * (1 - row.value_error) - 1, got * (1 + row.value_error) + 1])
-        assert rank[0] - row.rank_error * row.n <= p * row.n <= rank[1] + row.rank_error * row.n
-        assert abs((rank[0] + rank[1]) / 2 / row.n - p) < 0.02
+    checked(dyadic_sketch.percentiles(dyadic_sketch.merge(daily, ["source", "metric"]), ["source", "metric"]).first(), np.concatenate(list(days.values())))
+    for row in dyadic_sketch.percentiles(daily, ["source", "day", "metric"]).collect():
+        checked(row, days[row.day])
+        if len(np.unique(days[row.day])) < 2_000:
+            assert row.median_rank_error == row.p90_rank_error == row.p99_rank_error == 0
+    dense = len({c for _, _, level, _, c, _ in merged if level == dyadic_sketch.LEAF}) == 0
+    assert dense == (spread_over > 1000)
+
+
+def test_a_hot_value_has_a_known_rank(spark):
+    """A third of all records share one value; counters still tell every percentile."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([np.full(10_000, 5_000_001), rng.integers(0, 10**7, 20_000)])
+    frame = spark.createDataFrame(pd.DataFrame({"g": "x", "value": values}))
+    checked(dyadic_sketch.percentiles(dyadic_sketch.sketch(frame, ["g"]), ["g"]).first(), values)
 
 
 def test_sketch_deletes(spark):
