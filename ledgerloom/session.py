@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,15 +39,28 @@ def local_session(cores: str = "*", memory: str = "4g", shuffle_partitions: int
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a temporary one made.
+    Only on one machine (tests, the benchmark) is a temporary one made where none is named; on a
+    cluster that raises, as each executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)
-    return named
+    return named.rstrip("/")
+
+
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which is deleted when the application ends."""
+    made = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return made
 
 
 def table(spark: SparkSession, folder: str, name: str):
