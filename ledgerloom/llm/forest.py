@@ -23,7 +23,6 @@ than the first k + 1.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.session import shared_folder
+from ledgerloom.session import temporary_folder
 
 TREES = 8
 HASH_BITS = 63
@@ -358,7 +357,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: i
     classes = rows.groupBy("id").agg(F.first("space").alias("space"), F.first("vec").alias("vec"))
     forests, first = ({}, 0) if exact else fitted(rows, trees)
     if exact:
-        folder = f"{shared_folder(vectors.sparkSession)}/forest-{uuid.uuid4().hex}"
+        folder = temporary_folder(vectors.sparkSession, "forest")
         classes.write.parquet(f"{folder}/classes")
         classes = vectors.sparkSession.read.parquet(f"{folder}/classes")
         found = against_all(classes, classes, least, k + 3, f"{folder}/exact")
@@ -368,7 +367,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: i
         found = candidates(plant(classes, forests), first, ascend, None, k + 3, k)
     else:
         # pairs of ids alone are written, so that the crowd can be looked for in them
-        folder = f"{shared_folder(vectors.sparkSession)}/forest-{uuid.uuid4().hex}"
+        folder = temporary_folder(vectors.sparkSession, "forest")
         candidates(plant(classes, forests), first, ascend, least, k + 3, k).write.parquet(f"{folder}/met")
         met = vectors.sparkSession.read.parquet(f"{folder}/met")
         found, crowd = met.where("id <> other"), met.where("id = other").select("id")

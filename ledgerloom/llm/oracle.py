@@ -35,11 +35,28 @@ v AS (
 )"""
 PERCENTILES = "count(*) AS n, quantile_disc(x, 0.5) AS median, quantile_disc(x, 0.9) AS p90, quantile_disc(x, 0.99) AS p99, 0.0::DOUBLE AS median_rank_error, 0.0::DOUBLE AS p90_rank_error, 0.0::DOUBLE AS p99_rank_error, (1 / 4096.0)::DOUBLE AS value_error"
 
+#: The five most similar chunks of each by brute force.
+NEAREST = """
+WITH u AS (
+  SELECT DISTINCT model, session_id, ordinal, vec::DOUBLE[] AS v FROM chunk_vectors
+  WHERE model IS NOT NULL AND session_id IS NOT NULL AND ordinal IS NOT NULL AND vec IS NOT NULL AND len(vec) = dim
+    AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.model, a.session_id, a.ordinal, b.session_id AS other_session_id, b.ordinal AS other_ordinal, max(list_cosine_similarity(a.v, b.v)) AS cosine
+  FROM u a JOIN u b ON a.model = b.model AND len(a.v) = len(b.v) AND (a.session_id <> b.session_id OR a.ordinal <> b.ordinal) GROUP BY ALL
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY model, session_id, ordinal ORDER BY cosine DESC, other_session_id, other_ordinal)::INT AS rank FROM pairs QUALIFY rank <= 5
+)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": CUTS + " SELECT DISTINCT c.source, c.provenance, d.session_id FROM cuts c JOIN scored d ON d.s = c.s AND d.p = c.p AND d.words >= c.cutoff",
     "p1_cutoffs": CUTS + " SELECT source, provenance, keep_pct, n, cutoff::BIGINT AS cutoff, kept FROM cuts",
     "p2_found": f"WITH {CURRENT} SELECT session_id FROM cur WHERE length(text) > 8000 OR len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) > 1000",
+    "p2_checked": f"WITH {CURRENT} SELECT session_id, true AS within, true AS whole, true AS repeated, true AS split FROM cur WHERE length(text) > 8000 OR len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) > 1000",
+    "p4_neighbors": f"{NEAREST} SELECT model, session_id, ordinal, other_session_id, other_ordinal, rank, round(cosine, 5) AS cosine FROM best",
+    "p4_found": f"{NEAREST} SELECT DISTINCT model, least(a, b).s AS session_id_a, least(a, b).o AS ordinal_a, greatest(a, b).s AS session_id_b, greatest(a, b).o AS ordinal_b FROM (SELECT model, {{'s': session_id, 'o': ordinal}} AS a, {{'s': other_session_id, 'o': other_ordinal}} AS b FROM best WHERE cosine >= 0.93)",
     "p5_daily": f"{VALUED} SELECT source, day, metric, {PERCENTILES} FROM d GROUP BY ALL",
     "p5_span": f"{VALUED} SELECT source, metric, {PERCENTILES} FROM d GROUP BY ALL",
+    "p6_checked": "SELECT doc_id, strlen(text)::BIGINT AS tokens, true AS whole, true AS fits FROM documents WHERE strlen(text) > 0",
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
 }

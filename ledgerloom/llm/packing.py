@@ -292,3 +292,18 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: items, containers used, tokens, the least number of containers any packing needs, and the share filled."""
     used = packed.where(F.col("length") > 0).agg(F.countDistinct("container").alias("containers"), F.sum("length").alias("tokens"), F.count(F.lit(1)).alias("parts"))
     return used.select("parts", "containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least"), (F.col("tokens") / (F.col("containers") * capacity)).alias("filled"))
+
+
+def placed_whole(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, tokens, whole, fits): what must hold of every document that has a text, as packed.
+
+    ``whole``: its parts follow each other without gap or repetition, each in a container of its
+    own, and there are as few as its size allows; ``fits``: none of its containers holds more than the capacity.
+    """
+    packed = pack_documents(documents, capacity).where(F.col("length") > 0)
+    full = packed.groupBy("container").agg((F.sum("length") <= capacity).alias("_fits"))
+    of = Window.partitionBy("doc_id").orderBy("part")
+    joined = packed.join(full, "container").withColumn("_from", F.coalesce(F.lag(F.col("offset") + F.col("length")).over(of), F.lit(0)))
+    told = joined.groupBy("doc_id").agg(F.sum("length").alias("tokens"), F.bool_and(F.col("offset") == F.col("_from")).alias("_joined"), F.count(F.lit(1)).alias("_parts"), F.count_distinct("container").alias("_in"), F.bool_and("_fits").alias("fits"))
+    whole = F.col("_joined") & (F.col("_parts") == F.col("_in")) & (F.col("_parts") == F.ceil(F.col("tokens") / capacity))
+    return told.select("doc_id", "tokens", whole.alias("whole"), "fits")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import dyadic_sketch, forest, keep_cutoff, leakage, packing, pii, splitter, truncation
 from ledgerloom.session import table
@@ -29,6 +30,11 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitter.session_pieces(table(spark, folder, "sessions"))
 
 
+def p2_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces' conditions, as they aren't unique."""
+    return splitter.session_pieces_checked(table(spark, folder, "sessions"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.session_kinds(table(spark, folder, "sessions"))
 
@@ -43,7 +49,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """All five neighbours, however far: no index separates those, so all vectors are compared with all."""
-    return forest.nearest(table(spark, folder, "chunk_vectors"), exact=True)
+    near = forest.nearest(table(spark, folder, "chunk_vectors"), exact=True)
+    return near.withColumn("cosine", F.round("cosine", 5))
 
 
 def p5_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +73,11 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(table(spark, folder, "documents")))
 
 
+def p6_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """The packing's conditions, as it isn't unique."""
+    return packing.placed_whole(table(spark, folder, "documents"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -78,4 +90,4 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_neighbors, p5_daily, p5_span, p6_found, p6_containers, p6_fill, p7_found, p8_found, p8_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_pieces, p2_checked, p3_found, p3_redacted, p4_found, p4_neighbors, p5_daily, p5_span, p6_found, p6_containers, p6_fill, p6_checked, p7_found, p8_found, p8_rates)}

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.operators.current import current_rows
 from ledgerloom.session import spread
@@ -25,10 +26,6 @@ from ledgerloom.session import spread
 MAX_WORDS = 1000
 MAX_CHARS = 8000
 OVERLAP_WORDS = 60
-#: Word boundaries are kept as places to cut only in stretches without natural ones longer than this.
-BARE_CHARS = 400
-#: Code points worked on at once.
-SLICE_CHARS = 2_000_000
 WORD, LINE, PARAGRAPH, TURN = 1, 2, 3, 4
 TURN_MARKS = ("[USER]", "[ASSISTANT]", "[SYSTEM]")
 ENDS = np.array([ord(c) for c in ".!?。！？…"], dtype=np.uint32)
@@ -77,25 +74,11 @@ def _marks(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return index, counts, level
 
 
-def cut_places(chars: np.ndarray, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_WORDS, dense: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
-    """The cuts of one text (with its end) and where the overlap of the piece after each cut starts.
-
-    None when, with the few boundaries kept by default, some cut would not be legal; ``dense`` keeps all.
-    """
+def cut_places(chars: np.ndarray, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The cuts of one text (with its end) and where the overlap of the piece after each cut starts."""
     n = len(chars)
     index, counts, level = _marks(chars)
-    natural = np.flatnonzero(level[:n] >= LINE)
-    if dense:
-        places = np.flatnonzero(level[:n] >= WORD)
-    else:
-        bare = np.diff(np.concatenate((natural, [n]))) > BARE_CHARS
-        first_bare = len(natural) == 0 or natural[0] > BARE_CHARS
-        inside = np.zeros(n + 1, dtype=np.int8)
-        for a, b in zip(natural[bare], np.concatenate((natural, [n]))[1:][bare]):
-            inside[a:b] = 1
-        if first_bare:
-            inside[: natural[0] if len(natural) else n] = 1
-        places = np.flatnonzero((level[:n] >= LINE) | ((level[:n] == WORD) & (inside[:n] == 1)))
+    places = np.flatnonzero(level[:n] >= WORD)
     # inside long words and long white space: a place to cut every so many characters
     edges = np.unique(np.concatenate((np.array([0, n]), places))).astype(np.int64)
     step = max(1, max_chars // 8)
@@ -152,8 +135,8 @@ def cut_places(chars: np.ndarray, max_words: int = MAX_WORDS, max_chars: int = M
         if jump[0] == len(b) - 1 and reached[jump[reached]].all() and (jump == len(b) - 1).all():
             break
     cuts = np.flatnonzero(reached)
-    if stuck[cuts].any():
-        return None
+    if stuck[cuts].any():  # words longer than an eighth of a piece are cut themselves, so something always fits
+        raise AssertionError("no legal cut after some boundary")
     # a piece repeats no more than the piece before it holds
     overlap_start = np.maximum.accumulate(start[cuts[:-1]])
     return b[cuts], overlap_start
@@ -164,10 +147,7 @@ def pieces_of(text: str, **limits: int) -> list[tuple[int, int, int]]:
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if len(chars) == 0:
         return [(0, 0, 0)]
-    found = cut_places(chars, **limits)
-    if found is None:
-        found = cut_places(chars, dense=True, **limits)
-    cuts, starts = found
+    cuts, starts = cut_places(chars, **limits)
     return list(zip(starts.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
 
 
@@ -230,6 +210,31 @@ def session_pieces(sessions: DataFrame, with_text: bool = True) -> DataFrame:
     return kept.drop("updated_at", "_tie").dropDuplicates(["session_id", "piece"])
 
 
+def session_pieces_checked(sessions: DataFrame) -> DataFrame:
+    """(session_id, within, whole, repeated, split): what must hold of every split session's pieces.
+
+    ``within``: no piece exceeds a limit; ``whole``: what is new in each piece begins where the piece
+    before it ends, from the first character to the last; ``repeated``: no piece begins more than
+    the overlap's words before what is new in it, or before the start of the piece before it.
+    """
+    pieces = session_pieces(sessions)
+    words_of = word_count(F.col("piece_text"))
+    again = word_count(F.substr("piece_text", F.lit(1), F.col("start") - F.col("overlap_start")))
+    told = pieces.select("session_id", "piece", "start", "end", "overlap_start", (F.col("end") - F.col("overlap_start")).alias("chars"), F.char_length("piece_text").alias("_chars"), words_of.alias("words"), again.alias("again"))
+    of = Window.partitionBy("session_id").orderBy("piece")
+    told = told.withColumn("_end", F.coalesce(F.lag("end").over(of), F.lit(0))).withColumn("_from", F.coalesce(F.lag("overlap_start").over(of), F.lit(0)))
+    fine = [
+        F.bool_and((F.col("words") <= MAX_WORDS) & (F.col("chars") <= MAX_CHARS) & (F.col("chars") == F.col("_chars"))).alias("within"),
+        F.bool_and(F.col("start") == F.col("_end")).alias("_joined"),
+        F.bool_and((F.col("again") <= OVERLAP_WORDS) & (F.col("overlap_start") >= F.col("_from"))).alias("repeated"),
+    ]
+    seen = told.groupBy("session_id").agg(F.count(F.lit(1)).alias("pieces"), F.max("end").alias("_last"), *fine)
+    lengths = sessions.where(F.col("session_id").isNotNull()).select("session_id", "updated_at", F.xxhash64("text").alias("_tie"), F.char_length("text").alias("_length"))
+    marks = current_marks(sessions)
+    lengths = lengths.join(marks, (lengths["session_id"] == marks["session_id"]) & lengths["updated_at"].eqNullSafe(marks["updated_at"]) & (lengths["_tie"] == marks["_tie"]), "left_semi").select("session_id", "_length").distinct()
+    return seen.join(lengths, "session_id").select("session_id", "within", (F.col("_joined") & (F.col("_last") == F.col("_length"))).alias("whole"), "repeated", (F.col("pieces") > 1).alias("split"))
+
+
 def split_sessions(sessions: DataFrame) -> DataFrame:
     """(session_id) of the sessions that had to be split, told by their pieces."""
     return session_pieces(sessions, with_text=False).where(F.col("piece") == 1).select("session_id")

@@ -13,13 +13,12 @@ Three kinds of evidence are multiplied into the odds that a text was cut where i
 
 Last lines that end a fair share of all different texts ("Done", "Thanks", "And so on...") are
 closings; copies of one text are one there, as for lengths. All other counts run over all documents. What has to be counted is only the contexts in which documents
-end; a bitmap of fixed size tells the counting tasks which these may be, and a join settles it.
+end; a bitmap of bounded size tells the counting tasks which these may be, and a join settles it.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.operators.current import label
-from ledgerloom.session import shared_folder, spread
+from ledgerloom.session import spread, temporary_folder
 
 ORDERS = 4
-TAIL_CHARS = 400
-BITS = 24
+#: Runs of signs between blanks that hold the last tokens for certain, and the characters they usually fit in.
+TAIL_RUNS, TAIL_CHARS = 8, 400
+#: Prefixes up to this length are nodes of the trie; longer last tokens are looked up among the words that share so many letters.
+DEPTH = 32
+#: The filter has about so many bits for each document, within these powers of two (32 MB at the most; what it lets through beyond that, a join settles).
+BITS_A_DOCUMENT, LEAST_BITS, MOST_BITS = 64, 16, 28
 FLUSH = 200_000
 #: Odds that a text is cut before anything is known of it, and the share of all different texts from which a last line is a closing.
 PRIOR = 0.07
@@ -123,13 +126,24 @@ def contexts(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def bit_of(h: Column) -> Column:
-    return F.call_function("shiftrightunsigned", h, F.lit(64 - BITS))
+def bit_of(h: Column, bits: int) -> Column:
+    return F.call_function("shiftrightunsigned", h, F.lit(64 - bits))
+
+
+def last_runs(text: str) -> str:
+    """The end of a text from the start of its last TAIL_RUNS runs of signs between blanks, or the whole of it."""
+    at = len(text)
+    for _ in range(TAIL_RUNS):
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+    return text[at:]
 
 
 def tail_facts(text: str | None, tokens: Tokens) -> tuple:
-    """What the end of a text shows: last token, hashes of its contexts, broken, marked, stopped, last line."""
-    text = (text or "").rstrip()
+    """What the end of a text shows: last token, hashes of its contexts, broken, marked, stopped."""
+    text = last_runs((text or "").rstrip())
     broken = bool(BROKEN_END.search(text))
     bare = BROKEN_END.sub("", text) if broken else text
     marked = MARKER.search(bare)
@@ -138,22 +152,26 @@ def tail_facts(text: str | None, tokens: Tokens) -> tuple:
     stopped = bool(STOP.search(bare)) and not marked
     found, words, _ = tokens.codes(bare)
     codes = np.array(found, dtype=np.int64)
-    line = text.rsplit("\n", 1)[-1].strip()
     if not len(codes):
-        return ("", *[0] * ORDERS, broken, bool(marked), stopped, line)
+        return ("", *[0] * ORDERS, broken, bool(marked), stopped)
     last = tokens.words.get(words[-1], "") if bare and bare[-1].isalpha() else ""
-    return (last, *[int(c[-1]) for c in contexts(codes)], broken, bool(marked), stopped, line)
+    return (last, *[int(c[-1]) for c in contexts(codes)], broken, bool(marked), stopped)
 
 
 def tails(documents: DataFrame) -> DataFrame:
     """One row a document with a text: doc_id, source, lengths, whether a code fence is open, a hash that copies share, and the facts of its end."""
     text = F.col("text")
     fences = F.regexp_count(text, F.lit(r"(?m)^[ \t]*```"))
-    narrow = documents.where(F.length(F.btrim(text, F.lit(" \t\r\n"))) > 0).select("doc_id", label("source").alias("source"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"), (fences % 2 == 1).alias("open_fence"), F.xxhash64(F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"\s+", " ")).alias("copy"), F.right(F.rtrim(text), F.lit(TAIL_CHARS)).alias("_tail"))
-    facts = ["last", *[f"h{k}" for k in range(1, ORDERS + 1)], "broken", "marked", "stopped", "line"]
-    kept = ["doc_id", "source", "chars", "bytes", "open_fence", "copy"]
+    whole = F.rtrim(text)
+    tail = F.right(whole, F.lit(TAIL_CHARS))
+    # the last characters do where they hold runs enough, else the whole text is looked at
+    tail = F.when(F.regexp_count(tail, F.lit(r"\s\S")) > TAIL_RUNS, tail).otherwise(whole)
+    line = F.xxhash64(F.btrim(F.substring_index(F.btrim(text, F.lit(" \t\r\n")), "\n", -1), F.lit(" \t\r")))
+    narrow = documents.where(F.length(F.btrim(text, F.lit(" \t\r\n"))) > 0).select("doc_id", label("source").alias("source"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"), (fences % 2 == 1).alias("open_fence"), F.xxhash64(F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"\s+", " ")).alias("copy"), line.alias("line"), tail.alias("_tail"))
+    facts = ["last", *[f"h{k}" for k in range(1, ORDERS + 1)], "broken", "marked", "stopped"]
+    kept = ["doc_id", "source", "chars", "bytes", "open_fence", "copy", "line"]
     id_type = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, source string, chars int, bytes int, open_fence boolean, copy long, last string, " + ", ".join(f"h{k} long" for k in range(1, ORDERS + 1)) + ", broken boolean, marked boolean, stopped boolean, line string"
+    schema = f"doc_id {id_type}, source string, chars int, bytes int, open_fence boolean, copy long, line long, last string, " + ", ".join(f"h{k} long" for k in range(1, ORDERS + 1)) + ", broken boolean, marked boolean, stopped boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens()
@@ -164,12 +182,12 @@ def tails(documents: DataFrame) -> DataFrame:
     return spread(narrow).mapInPandas(run, schema)
 
 
-def corpus_counts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
+def corpus_counts(documents: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
     """(word, h, n, ends): words away from the ends of texts with n, and contexts that ``wanted`` may hold with n and how often an end follows."""
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, bits = Tokens(), shared.value
+        tokens, held_bits = Tokens(), shared.value
         seen: dict[int, int] = {}
         totals: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
@@ -203,8 +221,8 @@ def corpus_counts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
                 after = np.concatenate((codes[1:], [0]))
                 end = (after == tokens.end) | (after == tokens.line)
                 for context in contexts(codes):
-                    at = context.view(np.uint64) >> np.uint64(64 - BITS)
-                    hit = inner & ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                    at = context.view(np.uint64) >> np.uint64(64 - bits)
+                    hit = inner & ((held_bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                     u, back = np.unique(context[hit], return_inverse=True)
                     totals.append((u, np.bincount(back, minlength=len(u)), np.bincount(back, end[hit], minlength=len(u))))
                     held += len(u)
@@ -226,13 +244,23 @@ def corpus_counts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """The vocabulary trie as a table of its nodes: prefix, ``whole`` (that word's count) and ``longer`` (of words that go on)."""
-    lengths = F.sequence(F.lit(1), F.least(F.char_length("word"), F.lit(32)))
+    """The vocabulary trie to DEPTH letters as a table of its nodes: prefix, ``whole`` (that word's count) and ``longer`` (of words that go on)."""
+    lengths = F.sequence(F.lit(1), F.least(F.char_length("word"), F.lit(DEPTH)))
     nodes = words.select("word", "n", F.explode(lengths).alias("k")).select(F.substr(F.col("word"), F.lit(1), F.col("k")).alias("prefix"), "word", "n")
     same = F.col("prefix") == F.col("word")
     return nodes.groupBy("prefix").agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("whole"), F.sum(F.when(~same, F.col("n")).otherwise(0)).alias("longer"))
 
 
+def deep_nodes(words: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The nodes of ``prefixes`` (prefix) that are longer than DEPTH, found among the words that share their first DEPTH letters."""
+    head = lambda c: F.substr(F.col(c), F.lit(1), F.lit(DEPTH))
+    asked = prefixes.where(F.char_length("prefix") > DEPTH).distinct().withColumn("_head", head("prefix"))
+    long_words = words.where(F.char_length("word") > DEPTH).groupBy("word").agg(F.sum("n").alias("n")).withColumn("_head", head("word"))
+    met = asked.join(long_words, "_head").where(F.col("word").startswith(F.col("prefix")))
+    same = F.col("prefix") == F.col("word")
+    return met.groupBy("prefix").agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("whole"), F.sum(F.when(~same, F.col("n")).otherwise(0)).alias("longer"))
+
+
 def field_limits(ends: DataFrame) -> DataFrame:
     """(source, unit, low, high, exact): the lengths at which a source's texts were cut.
 
@@ -265,20 +293,22 @@ def truncation_odds(documents: DataFrame) -> DataFrame:
     written to the shared folder, so a lost executor costs no second pass over the texts.
     """
     spark = documents.sparkSession
-    folder = f"{shared_folder(spark)}/truncation-{uuid.uuid4().hex}"
+    folder = temporary_folder(spark, "truncation")
     tails(documents).write.parquet(f"{folder}/ends")
     ends = spark.read.parquet(f"{folder}/ends")
 
-    hashes = ends.select(F.explode(F.array(*[f"h{k}" for k in range(1, ORDERS + 1)])).alias("h")).select(bit_of(F.col("h")).alias("bit"))
-    # 2**BITS bits in at most 2**(BITS - 6) words, whatever the number of documents
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_DOCUMENT * ends.count()).bit_length()))
+    hashes = ends.select(F.explode(F.array(*[f"h{k}" for k in range(1, ORDERS + 1)])).alias("h")).select(bit_of(F.col("h"), bits).alias("bit"))
+    # 2**bits bits in at most 2**(bits - 6) words
     words64 = hashes.groupBy(F.call_function("shiftright", F.col("bit"), F.lit(6)).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits"))
-    wanted = np.zeros(2 ** (BITS - 6), dtype="<i8")
+    wanted = np.zeros(2 ** (bits - 6), dtype="<i8")
     found = words64.toPandas()
     wanted[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    corpus_counts(documents, wanted.view(np.uint8)).write.parquet(f"{folder}/counts")
+    corpus_counts(documents, wanted.view(np.uint8), bits).write.parquet(f"{folder}/counts")
     counts = spark.read.parquet(f"{folder}/counts")
 
-    nodes = trie(counts.where(F.col("word").isNotNull()).select("word", "n"))
+    vocabulary = counts.where(F.col("word").isNotNull()).select("word", "n")
+    nodes = trie(vocabulary).unionByName(deep_nodes(vocabulary, ends.select(F.col("last").alias("prefix"))))
     after = counts.where(F.col("word").isNull()).select("h", "n", "ends")
     rate = after.join(ends.select(F.col("h1").alias("h")).distinct(), "h", "left_semi").agg((F.sum("ends") / F.sum("n")).alias("rate")).first()["rate"]  # one number
     facts = ends.join(nodes.withColumnRenamed("prefix", "last"), "last", "left")

@@ -472,3 +472,18 @@ def test_copies_make_and_hide_no_field_limit(spark):
     got = {r.doc_id: r for r in truncation.truncation_odds(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     assert not any(got[2000 + d].at_limit for d in range(30))
     assert all(got[3000 + d].at_limit for d in range(20))
+
+
+def test_long_last_tokens_are_found(spark):
+    long = "abcdefgh" * 6
+    words = spark.createDataFrame([(long + "xyz", 4), (long, 1), ("cat", 3), (long[:40], 2)], "word string, n long")
+    asked = spark.createDataFrame([(long,), (long[:35],), ("cat",), (None,)], "prefix string")
+    assert {r.prefix: (r.whole, r.longer) for r in truncation.deep_nodes(words, asked).collect()} == {long: (1, 4), long[:35]: (0, 7)}
+
+
+def test_the_last_tokens_of_a_text_are_whole():
+    assert truncation.last_runs("a b " + "c " * 20) == "c " * 7 + "c "
+    assert truncation.last_runs("y" * 1000) == "y" * 1000 and truncation.last_runs("") == ""
+    tokens = truncation.Tokens()
+    text = "one two three " + "z" * 900
+    assert truncation.tail_facts(text, tokens)[0] == "z" * 900
