@@ -112,69 +112,41 @@ def expanded(tree: object) -> object | None:
 
 @dataclass
 class Index:
-    """``postings`` (term, keys, tf, positions), ``lengths`` (keys, length), and how terms are made from words.
+    """``postings`` (term, keys, tf, positions, length of the chunk), ``bodies`` (keys, body), statistics of all chunks, and how terms are made from words."""
 
-    One made for a single query has ``tokens`` (keys, t) instead, from which frequencies are read
-    in one pass without any shuffle.
-    """
-
-    postings: DataFrame | None
-    lengths: DataFrame | None
+    postings: DataFrame
+    bodies: DataFrame
     chunks: int
     average: float
     stems: bool
-    tokens: DataFrame | None = None
 
 
 def build_index(chunks: DataFrame, stems: bool = True, keys: list[str] = KEYS) -> Index:
-    """The inverted index of (keys..., body). Statistics are those of all chunks, whatever is filtered later.
-
-    Write ``postings`` partitioned or bucketed by term to search it without reading the rest.
-    """
+    """The inverted index of (keys..., body). Statistics are those of all chunks, whatever is filtered later."""
     body = F.col("body")
     tokens = chunks.select(*keys, (stemming.stemmed(body) if stems else stemming.unstemmed(body)).alias("_t"))
-    lengths = tokens.select(*keys, F.size("_t").alias("length"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
-    placed = tokens.select(*keys, F.posexplode("_t").alias("position", "term"))
-    postings = placed.groupBy("term", *keys).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
-    return Index(postings, lengths, stats["n"], stats["average"] or 0.0, stems)
+    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("average")).first()
+    placed = tokens.select(*keys, F.size("_t").alias("length"), F.posexplode("_t").alias("position", "term"))
+    postings = placed.groupBy("term", *keys).agg(F.first("length").alias("length"), F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    return Index(postings, chunks.select(*keys, "body"), stats["n"], stats["average"] or 0.0, stems)
 
 
-def scan_index(chunks: DataFrame, stems: bool = True, keys: list[str] = KEYS) -> Index:
-    """What build_index() gives, for a query or two: nothing is built, chunks are read as they are searched."""
-    body = F.col("body")
-    tokens = chunks.select(*keys, (stemming.stemmed(body) if stems else stemming.unstemmed(body)).alias("t"))
-    return Index(None, None, 0, 0.0, stems, tokens)
-
+def write_index(index: Index, folder: str, keys: list[str] = KEYS) -> None:
+    """Keeps an index: postings in order of their terms and bodies of their keys, so that reading skips all files and row groups without those asked for.
 
-def scanned(tokens: DataFrame, every: list[Leaf], term_of, keys: list[str]) -> DataFrame:
-    """keys..., length and the frequency of each leaf, read from the tokens of each chunk."""
-    t = F.col("t")
-
-    def frequency(leaf: Leaf) -> Column:
-        words = [term_of(w) for w in leaf.words]
-        ends = leaf.words[-1]
-        if len(words) == 1:
-            return F.size(F.filter(t, lambda x: x.startswith(ends) if leaf.prefix else x == words[0]))
-        at = lambda i, k: F.get(t, i + k)
-        fits = lambda i: reduce(lambda a, b: a & b, [(at(i, k).startswith(ends) if leaf.prefix and k == len(words) - 1 else at(i, k) == w) for k, w in enumerate(words)])
-        starts = F.filter(F.transform(t, lambda x, i: F.when(x == words[0], i)), lambda i: i.isNotNull())
-        return F.size(F.filter(starts, lambda i: F.coalesce(fits(i), F.lit(False))))
-
-    return tokens.select(*keys, F.size(t).alias("length"), *[frequency(leaf).alias(f"_f{k}") for k, leaf in enumerate(every)])
-
-
-def write_index(index: Index, folder: str) -> None:
-    """Keeps an index: postings in order of their terms, so that a query's reading skips all files and row groups without its terms."""
+    Ranges take the keys in, too, so the postings of a word that is in most chunks are cut into many
+    files. The statistics are written last; an index without them is none.
+    """
     spark = index.postings.sparkSession
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    order = ["term", *keys]
+    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/postings")
+    index.bodies.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{folder}/bodies")
     spark.createDataFrame([(index.chunks, index.average, index.stems)], "chunks long, average double, stems boolean").coalesce(1).write.mode("overwrite").json(f"{folder}/statistics")
 
 
 def read_index(spark, folder: str) -> Index:
     stats = spark.read.schema("chunks long, average double, stems boolean").json(f"{folder}/statistics").first()
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), stats["chunks"], stats["average"], stats["stems"])
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/bodies"), stats["chunks"], stats["average"], stats["stems"])
 
 
 def matches(index: Index, tree: object, keys: list[str] = KEYS) -> DataFrame:
@@ -185,30 +157,33 @@ def matches(index: Index, tree: object, keys: list[str] = KEYS) -> DataFrame:
     """
     every, scoring = all_leaves(tree), leaves(tree)
     term_of = stemming.stem if index.stems else (lambda w: w)
-    if index.tokens is not None:
-        found = scanned(index.tokens, every, term_of, keys)
-    else:
-        exact = sorted({term_of(w) for leaf in every for w in (leaf.words[:-1] if leaf.prefix else leaf.words)})
-        starts = sorted({leaf.words[-1] for leaf in every if leaf.prefix})
-        want = F.col("term").isin(exact) if exact else F.lit(False)
-        for start in starts:
-            want = want | F.col("term").startswith(start)
-        hits = index.postings.where(want)
-        places = [F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"_p{k}") for k, t in enumerate(exact)]
-        places += [F.flatten(F.collect_list(F.when(F.col("term").startswith(s), F.col("positions")))).alias(f"_s{k}") for k, s in enumerate(starts)]
-        found = hits.groupBy(*keys).agg(*places)
-
-        def frequency(leaf: Leaf) -> Column:
-            columns = [F.col(f"_p{exact.index(term_of(w))}") for w in (leaf.words[:-1] if leaf.prefix else leaf.words)]
-            if leaf.prefix:
-                columns.append(F.col(f"_s{starts.index(leaf.words[-1])}"))
-            if len(columns) == 1:
-                return F.size(columns[0])
-            fits = lambda p: reduce(lambda a, b: a & b, [F.array_contains(c, p + k) for k, c in enumerate(columns) if k])
-            return F.size(F.filter(columns[0], fits))
-
-        for k, leaf in enumerate(every):
-            found = found.withColumn(f"_f{k}", frequency(leaf))
+    exact = sorted({term_of(w) for leaf in every for w in (leaf.words[:-1] if leaf.prefix else leaf.words)})
+    starts = sorted({leaf.words[-1] for leaf in every if leaf.prefix})
+    want = F.col("term").isin(exact) if exact else F.lit(False)
+    for start in starts:
+        want = want | F.col("term").startswith(start)
+    hits = index.postings.where(want)
+    # positions are only read for phrases; a term or a prefix by itself needs its frequency alone
+    single = all(len(leaf.words) == 1 for leaf in every)
+
+    def of_term(here: Column) -> Column:
+        return F.sum(F.when(here, F.col("tf")).otherwise(0)) if single else F.flatten(F.collect_list(F.when(here, F.col("positions"))))
+
+    places = [of_term(F.col("term") == t).alias(f"_p{k}") for k, t in enumerate(exact)]
+    places += [of_term(F.col("term").startswith(s)).alias(f"_s{k}") for k, s in enumerate(starts)]
+    found = hits.groupBy(*keys).agg(F.first("length").alias("length"), *places)
+
+    def frequency(leaf: Leaf) -> Column:
+        columns = [F.col(f"_p{exact.index(term_of(w))}") for w in (leaf.words[:-1] if leaf.prefix else leaf.words)]
+        if leaf.prefix:
+            columns.append(F.col(f"_s{starts.index(leaf.words[-1])}"))
+        if len(columns) == 1:
+            return columns[0] if single else F.size(columns[0])
+        fits = lambda p: reduce(lambda a, b: a & b, [F.array_contains(c, p + k) for k, c in enumerate(columns) if k])
+        return F.size(F.filter(columns[0], fits))
+
+    for k, leaf in enumerate(every):
+        found = found.withColumn(f"_f{k}", frequency(leaf))
     holds = {leaf: F.col(f"_f{k}") > 0 for k, leaf in enumerate(every)}
 
     def truth(node: object) -> Column:
@@ -218,15 +193,10 @@ def matches(index: Index, tree: object, keys: list[str] = KEYS) -> DataFrame:
         return left & right if node.op == "AND" else left | right if node.op == "OR" else left & ~right
 
     names = [f"_f{k}" for k in range(len(every))]
-    frequencies = found.select(*keys, *(["length"] if index.tokens is not None else []), *names)
-    present = [F.count_if(F.col(name) > 0).alias(name) for name in names]
-    if index.tokens is not None:
-        counts = frequencies.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *present).first()
-        chunks, average = counts["n"], counts["average"] or 0.0
-        scored = frequencies.where(truth(tree))
-    else:
-        counts, chunks, average = frequencies.agg(*present).first(), index.chunks, index.average
-        scored = frequencies.where(truth(tree)).join(index.lengths, keys)
+    frequencies = found.select(*keys, "length", *names)
+    counts = frequencies.agg(*[F.count_if(F.col(name) > 0).alias(name) for name in names]).first()
+    chunks, average = index.chunks, index.average
+    scored = frequencies.where(truth(tree))
     score = F.lit(0.0)
     for leaf in scoring:
         k = every.index(leaf)
@@ -245,33 +215,44 @@ def best_per_session(hits: DataFrame, order: str = "score") -> DataFrame:
 
 
 def search(index: Index, sessions: DataFrame, raw: str, limit: int = 20, expand: bool = True) -> DataFrame:
-    """session_id, ordinal, score, chunk_hits, started_at of the ``limit`` best sessions for a query.
+    """The columns of ``sessions`` with ordinal, score and chunk_hits of the ``limit`` best sessions for a query.
 
     ``sessions`` (session_id, started_at, ...) is filtered beforehand; only its sessions are found.
     Best score first, then the newest, then by id. If fewer than ``limit`` sessions match, those an
     OR of the first terms finds are added and all are sorted together. A query that can't be read
     finds nothing.
     """
-    kept = sessions.select("session_id", "started_at")
     tree = parse(raw)
     if tree is None:
-        return kept.select("session_id", F.lit(0).alias("ordinal"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("chunk_hits"), "started_at").where("false")
+        return sessions.select("*", F.lit(0).alias("ordinal"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("chunk_hits")).where("false")
+    order = ["score", F.desc_nulls_last("started_at"), "session_id"]
 
     def leg(of: object) -> DataFrame:
-        ranked = best_per_session(matches(index, of).join(kept, "session_id", "left_semi")).join(kept, "session_id")
-        return ranked.orderBy("score", F.desc_nulls_last("started_at"), "session_id").limit(limit)
+        kept = sessions.select("session_id", "started_at")
+        best = best_per_session(matches(index, of)).join(kept, "session_id")
+        return best.orderBy(*order).limit(limit)
 
-    first = leg(tree)
+    found = leg(tree)
     wider = expanded(tree) if expand else None
-    if wider is None or wider == tree:
-        return first
-    rows = first.collect()  # at most ``limit`` rows: whether a second leg is needed depends on them
-    spark = sessions.sparkSession
-    first = spark.createDataFrame(rows, first.schema)
-    if len(rows) >= limit:
-        return first
-    more = leg(wider).join(F.broadcast(first.select("session_id")), "session_id", "left_anti")  # at most ``limit`` ids
-    return first.unionByName(more.select(first.columns)).orderBy("score", F.desc_nulls_last("started_at"), "session_id").limit(limit)
+    if wider is not None and wider != tree:
+        spark = sessions.sparkSession
+        rows = found.collect()  # at most ``limit`` rows: whether a second leg is needed depends on them
+        found = spark.createDataFrame(rows, found.schema)
+        if len(rows) < limit:
+            more = leg(wider).join(F.broadcast(found.select("session_id")), "session_id", "left_anti")  # at most ``limit`` ids
+            found = found.unionByName(more.select(found.columns)).orderBy(*order).limit(limit)
+    # the rest of the sessions' columns are fetched for those found alone
+    found = found.drop("started_at").join(sessions, "session_id") if set(sessions.columns) - {"session_id", "started_at"} else found
+    return found.orderBy(*order)
+
+
+def with_excerpts(found: DataFrame, index: Index, raw: str, size: int = 16) -> DataFrame:
+    """``found`` of search() with ``excerpt``, the snippet of each session's best chunk; only bodies of the sessions found are read."""
+    rows = found.select("session_id", "ordinal").collect()  # at most the search's limit
+    bodies = index.bodies.where(F.col("session_id").isin(sorted({r["session_id"] for r in rows})))
+    tree = parse(raw)
+    words = sorted({w for leaf in (leaves(tree) if tree is not None else []) for w in leaf.words})
+    return found.join(bodies.select("session_id", "ordinal", snippet(F.col("body"), words, size).alias("excerpt")), ["session_id", "ordinal"], "left")
 
 
 def snippet(body: Column, words: list[str], size: int = 16) -> Column:
@@ -302,15 +283,17 @@ def rerank(count: int, order: object) -> list[int]:
     return [*order, *[i for i in range(count) if i not in set(order)]] if fine else list(range(count))
 
 
-def hybrid(lexical: DataFrame, semantic: DataFrame, chunks: DataFrame, limit: int = 20) -> DataFrame:
+def hybrid(lexical: DataFrame, semantic: DataFrame, bodies: DataFrame, limit: int = 20) -> DataFrame:
     """session_id, fused, score, chunk_hits, excerpt of two ranked legs (session_id, rank) fused by reciprocal rank.
 
-    ``lexical`` also has score and chunk_hits, which its sessions keep; those only ``semantic``
-    found get 0 for both. The excerpt is the head of a session's first chunk. Filter both legs alike
+    ``lexical`` also has score, chunk_hits and (it may) excerpt, which its sessions keep; those only
+    ``semantic`` found get 0 for both and the head of their first chunk. Filter both legs alike
     beforehand: what one leg must not show, the other must not bring back.
     """
     fused = fuse([lexical.select(F.col("session_id").alias("id"), "rank"), semantic.select(F.col("session_id").alias("id"), "rank")], limit=limit)
-    kept = fused.select(F.col("id").alias("session_id"), F.col("score").alias("fused"))
-    first = chunks.where(F.col("ordinal") == 0).select("session_id", F.substr("body", F.lit(1), F.lit(300)).alias("excerpt"))
-    rows = kept.join(lexical.select("session_id", "score", "chunk_hits"), "session_id", "left").join(first, "session_id", "left")
-    return rows.select("session_id", "fused", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("chunk_hits", F.lit(0)).alias("chunk_hits"), "excerpt").orderBy(F.desc("fused"), "session_id")
+    rows = fused.collect()  # ``limit`` rows
+    excerpt = F.col("excerpt") if "excerpt" in lexical.columns else F.lit(None).cast("string").alias("excerpt")
+    kept = lexical.sparkSession.createDataFrame(rows, fused.schema).select(F.col("id").alias("session_id"), F.col("score").alias("fused"))
+    first = bodies.where((F.col("ordinal") == 0) & F.col("session_id").isin([r["id"] for r in rows])).select("session_id", F.substr("body", F.lit(1), F.lit(300)).alias("_head"))
+    rows = kept.join(lexical.select("session_id", "score", "chunk_hits", excerpt), "session_id", "left").join(first, "session_id", "left")
+    return rows.select("session_id", "fused", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("chunk_hits", F.lit(0)).alias("chunk_hits"), F.coalesce("excerpt", "_head").alias("excerpt")).orderBy(F.desc("fused"), "session_id")

@@ -9,10 +9,10 @@ from ledgerloom.functions import redaction
 from ledgerloom.functions.facets import listed, parse_facets
 from ledgerloom.functions.text import comparable_path, model_name, path_depth, path_tag, provenance, safe_label, shard_of, word_count
 from ledgerloom.operators import chunks, search, vectors
-from ledgerloom.operators.current import current_rows, label
+from ledgerloom.operators.current import current_rows, current_texts, label
 from ledgerloom.operators.filters import Filters, apply
 from ledgerloom.plans.registry import CUR, WS, query
-from ledgerloom.session import spread, table
+from ledgerloom.session import spread, table, temporary_folder
 
 WORDS = f"list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '')"
 CHUNKS = f"""
@@ -50,9 +50,22 @@ def document_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return chunks.chunk(documents, ["session_id"]), documents.select("session_id", "started_at")
 
 
-def found(spark: SparkSession, folder: str, raw: str, expand: bool = False) -> DataFrame:
-    cut, documents = document_chunks(spark, folder)
-    hits = search.search(search.scan_index(cut, stems=False), documents, raw, 20, expand)
+_KEPT: dict[tuple[str, str, bool], str] = {}
+
+
+def document_index(spark: SparkSession, folder: str, stems: bool = False) -> search.Index:
+    """The kept index of a folder's documents, in the shared folder; built by the first search that asks for it."""
+    key = (spark.sparkContext.applicationId, folder, stems)
+    if key not in _KEPT:
+        where = temporary_folder(spark, "index")
+        search.write_index(search.build_index(document_chunks(spark, folder)[0], stems), where)
+        _KEPT[key] = where
+    return search.read_index(spark, _KEPT[key])
+
+
+def found(spark: SparkSession, folder: str, raw: str, expand: bool = False, stems: bool = False) -> DataFrame:
+    documents = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("session_id"), F.col("captured_at").alias("started_at"))
+    hits = search.search(document_index(spark, folder, stems), documents, raw, 20, expand)
     return hits.select("session_id", "ordinal", "chunk_hits", F.round("score", 6).alias("score"))
 
 
@@ -79,12 +92,34 @@ def search_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return found(spark, folder, "redact*")
 
 
-@query(f"WITH {CHUNKS}, {bm25({'a': term('month'), 'b': term('histogram')}, 'a > 0 AND b > 0')} {RESULT}")
-def search_by_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """A search through the inverted index, as a kept index is searched."""
-    cut, documents = document_chunks(spark, folder)
-    hits = search.search(search.build_index(cut, stems=False), documents, "month histogram", 20, False)
-    return hits.select("session_id", "ordinal", "chunk_hits", F.round("score", 6).alias("score"))
+def forms(*words: str) -> str:
+    return f"len(list_filter(t, lambda x: x IN ({', '.join(chr(39) + w + chr(39) for w in words)})))"
+
+
+@query(f"WITH {CHUNKS}, {bm25({'a': forms('retry', 'retries', 'retried', 'retrying', 'retri'), 'b': forms('measure', 'measures', 'measured', 'measuring')}, 'a > 0 AND b > 0')} {RESULT}")
+def search_stems(spark: SparkSession, folder: str) -> DataFrame:
+    """A search by stems, as the archive's own tokenizer makes them."""
+    return found(spark, folder, "retried measuring", stems=True)
+
+
+def excerpts(*words: str) -> str:
+    """Oracle SQL of the excerpts of a leg's chunks: ``shown`` (session_id, ordinal, excerpt)."""
+    return rf"""
+words AS (SELECT l.session_id, l.ordinal, string_split(c.body, ' ') AS w FROM leg l JOIN chunk c ON c.session_id = l.session_id AND c.ordinal = l.ordinal),
+bare AS (SELECT *, list_transform(w, lambda x: lower(regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')) IN ({', '.join(chr(39) + w + chr(39) for w in words)})) AS hit FROM words),
+cut AS (SELECT *, greatest(coalesce(list_position(hit, true), 1) - 1 - 8, 0)::INT AS s FROM bare),
+shown AS (SELECT session_id, ordinal, CASE WHEN s > 0 THEN ' ... ' ELSE '' END || array_to_string(list_transform(range(s + 1, least(s + 16, len(w)) + 1), lambda i: CASE WHEN hit[i] THEN '[' || w[i] || ']' ELSE w[i] END), ' ') || CASE WHEN s + 16 < len(w) THEN ' ... ' ELSE '' END AS excerpt FROM cut)"""
+
+
+@query(f"""WITH {CHUNKS}, {bm25({'a': term('month'), 'b': term('histogram')}, 'a > 0 AND b > 0')}, {excerpts('month', 'histogram')}
+SELECT l.session_id, lower(trim(d.source)) AS source, d.repo, d.captured_at AS started_at, l.ordinal, l.chunk_hits, round(l.score, 6) AS score, excerpt
+FROM leg l JOIN shown USING (session_id, ordinal) JOIN documents d ON d.doc_id::VARCHAR = l.session_id""")
+def search_shown(spark: SparkSession, folder: str) -> DataFrame:
+    """A search with all that is shown of a hit: where it comes from, when, and an excerpt with the words in brackets."""
+    index = document_index(spark, folder)
+    documents = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("session_id"), label("source").alias("source"), "repo", F.col("captured_at").alias("started_at"))
+    hits = search.with_excerpts(search.search(index, documents, "month histogram", 20, False), index, "month histogram")
+    return hits.select("session_id", "source", "repo", "started_at", "ordinal", "chunk_hits", F.round("score", 6).alias("score"), "excerpt")
 
 
 @query(f"WITH {CHUNKS}, {bm25({'a': term('watcher')}, 'a > 0 AND z = 0', {'z': term('thread')})} {RESULT}")
@@ -112,15 +147,15 @@ w AS (SELECT session_id, {WORDS} AS w FROM t), n AS (SELECT session_id, w, CASE
 SELECT session_id, o::INT AS ordinal, md5(array_to_string(w[o * 320 + 1 : o * 320 + 400], ' ')) AS body FROM (SELECT *, unnest(range(n)) AS o FROM n WHERE n > 0)""")
 def chunk_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """The windows of every conversation's prose, as digests."""
-    rows = apply(current_rows(table(spark, folder, "sessions"), ["words", "text", "provenance"]), Filters())
-    return chunks.chunk(rows, ["session_id"]).select("session_id", "ordinal", F.md5(F.col("body").cast("binary")).alias("body"))
+    rows = current_texts(table(spark, folder, "sessions"), ["provenance"])
+    return chunks.chunk(apply(rows, Filters()), ["session_id"]).select("session_id", "ordinal", F.md5(F.col("body").cast("binary")).alias("body"))
 
 
 @query(f"""WITH {CUR} SELECT session_id, len({WORDS})::INT AS counted,
   CASE WHEN counted <= 0 THEN 0 WHEN counted <= 400 THEN 1 ELSE 1 + ceil((counted - 400) / 320.0) END::INT AS chunks,
   CASE WHEN counted <= 0 THEN 0 WHEN counted <= 12000 THEN 1 ELSE ceil(counted / 11600.0) END::INT AS calls FROM cur WHERE text IS NOT NULL""")
 def window_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = current_rows(table(spark, folder, "sessions"), ["words", "text"]).where(F.col("text").isNotNull())
+    rows = current_texts(table(spark, folder, "sessions")).where(F.col("text").isNotNull())
     counted = rows.select("session_id", word_count("text").alias("counted"))
     return counted.select("session_id", "counted", chunks.chunk_count(F.col("counted")).alias("chunks"), chunks.enrich_count(F.col("counted")).alias("calls"))
 
@@ -204,14 +239,14 @@ c AS (SELECT session_id, unnest(range(CASE WHEN k <= 0 THEN 0 WHEN k <= 400 THEN
 @query(f"{PENDING} SELECT c.* FROM c ANTI JOIN (SELECT * FROM chunk_vectors WHERE model = 'plover-mini-48') v ON v.session_id = c.session_id AND v.ordinal = c.ordinal")
 def pending_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks that have no vector of a model yet."""
-    rows = current_rows(table(spark, folder, "sessions"), ["words", "text"])
+    rows = current_texts(table(spark, folder, "sessions"))
     return vectors.pending(chunks.chunk(rows, ["session_id"]).select("session_id", "ordinal"), table(spark, folder, "chunk_vectors"), "plover-mini-48")
 
 
 @query(f"{PENDING.replace('k <= 400', 'k <= 800').replace('(k - 400) / 320.0', '(k - 800) / 640.0')} SELECT v.model, count(*) AS stale FROM chunk_vectors v ANTI JOIN c ON v.session_id = c.session_id AND v.ordinal = c.ordinal GROUP BY v.model")
 def stale_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors whose chunk is gone after cutting all prose anew into windows of twice the size."""
-    rows = current_rows(table(spark, folder, "sessions"), ["words", "text"])
+    rows = current_texts(table(spark, folder, "sessions"))
     left = vectors.stale(chunks.chunk(rows, ["session_id"], window=800, stride=640), table(spark, folder, "chunk_vectors"))
     return left.groupBy("model").agg(F.count(F.lit(1)).alias("stale"))
 
@@ -318,19 +353,52 @@ def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.store(old, fresh).groupBy("model").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("ordinal") == 0).alias("renewed"))
 
 
+SPOKEN = CHUNKS.replace("doc_id::VARCHAR AS session_id, captured_at AS started_at", "session_id, started_at").replace("FROM documents WHERE text IS NOT NULL", "FROM cur WHERE coalesce(p, '') <> 'tool-invoked' AND text IS NOT NULL")
+
+
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """The current rows of all conversations but those of tools, without their prose."""
+    columns = ["words", "source", "provenance", "started_at", "cwd"]
+    return apply(current_rows(table(spark, folder, "sessions"), columns), Filters())
+
+
+def conversation_index(spark: SparkSession, folder: str) -> search.Index:
+    """The kept index, by stems, of the conversations' prose."""
+    key = (spark.sparkContext.applicationId, f"{folder}#sessions", True)
+    if key not in _KEPT:
+        where = temporary_folder(spark, "index")
+        prose = current_texts(table(spark, folder, "sessions")).join(conversations(spark, folder).select("session_id"), "session_id", "left_semi")
+        search.write_index(search.build_index(chunks.chunk(prose, ["session_id"])), where)
+        _KEPT[key] = where
+    return search.read_index(spark, _KEPT[key])
+
+
+@query(f"""WITH {CUR}, {SPOKEN}, {bm25({'a': forms('coverage'), 'b': forms('gate', 'gates', 'gated', 'gating')}, 'a > 0 AND b > 0')}, {excerpts('coverage', 'gates')}
+SELECT l.session_id, lower(trim(d.source)) AS source, lower(trim(d.provenance)) AS provenance, d.started_at, d.cwd, d.words, l.ordinal, l.chunk_hits, round(l.score, 6) AS score, excerpt
+FROM leg l JOIN shown USING (session_id, ordinal) JOIN cur d ON d.session_id = l.session_id""")
+def search_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """A search of the archive's prose by stems, with all that is shown of a hit."""
+    index, raw = conversation_index(spark, folder), "coverage gates"
+    hits = search.with_excerpts(search.search(index, conversations(spark, folder), raw, 20, False), index, raw)
+    return hits.select("session_id", label("source").alias("source"), label("provenance").alias("provenance"), "started_at", "cwd", "words", "ordinal", "chunk_hits", F.round("score", 6).alias("score"), "excerpt")
+
+
+@query(f"""WITH {CUR}, {SPOKEN}, {bm25({'a': forms('coverage'), 'b': forms('gate', 'gates', 'gated', 'gating')}, 'a > 0 AND b > 0').replace('LIMIT 20', 'LIMIT 30')}, {excerpts('coverage', 'gates')},
+v AS (SELECT v.session_id, max(list_cosine_similarity(vec::DOUBLE[], {ASKED}::DOUBLE[])) AS c FROM chunk_vectors v JOIN cur USING (session_id) WHERE coalesce(p, '') <> 'tool-invoked' AND v.model = 'kite-embed-64' AND dim = 64 AND {SOUND} GROUP BY 1),
+lex AS (SELECT *, row_number() OVER (ORDER BY score, started_at DESC NULLS LAST, session_id) AS rank FROM leg),
+sem AS (SELECT session_id, row_number() OVER (ORDER BY c DESC, session_id) AS rank FROM v QUALIFY rank <= 30),
+fused AS (SELECT session_id, sum(1.0 / (60 + rank)) AS fused FROM (SELECT session_id, rank FROM lex UNION ALL SELECT * FROM sem) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
+SELECT session_id, round(fused, 9) AS fused, coalesce(round(lex.score, 6), 0) AS score, coalesce(chunk_hits, 0) AS chunk_hits, coalesce(excerpt, left(c.body, 300)) AS excerpt
+FROM fused LEFT JOIN lex USING (session_id) LEFT JOIN shown USING (session_id) LEFT JOIN (SELECT session_id, body FROM chunk WHERE ordinal = 0) c USING (session_id)""")
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Sessions found by words and by a vector, fused, with the filters on both legs."""
-    sessions = apply(current_rows(table(spark, folder, "sessions"), ["words", "text", "provenance", "started_at"]), Filters())
-    cut = chunks.chunk(sessions, ["session_id"])
-    index = search.scan_index(cut)
-    lexical = search.search(index, sessions, "coverage gates", 30)
+    """Sessions found by words and by a vector, fused, with the filters on both legs; the semantic leg is as long as the lexical one."""
+    index, sessions, raw = conversation_index(spark, folder), conversations(spark, folder), "coverage gates"
+    lexical = search.with_excerpts(search.search(index, sessions, raw, 30, False), index, raw)
     legs = search.ranked(lexical, F.col("score"), F.desc_nulls_last("started_at"), F.col("session_id"), limit=30)
-    near = vectors.rank_sessions(table(spark, folder, "chunk_vectors").join(sessions.select("session_id"), "session_id", "left_semi"), ASKED, 30, "kite-embed-64")
+    near = vectors.rank_sessions(table(spark, folder, "chunk_vectors").join(sessions.select("session_id"), "session_id", "left_semi"), ASKED, max(3 * 10, 30), "kite-embed-64")
     semantic = search.ranked(near, F.desc("cosine"), F.col("session_id"), limit=30)
-    return search.hybrid(legs, semantic, cut, 20).withColumn("excerpt", search.snippet(F.col("excerpt"), ["coverage", "gate"]))
-
+    return search.hybrid(legs, semantic, index.bodies, 20).withColumn("fused", F.round("fused", 9)).withColumn("score", F.round("score", 6))
 
-query()(hybrid_search)
 
 
 @query(f"""WITH {CUR} SELECT session_id, array_to_string(CASE WHEN len(r) = 0 THEN ['default_human'] ELSE r END, ',') AS rules FROM (
