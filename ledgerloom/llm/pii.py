@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.splitter import current_marks
-from ledgerloom.operators.current import current_rows
+from ledgerloom.operators.current import current_texts
 from ledgerloom.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
@@ -483,7 +483,7 @@ def session_kinds(sessions: DataFrame, fields: tuple[str, ...] = ("text", "title
 
 def redacted_sessions(sessions: DataFrame) -> DataFrame:
     """session_id, text and title of the current rows with placeholders for personal information; null and empty fields stay as they are."""
-    rows = current_rows(sessions, ["text", "title"]).select("session_id", "text", "title")
+    rows = current_texts(spread(sessions.select("session_id", "updated_at", *(["words"] if "words" in sessions.columns else []), "text", "title")), ["title"]).select("session_id", "text", "title")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()

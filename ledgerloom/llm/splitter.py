@@ -192,8 +192,8 @@ def split_texts(texts: DataFrame, keys: list[str], text: str = "text", max_words
 
 
 def current_marks(sessions: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
-    """session_id, updated_at, _tie of the current rows: names the version without moving its text."""
-    narrow = sessions.select("session_id", "updated_at", F.xxhash64(*fields).alias("_tie"))
+    """session_id, updated_at, _tie of the current rows: names the version without moving its text (of versions of one time the one with the most words)."""
+    narrow = sessions.select("session_id", "updated_at", *(["words"] if "words" in sessions.columns else []), F.xxhash64(*fields).alias("_tie"))
     return current_rows(narrow, ["_tie"])
 
 
