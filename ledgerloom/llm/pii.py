@@ -59,11 +59,10 @@ AT = r"(?:@|＠|%40|\s*[(\[]\s*at\s*[)\]]\s*|\s+at\s+)"
 DOT = r"(?:\.|．|\s*[(\[]\s*dot\s*[)\]]\s*|\s+dot\s+)"
 AT_SIGNS = re.compile(r"@|＠|%40|[(\[]\s*at\s*[)\]]|\bat\s+[\w-]+\s*(?:[(\[]\s*dot\s*[)\]]|\bdot\b)", re.I)
 NUMBER = re.compile(r"\d[\d ().\-/]{3,}\d")
-STREET_CUE = re.compile(r"(?<![\w/.@-])(?:" + "|".join(sorted(STREETS - {"st", "via"})) + r"|St\.?(?= )|st\.|[^\W\d_]{3,}(?:weg|straße|strasse|str\.|gasse|platz)|P\.? ?O\.? Box)(?![\w/@-])", re.I)
-STREET_LARGE = re.compile(r"(?<![\w/.@-])(?:" + "|".join(w.title() for w in sorted(STREETS_LARGE)) + r")(?= \d|, | \w+ \d)|(?<=\d )(?:[A-ZÀ-Þ][\w'’.-]* ){1,3}(?:" + "|".join(w.title() for w in sorted(STREETS_LARGE)) + r")(?![\w/@-])")
 NAMELIKE = re.compile(r"[A-ZÀ-ÖØ-ÞŁŚŽČ]?[a-zß-öø-ÿłśžčąęńżźćőűşğı]+(?:['’-][A-ZÀ-Þ]?[a-zß-ÿ]+)*|[A-ZÀ-ÖØ-Þ]{2,}(?:[-'’][A-ZÀ-Þ]+)*")
-#: A capitalised word, ordinary or not, after a title or an initial; given names are anchors themselves.
-NAMED = re.compile(r"(?<![\w/.@])(?:(?:" + "|".join(t.title() for t in sorted(TITLES)) + r")\.?|[A-ZÀ-Þ]\.) (?=[A-ZÀ-Þ][a-zß-ÿ]+(?![\w/@]))")
+#: A capitalised word, ordinary or not, behind a title or an initial.
+CAPITALISED = re.compile(r" [A-ZÀ-Þ][a-zß-ÿ]+(?![\w/@])")
+DIGIT = re.compile(r"\d")
 #: What a number may be made of besides digits and capital letters, and its bounds in digits and in words.
 NUMBER_SIGNS = set("+()-./‐‑–")
 MOST_DIGITS, MOST_PARTS = 22, 9
@@ -80,7 +79,8 @@ class Model:
 
     def __init__(self, weights: dict[str, float], common: set[str]):
         self.weights, self.common = weights, common
-        self.seen: dict[str, tuple[str, ...]] = {}
+        self.seen: dict[str, tuple] = {}
+        self.classes: dict[str, str] = {}
         self.learn_moves()
 
     def learn_moves(self) -> None:
@@ -89,22 +89,36 @@ class Model:
         self.moves = [[0.0, *[self.weights.get(f"move:{a}>{b}", 0.0) for b in KINDS]] for a in names]
         self.most_moved = max(max(row) for row in self.moves)
 
-    def names_in(self, token: str) -> tuple[str, ...]:
-        """The pieces of a blank-separated token that may be part of a name; remembered by token."""
+    def marks_in(self, token: str) -> tuple[tuple[str, ...], tuple[str, ...], bool]:
+        """Of a blank-separated token the pieces that may be part of a name, those that are words of streets, and whether it is a title or an initial; remembered by token."""
         got = self.seen.get(token)
         if got is None:
-            found = []
+            names, streets = [], []
             for piece in [token.strip(EDGES)] if token.strip(EDGES).isalpha() else re.split(r"[\s;:=\",(){}\[\]<>|]+", token):
                 piece = piece.strip(EDGES)
                 if (len(piece) > 2 or len(piece) == 2 and piece[0].isupper() and piece[1].islower()) and NAMELIKE.fullmatch(piece) and any(p.lower() not in self.common for p in re.split(r"['’-]", piece)):
-                    found.append(piece)
-            got = tuple(found)
+                    names.append(piece)
+                if piece.isalpha() and (self.class_of(piece) == "S" and piece.lower() not in ("st", "via") or piece in ("Box", "BOX", "St")):
+                    streets.append(piece)
+            said = token.lstrip("\"'([{<*")
+            got = tuple(names), tuple(streets), len(said) == 2 and said[1] == "." and said[0].isupper() or said.rstrip(".").lower() in TITLES and said[:1].isupper()
             if len(self.seen) > 300_000:
                 self.seen.clear()
             if len(token) < 100:
                 self.seen[token] = got
         return got
 
+    def class_of(self, token: str) -> str:
+        """word_class() of a token, remembered."""
+        got = self.classes.get(token)
+        if got is None:
+            got = word_class(token, self)
+            if len(self.classes) > 300_000:
+                self.classes.clear()
+            if len(token) < 40:
+                self.classes[token] = got
+        return got
+
 
 @lru_cache(maxsize=2)
 def load(path: str = str(MODEL)) -> Model:
@@ -123,19 +137,30 @@ def anchors(text: str, model: Model) -> list[tuple[int, int]]:
             before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
             if not before.islower() and not after.islower() and before not in ("_", "/", ".") or after == "x":
                 found.append(m.span())
-    words = set(text.split())
-    names = {n for w in words for n in model.names_in(w)}
-    for name in names:
-        at = text.find(name)
+    names, streets, forms = set(), set(), set()
+    for word in set(text.split()):
+        named, paved, form = model.marks_in(word)
+        if named:
+            names.update(named)
+        if paved:
+            streets.update(paved)
+        if form:
+            forms.add(word)
+
+    def places(piece: str, before: str = "_/.@", after: str = "_/@") -> Iterator[tuple[int, int]]:
+        at = text.find(piece)
         while at >= 0:
-            end = at + len(name)
-            if (at == 0 or not (text[at - 1].isalnum() or text[at - 1] in "_/.@")) and (end == len(text) or not (text[end].isalnum() or text[end] in "_/@")):
-                found.append((at, end))
-            at = text.find(name, end)
-    found += [m.span() for m in NAMED.finditer(text)]
-    if names or any(c.isdigit() for c in text):
-        found += [m.span() for m in STREET_CUE.finditer(text)]
-        found += [m.span() for m in STREET_LARGE.finditer(text)]
+            end = at + len(piece)
+            if (at == 0 or not (text[at - 1].isalnum() or text[at - 1] in before)) and (end == len(text) or not (text[end].isalnum() or text[end] in after)):
+                yield at, end
+            at = text.find(piece, end)
+
+    for name in names:
+        found += places(name)
+    for piece in streets:  # no address is without a number
+        found += [(a, z) for a, z in places(piece) if DIGIT.search(text, max(0, a - MARGIN), min(len(text), z + MARGIN))]
+    for piece in forms:
+        found += [(a, z) for a, z in places(piece) if CAPITALISED.match(text, z)]
     return sorted(found)
 
 
@@ -185,7 +210,8 @@ class Window:
         self.text, self.model = text, model
         self.spans = [m.span() for m in TOKEN.finditer(text)]
         self.tokens = [text[a:z] for a, z in self.spans]
-        self.classes = [word_class(t, model) for t in self.tokens]
+        self.classes = [model.class_of(t) for t in self.tokens]
+        self.beside: dict[int, str] = {}
         self.start_at = {a: k for k, (a, _) in enumerate(self.spans)}
         self.end_at = {z: k + 1 for k, (_, z) in enumerate(self.spans)}
         self.segments: list[tuple[int, int, str, list[str]]] = []
@@ -216,16 +242,21 @@ class Window:
                             break
                         if (classes[j - 1] in ("N", "Z", "S", "I", "i", "L") or classes[j - 1][-1] in "CAlm" or last == ".") and any(c in ("N", "Z") for c in classes[i:j]):
                             yield i, j, "address"
+        fits = [self.nameable(k) for k in range(n)]
+        inner = [f or t in (".", ",", "-") for f, t in zip(fits, tokens)]
         for k in range(n):
-            if (classes[k][0] not in "uG" or len(classes[k]) != 2) and not self.named(k):
+            if not fits[k] or (classes[k][0] not in "uG" or len(classes[k]) != 2) and not self.named(k):
                 continue
-            for i in range(max(0, k - 5), k + 1):
-                if not self.nameable(i):
+            first = k  # names have no gap that can't be inside one
+            while first > 0 and first > k - 5 and inner[first - 1]:
+                first -= 1
+            for i in range(first, k + 1):
+                if not fits[i]:
                     continue
-                for j in range(k + 1, min(n, i + 8) + 1):
-                    if not all(self.inside(t) for t in range(i, j)):
+                for j in range(i + 1, min(n, i + 8) + 1):
+                    if not inner[j - 1]:
                         break
-                    if self.nameable(j - 1) and (j - i > 1 or classes[i][-1] != "l"):  # one lower-case word is never a name by itself
+                    if j > k and fits[j - 1] and (j - i > 1 or classes[i][-1] != "l"):  # one lower-case word is never a name by itself
                         yield i, j, "person"
 
     def glued(self, k: int) -> bool:
@@ -344,14 +375,17 @@ class Window:
         c = self.classes[k]
         return c in ("T", "I", "L") or c == "S" and self.named(k) or len(c) == 2 and c[0] in "uGk" and c[1] in "CAl"
 
-    def inside(self, k: int) -> bool:
-        return self.nameable(k) or self.tokens[k] in ".,-"
-
     def around(self, k: int) -> str:
-        if k < 0 or k >= len(self.tokens):
-            return "<>"
-        token = self.tokens[k]
-        return "#" if token.isdigit() else token.lower() if token.lower() in self.model.common or not token[0].isalpha() or len(token) < 3 else self.classes[k]
+        got = self.beside.get(k)
+        if got is None:
+            if k < 0 or k >= len(self.tokens):
+                got = "<>"
+            else:
+                token = self.tokens[k]
+                low = token.lower()
+                got = "#" if token.isdigit() else low if low in self.model.common or not token[0].isalpha() or len(token) < 3 else self.classes[k]
+            self.beside[k] = got
+        return got
 
     def features(self, i: int, j: int, kind: str) -> list[str]:
         """What the whole span shows, for the kind it would be."""
@@ -390,7 +424,7 @@ class Window:
 
     def score(self, features: list[str]) -> float:
         weights = self.model.weights
-        return sum(weights.get(f, 0.0) for f in features)
+        return sum([weights[f] for f in features if f in weights])
 
     def decode(self) -> list[tuple[int, int, str]]:
         """The best division: (start, end, kind) in characters, left to right.
