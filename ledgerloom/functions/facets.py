@@ -2,81 +2,84 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Outcomes, the one for anything else, and the lengths facets are cut to.
 OUTCOMES = ("fixed", "abandoned", "ongoing", "exploratory")
 UNCLEAR = "ongoing"
 TOPIC, SUMMARY, ITEM, ITEMS = 500, 4000, 300, 12
 LISTS = ("decisions", "errors", "artifacts", "entities")
-FENCE = re.compile(r"^```[A-Za-z]*\s*|\s*```$")
-
-
-class Refused(Exception):
-    """Why an answer can't be used."""
-
-
-def _strings(value: object) -> list[str]:
-    if value is None:
-        return []
-    if isinstance(value, str):
-        value = [value]
-    if not isinstance(value, list):
-        raise Refused("wrong-type")
-    kept = []
-    for item in value[:ITEMS]:
-        if item is None:
-            continue
-        if not isinstance(item, (str, int, float)):
-            raise Refused("wrong-type")
-        if str(item).strip():
-            kept.append(str(item).strip()[:ITEM])
-    return kept
-
-
-def parse_answer(answer: str | None) -> tuple[dict | None, str | None]:
-    """(facets, None) or (None, reason); a fence around the JSON is taken off."""
-    text = FENCE.sub("", (answer or "").strip()).strip()
-    if not text:
-        return None, "empty"
-    try:
-        given = json.loads(text)
-    except ValueError:
-        return None, "invalid-json"
-    if not isinstance(given, dict):
-        return None, "not-an-object"
-    topic, outcome, summary = given.get("topic"), given.get("outcome"), given.get("summary", "")
-    if not isinstance(topic, str) or not topic.strip():
-        return None, "missing-topic"
-    if not isinstance(outcome, str) or not isinstance(summary, str):
-        return None, "wrong-type"
-    outcome = outcome.strip().lower()
-    facets = {"topic": topic.strip()[:TOPIC], "outcome": outcome if outcome in OUTCOMES else UNCLEAR, "summary": summary.strip()[:SUMMARY]}
-    try:
-        return facets | {name: _strings(given.get(name)) for name in LISTS}, None
-    except Refused as why:
-        return None, str(why)
-
-
-FACETS = T.StructType([T.StructField(name, T.StringType()) for name in ("topic", "outcome", "summary")] + [T.StructField(name, T.ArrayType(T.StringType())) for name in LISTS] + [T.StructField("failure", T.StringType())])
-
-
-@F.pandas_udf(FACETS)
-def parse_facets(answers: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """STRUCT of the facets and ``failure``, null where there are facets."""
-    for batch in answers:
-        rows = []
-        for answer in batch:
-            facets, failure = parse_answer(answer)
-            rows.append({**dict.fromkeys(("topic", "outcome", "summary", *LISTS)), **(facets or {}), "failure": failure})
-        yield pd.DataFrame(rows, columns=["topic", "outcome", "summary", *LISTS, "failure"])
+SPACE = " \t\r\n\x0b\x0c"
+
+
+def _strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACE))
+
+
+def _type(value: Column) -> Column:
+    """The kind of a JSON value: STRING, BIGINT, ARRAY<...>, OBJECT<...>, VOID for null; null where there is none."""
+    return F.schema_of_variant(value)
+
+
+def _at(document: Column, name: str) -> Column:
+    return F.try_variant_get(document, f"$.{name}", "variant")
+
+
+def _string(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
+def _item(value: Column) -> Column:
+    """The text of a list's item: strings and numbers as they are, truth values by name, nulls null."""
+    kind = _type(value)
+    return F.when(kind == "BOOLEAN", F.initcap(_string(value))).when(kind != "VOID", _string(value))
+
+
+def _nested(value: Column) -> Column:
+    """Whether an item is a list or an object itself."""
+    return _type(value).rlike("^(ARRAY|OBJECT)")
+
+
+def parse_facets(answer: str | Column) -> Column:
+    """STRUCT of topic, outcome, summary, the lists and ``failure``; where an answer is refused, ``failure`` says why and the rest is null.
+
+    The whole answer must be one JSON object, but for a fence around it. Refused are, in this order,
+    what is no JSON (also the empty answer and objects with a key twice), no object, has no topic,
+    or has a field of the wrong type. Outcomes of other words are narrowed to the unclear one; a
+    string in place of a list is a list of one; nulls and blanks in lists are left out.
+    """
+    answer = F.col(answer) if isinstance(answer, str) else answer
+    bare = _strip(F.regexp_replace(_strip(F.coalesce(answer, F.lit(""))), r"(?is)\A```(?:json)?(.*?)(?:```)?\z", "$1"))
+
+    def checked(document: Column) -> Column:
+        topic, outcome, summary = (_at(document, name) for name in ("topic", "outcome", "summary"))
+        lists = {name: _at(document, name) for name in LISTS}
+        items = {name: F.slice(F.try_variant_get(value, "$", "array<variant>"), 1, ITEMS) for name, value in lists.items()}
+        wrong = (_type(outcome) != "STRING") | outcome.isNull() | F.coalesce(_type(summary) != "STRING", F.lit(False))
+        for name, value in lists.items():
+            fits = value.isNull() | _type(value).isin("VOID", "STRING") | _type(value).startswith("ARRAY")
+            wrong = wrong | ~fits | F.coalesce(F.exists(items[name], _nested), F.lit(False))
+        reason = F.when(document.isNull(), "invalid-json").when(~_type(document).startswith("OBJECT"), "not-an-object")
+        reason = reason.when(topic.isNull() | (_type(topic) != "STRING") | (_strip(_string(topic)) == ""), "missing-topic").when(wrong, "wrong-type")
+
+        def texts(name: str) -> Column:
+            alone = F.filter(F.array(_strip(_string(lists[name]))), lambda x: x != "")
+            several = F.transform(F.filter(F.transform(items[name], lambda x: _strip(_item(x))), lambda x: x.isNotNull() & (x != "")), lambda x: F.substr(x, F.lit(1), F.lit(ITEM)))
+            none = F.array().cast("array<string>")
+            return F.when(_type(lists[name]) == "STRING", alone).otherwise(F.coalesce(several, none))
+
+        said = F.lower(_strip(_string(outcome)))
+        fields = {
+            "topic": F.substr(_strip(_string(topic)), F.lit(1), F.lit(TOPIC)),
+            "outcome": F.when(said.isin(*OUTCOMES), said).otherwise(UNCLEAR),
+            "summary": F.coalesce(F.substr(_strip(_string(summary)), F.lit(1), F.lit(SUMMARY)), F.lit("")),
+            **{name: texts(name) for name in LISTS},
+        }
+        return F.struct(*[F.when(reason.isNull(), value).alias(name) for name, value in fields.items()], reason.alias("failure"))
+
+    # a list of one binds the document to a variable, so that it is parsed once
+    return F.transform(F.array(F.try_parse_json(bare)), checked)[0]
 
 
 def listed(facets_json: str | Column, name: str) -> Column:
