@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -155,21 +156,101 @@ def tree_digest(listing: DataFrame, root: str) -> DataFrame:
     return digest(listing.select(relative.alias("_path"), state.alias("_state")), "tree", "_path", "_state")
 
 
-def save(table: DataFrame, path: str) -> str:
-    """Writes a snapshot beside ``path`` and names it in a pointer that readers follow; returns the snapshot's folder.
+class Commits:
+    """Which folders make up each table under one root, as a chain of numbered commits.
 
-    The pointer is one small file written last, so a reader never sees half a snapshot and a writer
-    that dies leaves the old one in place.
+    A commit is one small file that is written aside and then renamed, so it is there whole or not
+    at all; the one with the highest number counts. Folders that no commit names are not read: a
+    writer that dies before its commit leaves all tables as they were. One writer at a time; a
+    second one that reaches the same number fails.
     """
-    spark = table.sparkSession
-    folder = f"{path}/snapshot-{uuid.uuid4().hex}"
+
+    def __init__(self, spark, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def newest(self) -> tuple[int, dict[str, list[str]]]:
+        """The number and the tables of the newest commit; 0 and none before the first."""
+        folder = self._path(f"{self.root}/commits")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit()]
+        if not numbers:
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/commits/{max(numbers):012d}.json"))
+        try:
+            return max(numbers), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def commit(self, number: int, tables: dict[str, list[str]]) -> None:
+        """Makes ``tables`` commit ``number``; FileExistsError if another writer was there first."""
+        last, aside = self._path(f"{self.root}/commits/{number:012d}.json"), self._path(f"{self.root}/commits/_{uuid.uuid4().hex}")
+        if self._fs.exists(last):
+            raise FileExistsError(str(last))
+        out = self._fs.create(aside, False)
+        out.write(bytearray(json.dumps(tables).encode()))
+        out.close()
+        if not self._fs.rename(aside, last):
+            raise FileExistsError(str(last))
+
+
+def save(table: DataFrame, path: str) -> str:
+    """Writes a snapshot under ``path`` and commits it; returns its folder."""
+    commits = Commits(table.sparkSession, path)
+    number, _ = commits.newest()
+    folder = f"{commits.root}/snapshot-{uuid.uuid4().hex}"
     table.write.parquet(folder)
-    order = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(folder).alias("folder"))
-    order.coalesce(1).write.mode("append").json(f"{path}/pointers")
+    commits.commit(number + 1, {"": [folder]})
     return folder
 
 
 def load(spark, path: str) -> DataFrame:
     """The newest snapshot of ``path``."""
-    latest = spark.read.json(f"{path}/pointers").orderBy(F.desc("at")).first()
-    return spark.read.parquet(latest["folder"])
+    return spark.read.parquet(*Commits(spark, path).newest()[1][""])
+
+
+def outcome(added: int, updated: int, unchanged: int, skipped: int, items: int, prior: bool, prose: bool = False) -> str:
+    """How an import ended, from its counts and whether the same content was imported before (``prior``).
+
+    A change makes it imported, or partial where something was skipped. Without one it is rejected if
+    every item was skipped (prose indexes only where there is no prior import), a duplicate of a
+    prior import, else imported.
+    """
+    if added + updated:
+        return "partial" if skipped else "imported"
+    refused = skipped > 0 and unchanged == 0 and items > 0
+    if refused and not (prose and prior):
+        return "rejected"
+    return "duplicate" if prior else "imported"
+
+
+def outcomes(imports: DataFrame) -> DataFrame:
+    """``imports`` (added, updated, unchanged, skipped, item_count, prior, prose) with ``outcome``, as outcome() tells it."""
+    changed = F.col("added") + F.col("updated") > 0
+    refused = (F.col("skipped") > 0) & (F.col("unchanged") == 0) & (F.col("item_count") > 0) & ~(F.col("prose") & F.col("prior"))
+    told = F.when(changed & (F.col("skipped") > 0), "partial").when(changed, "imported").when(refused, "rejected").when(F.col("prior"), "duplicate").otherwise("imported")
+    return imports.withColumn("outcome", told)
+
+
+def prose_dispositions(archive: DataFrame, incoming: DataFrame, origin: str = "prose-index") -> DataFrame:
+    """session_id, disposition, reason of sessions read from a prose index: those the archive holds from a richer origin are skipped."""
+    old = archive.select(F.col("session_id").alias("_id"), F.col("origin").alias("_origin"), F.col("ended_at").alias("_ended"))
+    joined = incoming.select("session_id", "ended_at").join(old, F.col("session_id") == F.col("_id"), "left")
+    richer = F.col("_id").isNotNull() & ~F.col("_origin").eqNullSafe(F.lit(origin))
+    said = F.when(richer, "skipped").when(F.col("_id").isNull(), "added").when(F.col("ended_at").eqNullSafe(F.col("_ended")), "unchanged").otherwise("updated")
+    return joined.select("session_id", said.alias("disposition"), F.when(richer, "superseded-by-richer-origin").alias("reason"))
+
+
+def with_harvested(archive: DataFrame, summaries: DataFrame, facets: tuple[str, ...] = ("topic", "outcome", "summary", "facets_json")) -> DataFrame:
+    """``archive`` with the facets of harvested summaries for sessions that have no topic yet, whatever their origin; enriched_words becomes words."""
+    given = [c for c in facets if c in summaries.columns and c in archive.columns]
+    new = summaries.groupBy("session_id").agg(F.max(F.struct(*given)).alias("_new"))
+    joined = archive.join(new, "session_id", "left")
+    takes = F.col("_new").isNotNull() & (F.coalesce("topic", F.lit("")) == "")
+    columns = []
+    for c in archive.columns:
+        value = F.col(f"_new.{c}") if c in given else F.col("words") if c == "enriched_words" else None
+        columns.append(F.col(c) if value is None else F.when(takes, value).otherwise(F.col(c)).alias(c))
+    return joined.select(*columns)
