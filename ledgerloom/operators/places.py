@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import basename, comparable_path, moment
+from ledgerloom.operators.current import label
 
 
 def of_repo(sessions: DataFrame, repo: str) -> DataFrame:
@@ -61,3 +62,49 @@ def touching(files: DataFrame, path: str, repo: str = "") -> DataFrame:
 def uncommitted(files: DataFrame, attributed: DataFrame, path: str) -> DataFrame:
     """Sessions that touched a file and to which no commit is attributed."""
     return touching(files, path).join(attributed.select("session_id"), "session_id", "left_anti")
+
+
+def why(commits: DataFrame, sessions: DataFrame, files: DataFrame, path: str, repo: str) -> DataFrame:
+    """commit_id, at, session_id, confidence: the work behind each commit of a file, and work on it that was never committed.
+
+    ``commits`` (commit_id, repo, at) are those of the file, ``sessions`` current rows (session_id,
+    cwd, started_at, ended_at). Candidates are the sessions that touched the file (``touched-file``)
+    or ran in its repository (``touched-repo``); a commit gets those that were open when it was made.
+    Commits without any have a null session; sessions that touched the file and got no commit come
+    with a null commit and ``uncommitted``.
+    """
+    touched = touching(files, path, repo).select("session_id", F.lit(0).alias("_rank"))
+    here = of_repo(sessions, repo).select("session_id", F.lit(1).alias("_rank"))
+    ranked = touched.unionByName(here).groupBy("session_id").agg(F.min("_rank").alias("_rank"))
+    # all candidates are of one place, so that a commit meets those of the file whatever folder they ran in
+    spans = sessions.join(ranked, "session_id").select("session_id", F.lit(repo).alias("cwd"), "started_at", "ended_at")
+    mine = commits.where(F.lower("repo") == repo.lower()).select("commit_id", F.lit(repo).alias("repo"), "at")
+    named = lambda rank: F.when(rank == 0, "touched-file").otherwise("touched-repo")
+    found = attributions(mine, spans).join(ranked, "session_id").select("commit_id", "session_id", named(F.col("_rank")).alias("confidence"))
+    explained = mine.select("commit_id", "at").join(found, "commit_id", "left").select("commit_id", "at", "session_id", "confidence")
+    known = sessions.join(touched, "session_id", "left_semi").select("session_id")
+    alone = known.join(found.select("session_id"), "session_id", "left_anti").distinct()
+    at = dict(explained.dtypes)["at"]
+    return explained.unionByName(alone.select(F.lit(None).cast(dict(explained.dtypes)["commit_id"]).alias("commit_id"), F.lit(None).cast(at).alias("at"), "session_id", F.lit("uncommitted").alias("confidence")))
+
+
+def recall_all(sessions: DataFrame, repo: str, related: DataFrame | None, limit: int = 5, over: int = 3) -> DataFrame:
+    """kind, session_id, score: unfinished work of a place, earlier work there, and related work elsewhere, no session twice.
+
+    Only sessions of people and subagents are recalled. Earlier work is looked for among the newest
+    ``over`` times ``limit``; ``related`` (session_id, repo, cosine) comes from vectors.related_elsewhere().
+    """
+    people = sessions.where(label("provenance").isin("human", "subagent"))
+    own = of_repo(people, repo).select("session_id", "outcome", moment("started_at").alias("_m"))
+    order = [F.desc_nulls_last("_m"), F.col("session_id")]
+    unfinished = own.where(F.lower("outcome").isin("ongoing", "abandoned")).orderBy(*order).limit(limit).select("session_id")
+    newest = own.orderBy(*order).limit(over * limit)
+    prior = newest.join(F.broadcast(unfinished), "session_id", "left_anti").orderBy(*order).limit(limit).select("session_id")  # at most ``limit`` ids
+    none = F.lit(None).cast("double")
+    found = unfinished.select(F.lit("unfinished").alias("kind"), "session_id", none.alias("score")).unionByName(prior.select(F.lit("prior").alias("kind"), "session_id", none.alias("score")))
+    if related is None:
+        return found
+    seen = unfinished.unionByName(prior)
+    other = related.join(people.select("session_id"), "session_id", "left_semi").join(F.broadcast(seen), "session_id", "left_anti")  # at most 2 * ``limit`` ids
+    other = other.orderBy(F.desc("cosine"), "session_id").limit(limit)
+    return found.unionByName(other.select(F.lit("related").alias("kind"), "session_id", F.col("cosine").alias("score")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions.text import basename, model_name, moment, path_depth
+from ledgerloom.functions.text import TOOL_FOLDERS, basename, model_name, moment, path_depth
 
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
 CLASSES = ("human", "subagent", "tool-invoked")
@@ -131,3 +131,90 @@ def anomalies(rows: DataFrame) -> DataFrame:
     tests = [("many-tool", F.col("tool") >= 25, "tool"), ("many-subagent", F.col("sub") >= 25, "sub"), ("no-human", F.col("human") == 0, "human"), ("few", F.col("human") < 30, "human"), ("irreplaceable", F.col("gone") > 0, "gone"), ("one-folder", F.col("top") >= 0.4 * F.col("placed"), "top"), ("short-history", F.col("months") < 3, "months")]
     found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(name).alias("finding"), F.round(F.col(value).cast("double"), 2).alias("value"))) for name, test, value in tests]))
     return facts.select("source", F.explode(found).alias("_f")).select("source", "_f.finding", "_f.value")
+
+
+def projects_summary(rows: DataFrame) -> DataFrame:
+    """One row: projects, and the summary of sessions per project; sessions without a folder are left out."""
+    named = rows.where(F.col("cwd").isNotNull()).groupBy(basename("cwd").alias("repo")).agg(F.count(F.lit(1)).alias("sessions"))
+    return summarize(named, "sessions").withColumnRenamed("count", "projects")
+
+
+def state_folders(rows: DataFrame) -> DataFrame:
+    """source, placed, in_state, share (%): sessions with a folder, and those among them in folders programs keep their state in."""
+    here = F.lit(False)
+    for marker in TOOL_FOLDERS:
+        here = here | F.col("cwd").contains(marker)
+    placed, inside = F.count("cwd"), F.count_if(F.col("cwd").isNotNull() & here)
+    return rows.groupBy("source").agg(placed.alias("placed"), inside.alias("in_state"), F.round(F.coalesce(inside / F.nullif(placed, F.lit(0)) * 100, F.lit(0.0)), 2).alias("share"))
+
+
+def tokens_by_class(rows: DataFrame) -> DataFrame:
+    """source, provenance, sessions, counted (those that know their tokens), tokens."""
+    return rows.groupBy("source", "provenance").agg(F.count(F.lit(1)).alias("sessions"), F.count("tokens").alias("counted"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
+def survey(rows: DataFrame, words: str = "w", target: float = TARGET) -> DataFrame:
+    """One row a source, what a later drift() compares with: conversations, threshold, coverage and share of its gate, sessions of each class, irreplaceable ones."""
+    talks = rows.where(F.col("provenance").isin("human", "subagent"))
+    gate = coverage_gate(talks, words, ["source"], target).select("source", "threshold", "coverage", "share")
+    of = lambda kind: F.count_if(F.col("provenance") == kind)
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("sessions"), *[of(c).alias(c.replace("-", "_")) for c in CLASSES], F.count_if(F.col("source_present") == 0).alias("irreplaceable"))
+    counts = counts.withColumn("conversations", F.col("human") + F.col("subagent"))
+    joined = counts.join(gate, "source", "left")
+    return joined.withColumns({"threshold": F.coalesce("threshold", F.lit(0)), "coverage": F.coalesce("coverage", F.lit(0.0)), "share": F.coalesce("share", F.lit(0.0))})
+
+
+def document(surveyed: DataFrame) -> DataFrame:
+    """One row: the survey as a JSON document, sources in order; a source is one short struct, so the list is as long as there are sources."""
+    one = F.struct(*sorted(surveyed.columns))
+    return surveyed.agg(F.to_json(F.struct(F.lit(1).alias("schema"), F.sum("sessions").alias("sessions"), F.sort_array(F.collect_list(F.struct("source", one.alias("report")))).alias("sources"))).alias("document"))
+
+
+def drifted(surveyed: DataFrame, rows: DataFrame, words: str = "w", growth: float = 2.0, coverage: float = 5.0, share: float = 10.0, mix: float = 10.0) -> DataFrame:
+    """source, finding, was, now: why a survey no longer describes the archive; source null for the whole of it.
+
+    grew (``growth`` times as many sessions) and shrank; new-source; coverage and selection (what the
+    stored gate covers and selects now, against then); mix (a source's share of conversations).
+    """
+    talks = rows.where(F.col("provenance").isin("human", "subagent"))
+    live = talks.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    gates = surveyed.select("source", "threshold", F.col("coverage").alias("_coverage"), F.col("share").alias("_share"), F.col("conversations").alias("_was"))
+    # the gate of a source is one number, so it travels with the few rows of the survey
+    measured = talks.join(F.broadcast(gates.select("source", "threshold")), "source")  # a row a source
+    long_ones = F.col(words) >= F.col("threshold")
+    effect = measured.groupBy("source").agg(F.coalesce(F.sum(F.when(long_ones, F.col(words)).otherwise(0)) / F.nullif(F.sum(words), F.lit(0)) * 100, F.lit(0.0)).alias("_covers"), (F.count_if(long_ones) / F.count(F.lit(1)) * 100).alias("_selects"))
+    both = gates.join(live, "source", "full_outer").join(effect, "source", "left")
+    total = both.agg(F.sum("_was").alias("was"), F.sum("_n").alias("now")).first()  # two numbers
+    part = lambda c, of: F.coalesce(F.col(c), F.lit(0)) / F.lit(float(of or 1)) * 100
+    tests = [
+        ("new-source", F.col("_was").isNull(), F.lit(0.0), F.col("_n")),
+        ("coverage", (F.col("threshold") > 0) & (F.abs(F.col("_covers") - F.col("_coverage")) > coverage), F.col("_coverage"), F.col("_covers")),
+        ("selection", (F.col("threshold") > 0) & (F.abs(F.col("_selects") - F.col("_share")) > share), F.col("_share"), F.col("_selects")),
+        ("mix", F.abs(part("_n", total["now"]) - part("_was", total["was"])) > mix, part("_was", total["was"]), part("_n", total["now"])),
+    ]
+    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(name).alias("finding"), F.round(was.cast("double"), 2).alias("was"), F.round(now.cast("double"), 2).alias("now"))) for name, test, was, now in tests]))
+    of_source = both.select("source", F.explode(found).alias("_f")).select("source", "_f.*")
+    was = float(surveyed.agg(F.sum("sessions")).first()[0] or 0)  # one number each
+    now = float(rows.count())
+    finding = "grew" if was and now >= growth * was else "shrank" if now < was else None
+    whole = rows.sparkSession.createDataFrame([(None, finding, was, now)], "source string, finding string, was double, now double")
+    return of_source.unionByName(whole.where(F.col("finding").isNotNull()))
+
+
+def lag_anomalies(lag: DataFrame, swept: bool) -> DataFrame:
+    """source, finding, value: behind (files new or changed since they were read), or never-swept where nothing lags but no sweep ever ended."""
+    behind = lag.select("source", F.lit("behind").alias("finding"), (F.col("new") + F.col("changed")).cast("double").alias("value")).where("value > 0")
+    if swept or not behind.isEmpty():
+        return behind
+    return behind.sparkSession.createDataFrame([(None, "never-swept", 0.0)], "source string, finding string, value double")
+
+
+def file_anomalies(rows: DataFrame, failures: DataFrame, now: str) -> DataFrame:
+    """source, finding, value: failures (more than 10 and 5 % of the files), young (oldest session under 40 days), very-young (under 15)."""
+    days = lambda t: (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(t)) / 86400
+    facts = rows.groupBy("source").agg(F.count_distinct("source_path").alias("files"), F.floor(days(F.min(moment("started_at")))).cast("double").alias("oldest"))
+    failed = failures.groupBy("source").agg(F.sum("n_failures").cast("double").alias("failed"))
+    facts = facts.join(failed, "source", "left")
+    tests = [("failures", F.col("failed") > F.greatest(F.lit(10.0), 0.05 * F.col("files")), "failed"), ("very-young", F.col("oldest") < 15, "oldest"), ("young", F.col("oldest").between(15, 39), "oldest")]
+    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(name).alias("finding"), F.col(value).alias("value"))) for name, test, value in tests]))
+    return facts.select("source", F.explode(found).alias("_f")).select("source", "_f.*")

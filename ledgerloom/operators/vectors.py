@@ -48,6 +48,12 @@ def pending(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     return chunks.join(there, ["session_id", "ordinal"], "left_anti")
 
 
+def next_pending(chunks: DataFrame, vectors: DataFrame, model: str, sessions: DataFrame, batch: int = 64) -> DataFrame:
+    """The next ``batch`` pending chunks, those of the newest sessions first, undated ones last, then by id and ordinal."""
+    dated = pending(chunks, vectors, model).join(sessions.select("session_id", "started_at"), "session_id", "left")
+    return dated.orderBy(F.desc_nulls_last("started_at"), "session_id", "ordinal").limit(batch).drop("started_at")
+
+
 def stale(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Vectors whose chunk is gone since the text was cut anew."""
     return vectors.join(chunks.select("session_id", "ordinal"), ["session_id", "ordinal"], "left_anti")

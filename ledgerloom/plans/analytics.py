@@ -156,3 +156,92 @@ UNION ALL SELECT s, 'one-folder', top::DOUBLE FROM x WHERE top >= 0.4 * placed U
 def source_anomalies(spark: SparkSession, folder: str) -> DataFrame:
     rows = current(spark, folder)
     return survey.anomalies(rows.withColumn("source", label("source")).withColumn("provenance", label("provenance")))
+
+
+@query(f"WITH {CUR}, g AS (SELECT repo, count(*) AS w FROM cur WHERE cwd IS NOT NULL GROUP BY repo) SELECT {SUMMARY.replace('AS count', 'AS projects')} FROM g")
+def projects_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return survey.projects_summary(current(spark, folder))
+
+
+@query(f"WITH {CUR}, g AS (SELECT s AS source, count(cwd) AS placed, count_if(contains(cwd, '/.local/state/') OR contains(cwd, '/.cache/') OR contains(cwd, '/Library/Caches/') OR contains(cwd, '/AppData/Local/')) AS in_state FROM cur GROUP BY s) SELECT *, round(coalesce(in_state / nullif(placed, 0) * 100, 0), 2) AS share FROM g")
+def state_folders(spark: SparkSession, folder: str) -> DataFrame:
+    return survey.state_folders(current(spark, folder).withColumn("source", label("source")))
+
+
+@query(f"WITH {CUR} SELECT s AS source, p AS provenance, count(*) AS sessions, count(tokens) AS counted, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM cur GROUP BY ALL")
+def tokens_by_class(spark: SparkSession, folder: str) -> DataFrame:
+    return survey.tokens_by_class(current(spark, folder).withColumn("source", label("source")).withColumn("provenance", label("provenance")))
+
+
+SIGNS = ("subagent_path", "cwd_state_dir", "zero_user_turns", "single_user_turn_under_2s")
+
+
+@query(f"""WITH {CUR}, r AS (SELECT s AS source, unnest(list_filter([CASE WHEN parent_id IS NOT NULL THEN 'subagent_path' END, CASE WHEN contains(coalesce(cwd, ''), '/.cache/') THEN 'cwd_state_dir' END, CASE WHEN user_turns = 0 THEN 'zero_user_turns' END, CASE WHEN user_turns = 1 AND duration_s < 2.0 THEN 'single_user_turn_under_2s' END], lambda x: x IS NOT NULL)) AS rule FROM cur)
+SELECT source, rule, count(*) AS sessions FROM r GROUP BY ALL""")
+def rule_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each sign of who held a session fired, by source."""
+    from ledgerloom.functions.text import provenance_rules
+
+    no = F.lit(False)
+    rows = current(spark, folder)
+    fired = provenance_rules(F.col("parent_id").isNotNull(), no, no, no, no, F.coalesce("cwd", F.lit("")).contains("/.cache/"), F.col("user_turns"), F.col("duration_s"))
+    told = rows.select(label("source").alias("source"), F.explode(fired).alias("rule")).where(F.col("rule") != "default_human")
+    return told.groupBy("source", "rule").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+SURVEY = f"""{MEASURED}, old AS (SELECT * FROM fine WHERE ingested_at < TIMESTAMP '2026-07-01'),
+r AS (SELECT s, w, sum(w) OVER (PARTITION BY s ORDER BY w DESC, session_id ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY s ORDER BY w DESC, session_id) AS k, sum(w) OVER (PARTITION BY s) AS total, count(*) OVER (PARTITION BY s) AS n FROM old WHERE p IN ('human', 'subagent')),
+gate AS (SELECT s AS source, arg_min(w, k)::BIGINT AS threshold, round(arg_min(run, k) / arg_min(total, k) * 100, 2) AS coverage, round(min(k) / arg_min(n, k) * 100, 2) AS share FROM r WHERE run >= total * 0.85 AND total > 0 GROUP BY s),
+surveyed AS (SELECT c.*, coalesce(threshold, 0) AS threshold, coalesce(coverage, 0) AS coverage, coalesce(share, 0) AS share FROM (SELECT s AS source, count(*) AS sessions, count_if(p = 'human') AS human, count_if(p = 'subagent') AS subagent, count_if(p = 'tool-invoked') AS tool_invoked, count_if(source_present = 0) AS irreplaceable, count_if(p IN ('human', 'subagent')) AS conversations FROM old GROUP BY s) c LEFT JOIN gate USING (source))"""
+
+
+def surveyed(spark: SparkSession, folder: str) -> DataFrame:
+    """The survey of what was taken in before July."""
+    return survey.survey(measured(spark, folder).where(F.col("ingested_at") < F.lit("2026-07-01").cast("timestamp_ntz")))
+
+
+@query(f"WITH {SURVEY} SELECT * FROM surveyed")
+def survey_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    return surveyed(spark, folder)
+
+
+def survey_document(spark: SparkSession, folder: str) -> DataFrame:
+    """The survey as one JSON document, whose key order SQL engines write differently; tested against its parts."""
+    return survey.document(surveyed(spark, folder))
+
+
+query()(survey_document)
+
+
+@query(f"""WITH {SURVEY}, live AS (SELECT s AS source, count(*) AS n FROM fine WHERE p IN ('human', 'subagent') GROUP BY s),
+e AS (SELECT f.s AS source, sum(CASE WHEN w >= threshold THEN w ELSE 0 END) / nullif(sum(w), 0) * 100 AS covers, count_if(w >= threshold) / count(*) * 100 AS selects FROM fine f JOIN surveyed v ON v.source = f.s WHERE f.p IN ('human', 'subagent') GROUP BY f.s),
+j AS (SELECT source, v.threshold, v.coverage, v.share, v.conversations AS was, l.n, e.covers, e.selects FROM surveyed v FULL JOIN live l USING (source) LEFT JOIN e USING (source)),
+m AS (SELECT *, coalesce(was, 0) / (SELECT sum(was) FROM j) * 100 AS p0, coalesce(n, 0) / (SELECT sum(n) FROM j) * 100 AS p1 FROM j)
+SELECT source, 'new-source' AS finding, 0.0::DOUBLE AS was, n::DOUBLE AS now FROM m WHERE was IS NULL
+UNION ALL SELECT source, 'coverage', round(coverage, 2), round(covers, 2) FROM m WHERE threshold > 0 AND abs(covers - coverage) > 5
+UNION ALL SELECT source, 'selection', round(share, 2), round(selects, 2) FROM m WHERE threshold > 0 AND abs(selects - share) > 10
+UNION ALL SELECT source, 'mix', round(p0, 2), round(p1, 2) FROM m WHERE abs(p1 - p0) > 10
+UNION ALL SELECT NULL, CASE WHEN y >= 2 * x THEN 'grew' ELSE 'shrank' END, x, y FROM (SELECT (SELECT sum(sessions) FROM surveyed)::DOUBLE AS x, (SELECT count(*) FROM fine)::DOUBLE AS y) WHERE y >= 2 * x OR y < x""")
+def survey_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """Why the survey of July no longer describes the archive."""
+    return survey.drifted(surveyed(spark, folder), measured(spark, folder))
+
+
+@query(f"""WITH {CUR}, g AS (SELECT s AS source, count(DISTINCT source_path) AS files, floor((epoch(TIMESTAMP '2026-12-01') - floor(min(start_us) / 1000000.0)) / 86400) AS oldest FROM cur GROUP BY s),
+f AS (SELECT lower(trim(source)) AS source, sum(n_failures)::DOUBLE AS failed FROM failure_log GROUP BY 1), j AS (SELECT * FROM g LEFT JOIN f USING (source))
+SELECT source, 'failures' AS finding, failed AS value FROM j WHERE failed > greatest(10, 0.05 * files) UNION ALL SELECT source, 'very-young', oldest FROM j WHERE oldest < 15 UNION ALL SELECT source, 'young', oldest FROM j WHERE oldest BETWEEN 15 AND 39""")
+def file_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that fail often or whose history is young."""
+    rows = current(spark, folder).withColumn("source", label("source"))
+    return survey.file_anomalies(rows, table(spark, folder, "failure_log").withColumn("source", label("source")), "2026-12-01")
+
+
+@query(f"""
+WITH {CUR}, state AS (SELECT source_path, max(words) AS size_bytes FROM cur WHERE ingested_at < TIMESTAMP '2026-09-01' GROUP BY source_path),
+listing AS (SELECT s AS source, source_path, max(words) AS size_bytes FROM cur WHERE source_path IS NOT NULL GROUP BY ALL)
+SELECT source, 'behind' AS finding, count_if(t.size_bytes IS NULL OR t.size_bytes <> l.size_bytes)::DOUBLE AS value FROM listing l LEFT JOIN state t USING (source_path) GROUP BY source HAVING value > 0""")
+def lag_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources the archive is behind of."""
+    from ledgerloom.plans.archive import index_lag
+
+    return survey.lag_anomalies(index_lag(spark, folder), True)

@@ -243,6 +243,14 @@ def pending_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.pending(chunks.chunk(rows, ["session_id"]).select("session_id", "ordinal"), table(spark, folder, "chunk_vectors"), "plover-mini-48")
 
 
+@query(f"{PENDING} SELECT c.session_id, c.ordinal FROM c ANTI JOIN (SELECT * FROM chunk_vectors WHERE model = 'plover-mini-48') v ON v.session_id = c.session_id AND v.ordinal = c.ordinal JOIN cur u ON u.session_id = c.session_id ORDER BY u.started_at DESC NULLS LAST, c.session_id, c.ordinal LIMIT 64")
+def next_pending(spark: SparkSession, folder: str) -> DataFrame:
+    """The batch of chunks that is embedded next."""
+    rows = current_texts(table(spark, folder, "sessions"), ["started_at"])
+    cut = chunks.chunk(rows, ["session_id"]).select("session_id", "ordinal")
+    return vectors.next_pending(cut, table(spark, folder, "chunk_vectors"), "plover-mini-48", rows.select("session_id", "started_at"))
+
+
 @query(f"{PENDING.replace('k <= 400', 'k <= 800').replace('(k - 400) / 320.0', '(k - 800) / 640.0')} SELECT v.model, count(*) AS stale FROM chunk_vectors v ANTI JOIN c ON v.session_id = c.session_id AND v.ordinal = c.ordinal GROUP BY v.model")
 def stale_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors whose chunk is gone after cutting all prose anew into windows of twice the size."""

@@ -1,5 +1,6 @@
 """Operators against hand-made cases, plain Python and the standard library's full-text index."""
 
+import json
 import math
 import random
 import sqlite3
@@ -322,3 +323,28 @@ def test_search_reads_only_its_terms(spark, tmp_path):
     assert "In(term, [word3])" in plan or "EqualTo(term,word3)" in plan
     assert "body" not in plan.split("== Physical Plan ==")[1] and hits.count() == sum(i % 7 == 3 for i in range(500))
     assert hits.count() == search.matches(kept, search.parse('"word3 tail"')).count()
+
+
+def test_survey_document_and_drift(spark):
+    rows = [("a", "human", 10 * i, 1) for i in range(1, 11)] + [("a", "tool-invoked", 5, 0), ("b", "subagent", 7, 1)]
+    frame = spark.createDataFrame(rows, "source string, provenance string, w int, source_present int")
+    told = survey.survey(frame)
+    got = {r.source: r for r in told.collect()}
+    assert got["a"].conversations == 10 and got["a"].tool_invoked == 1 and got["a"].irreplaceable == 1 and got["a"].coverage >= 85 and got["b"].threshold == 7
+    document = json.loads(survey.document(told).first().document)
+    assert document["sessions"] == 12 and [s["source"] for s in document["sources"]] == ["a", "b"] and document["sources"][0]["report"]["human"] == 10
+    assert survey.drifted(told, frame).collect() == []
+    more = frame.unionByName(spark.createDataFrame([("c", "human", 1, 1)] * 20 + [("a", "human", 1, 1)] * 10, frame.schema))
+    found = {(r.source, r.finding) for r in survey.drifted(told, more).collect()}
+    assert {("c", "new-source"), ("a", "selection"), (None, "grew"), ("a", "mix")} <= found and ("a", "coverage") not in found
+    assert [(r.source, r.finding) for r in survey.drifted(told, frame.where("source = 'b'")).collect() if r.source is None] == [(None, "shrank")]
+    empty = frame.where("false")
+    assert survey.survey(empty).collect() == [] and [r.finding for r in survey.drifted(told, empty).collect() if r.source is None] == ["shrank"]
+
+
+def test_why_tells_work_that_was_never_committed(spark):
+    sessions = spark.createDataFrame([("f", "/x/other", "2026-01-01T00:00:00", "2026-01-01T02:00:00"), ("r", "/x/Repo", "2026-01-01T00:30:00", None), ("u", "/x/repo", "2026-02-01T00:00:00", "2026-02-01T01:00:00"), ("n", None, None, None)], "session_id string, cwd string, started_at string, ended_at string")
+    files = spark.createDataFrame([("f", "/home/Repo/a.py", "a.py"), ("u", "a.py", "a.py"), ("n", "a.py", "a.py"), ("n", "a.py", "a.py")], "session_id string, path string, basename string")
+    commits = spark.createDataFrame([("c1", "repo", "2026-01-01 01:00:00"), ("c2", "REPO", "2026-01-01 00:30:00"), ("c3", "repo", "2025-01-01 00:00:00"), ("c4", "elsewhere", "2026-01-01 01:00:00")], "commit_id string, repo string, at string")
+    got = {(r.commit_id, r.session_id, r.confidence) for r in places.why(commits, sessions, files, "a.py", "repo").collect()}
+    assert got == {("c1", "f", "touched-file"), ("c2", "f", "touched-file"), ("c2", "r", "touched-repo"), ("c3", None, None), (None, "u", "uncommitted"), (None, "n", "uncommitted")}
