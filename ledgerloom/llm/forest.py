@@ -1,14 +1,17 @@
 """The most similar vectors for every vector: a hash-prefix forest.
 
 Each tree hashes a vector to a long string of bits, the sides of random hyperplanes through the
-mean of the data, and keeps the vectors as an array sorted by that string. In a sorted array the
-longest common prefixes of a vector are its nearest neighbours on either side, of whatever length
-the density there allows; going outwards is going up the prefix tree. All trees are ascended in
-step, each giving its ``ascend`` nearest in both directions, so a vector sees the candidates of the
-longest prefixes of every tree first and of ever shorter ones after them.
-
-The arrays are cut into slices of a few thousand vectors at quantiles of the hash strings, taken
-from a bounded sample; equal strings at a cut are dealt out over the slices that meet there, so
+mean of the data, and keeps the vectors as an array sorted by that string, in which those that
+share a prefix with a vector, of whatever length, lie around it. Descending to a vector's longest
+match in a tree and ascending again, a prefix of each length is met by ever more vectors. All trees
+are ascended together: each tells at which length it has met as many as are asked for of a tree, and
+the mean of these lengths over the trees, a length of the vector's own that follows the density
+around it, is the one down to which every tree is then ascended; all vectors that share so long a
+prefix in any tree are its candidates.
+
+The arrays are cut into slices of a few thousand vectors near quantiles of the hash strings, taken
+from a bounded sample, each at the shortest prefix there, so that prefixes of the lengths ascended
+to are hardly ever divided; equal strings at a cut are dealt out over the slices that meet there, so
 no slice grows with a hot string. Slices carry vectors in 8 bits a dimension; the candidates they
 name are scored again with the vectors themselves.
 
@@ -78,6 +81,25 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of hash strings."""
+    differ = a ^ b
+    high = differ >> 31
+    # exact in doubles, as each half has 32 bits at most
+    bits = np.where(high > 0, 31 + np.frexp(high.astype(np.float64))[1], np.frexp((differ & (2**31 - 1)).astype(np.float64))[1])
+    return (HASH_BITS - bits).astype(np.int16)
+
+
+def cuts(strings: np.ndarray, slices: int) -> np.ndarray:
+    """Bounds of ``slices`` slices of sorted strings, each the shortest prefix within a quarter of a slice around its quantile."""
+    if slices < 2:
+        return np.empty(0, np.int64)
+    at, n = np.arange(1, slices) / slices, len(strings)
+    low, high = (strings[np.clip(((at + d / slices) * n).astype(np.int64), 0, n - 1)] for d in (-0.25, 0.25))
+    below = np.maximum(HASH_BITS - shared_bits(low, high).astype(np.int64) - 1, 0)  # bits behind the first one that differs
+    return np.where(low < high, (high >> below) << below, high)
+
+
 class Forest:
     """Hyperplanes, mean and slice bounds of one model's trees."""
 
@@ -86,9 +108,8 @@ class Forest:
         self.planes = np.random.default_rng([SEED, dim]).standard_normal((dim, trees * HASH_BITS)).astype(np.float32)
         self.mean = sample.mean(axis=0) if len(sample) > 1 else np.zeros(dim, np.float32)
         self.trees, self.slices, self.first = trees, slices, first
-        at = np.arange(1, slices) / slices
-        strings = self.strings(sample)
-        self.bounds = [np.quantile(strings[:, t], at, method="inverted_cdf") if slices > 1 else np.empty(0, np.int64) for t in range(trees)]
+        strings = np.sort(self.strings(sample), axis=0)
+        self.bounds = [cuts(strings[:, t], slices) for t in range(trees)]
 
     def strings(self, rows: np.ndarray) -> np.ndarray:
         """[vector, tree] -> its hash string as a number."""
@@ -126,8 +147,19 @@ def plant(classes: DataFrame, forests: dict[str, Forest]) -> DataFrame:
     return classes.mapInArrow(run, "slice int, string long, id long, code binary")
 
 
-def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, keep: int, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of ids met while ascending from each place of a slice's sorted array, and their rough cosines.
+def own_levels(strings: np.ndarray, wanted: int) -> np.ndarray:
+    """For each of a tree's sorted strings the longest prefix it shares with at least ``wanted`` of them, itself included."""
+    n = len(strings)
+    if n <= wanted:
+        return np.zeros(n, np.int16)
+    shared = shared_bits(strings[:-1], strings[1:])
+    runs = np.lib.stride_tricks.sliding_window_view(shared, wanted - 1).min(axis=1)  # of each run of ``wanted`` places the prefix they share
+    padded = np.concatenate((np.full(wanted - 1, -1, np.int16), runs, np.full(wanted - 1, -1, np.int16)))
+    return np.lib.stride_tricks.sliding_window_view(padded, wanted).max(axis=1)
+
+
+def climb(code: np.ndarray, strings: np.ndarray, ids: np.ndarray, levels: np.ndarray, least: float | None, keep: int, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids that share a prefix as long as either's level, in a slice's sorted array, and their rough cosines.
 
     With ``least`` those whose rough cosine may reach it; else each vector's ``keep`` best. Vectors
     that meet more than ``crowd`` of such are told by a pair with themselves, and pairs of two of
@@ -136,33 +168,54 @@ def climb(code: np.ndarray, ids: np.ndarray, ascend: int, least: float | None, k
     width = code.shape[1] - 4
     rows = code[:, :width].view(np.int8).astype(np.float32) * np.ascontiguousarray(code[:, width:]).view("<f4")
     n, left, right, rough = len(ids), [], [], []
-    if least is None:
-        sims = np.full((n, 2 * ascend), -2, dtype=np.float32)
-    for step in range(1, min(ascend, n - 1) + 1):
-        dots = np.einsum("ij,ij->i", rows[:-step], rows[step:])
-        if least is None:
-            sims[:-step, step - 1] = dots
-            sims[step:, ascend + step - 1] = dots
-        else:
-            hit = np.flatnonzero(dots >= least - ROUGH)
-            left.append(hit)
-            right.append(hit + step)
+    shared = shared_bits(strings[:-1], strings[1:])
+    prefix, places = shared, np.arange(n - 1)
+    for step in range(1, n):
+        # places whose prefix, common to all on the way, is as long as one of the two ascends to
+        if step > 1:
+            more = places + step < n
+            places, prefix = places[more], prefix[more]
+            prefix = np.minimum(prefix, shared[places + step - 1])
+        reach = prefix >= np.minimum(levels[places], levels[places + step])
+        going = prefix >= levels.min()
+        if not going.any():
+            break
+        at = places[reach]
+        if len(at):
+            dots = np.einsum("ij,ij->i", rows[at], rows[at + step])
+            hit = np.flatnonzero(dots >= least - ROUGH) if least is not None else np.arange(len(at))
+            left.append(at[hit])
+            right.append(at[hit] + step)
             rough.append(dots[hit])
-    if least is None:
-        best = np.argpartition(-sims, min(keep, 2 * ascend) - 1, axis=1)[:, :keep]
-        near = np.take_along_axis(sims, best, axis=1)
-        good = near > -2
-        place = np.arange(n)[:, None] + np.where(best < ascend, best + 1, ascend - 1 - best)
-        return np.repeat(ids, good.sum(axis=1)), ids[place[good]], near[good]
+        places, prefix = places[going], prefix[going]
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
     a, b, rough = np.concatenate(left), np.concatenate(right), np.concatenate(rough)
+    if least is None:
+        who, other, score = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((rough, rough))
+        order = np.lexsort((-score, who))
+        who, other, score = who[order], other[order], score[order]
+        best = np.arange(len(who)) - np.searchsorted(who, who) < keep
+        return ids[who[best]], ids[other[best]], score[best]
     crowded = np.bincount(a, minlength=n) + np.bincount(b, minlength=n) > crowd
     open_ = ~(crowded[a] & crowded[b])
     own = np.flatnonzero(crowded)
     return ids[np.concatenate((a[open_], own))], ids[np.concatenate((b[open_], own))], np.concatenate((rough[open_], np.ones(len(own), np.float32)))
 
 
+def levels_of(planted: DataFrame, ascend: int, tasks: int) -> DataFrame:
+    """(slice, id, level): for each vector the prefix length to which its trees ascend together."""
+
+    def one(part: pa.Table) -> pa.Table:
+        strings, ids = part.column("string").to_numpy(), part.column("id").to_numpy()
+        order = np.argsort(strings, kind="stable")
+        return pa.table({"slice": pa.array(np.full(len(ids), part.column("slice")[0].as_py(), np.int32)), "id": ids[order], "own": own_levels(strings[order], 2 * ascend + 1)})
+
+    told = planted.groupBy("slice").applyInArrow(one, "slice int, id long, own short")
+    mean = F.floor(F.avg("own").over(Window.partitionBy("id"))).cast("short")
+    return told.select("slice", "id", mean.alias("level")).repartition(tasks, "slice")
+
+
 def candidates(planted: DataFrame, slices: int, ascend: int, least: float | None, keep: int, crowd: int) -> DataFrame:
     """Distinct candidate pairs (id, other), the smaller id first; with ``least`` also (id, id) for vectors in a crowd.
 
@@ -170,25 +223,32 @@ def candidates(planted: DataFrame, slices: int, ascend: int, least: float | None
     vectors are fetched for the exact scores; an id has at most ``keep`` from each tree.
     """
 
-    def one(part: pa.Table) -> pa.Table:
-        strings = part.column("string").to_numpy()
-        code = part.column("code").combine_chunks()
-        code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
-        width = len(code[0].as_py())
-        start = code.offset * width
-        data = np.frombuffer(code.buffers()[2], np.uint8)[start : start + len(code) * width].reshape(-1, width)
-        order = np.argsort(strings, kind="stable")
-        a, b, rough = climb(data[order], part.column("id").to_numpy()[order], ascend, least, keep, crowd)
+    def one(part: pa.Table, told: pa.Table) -> pa.Table:
+        none = np.empty(0, np.int64)
+        a, b, rough = none, none, np.empty(0, np.float32)
+        if part.num_rows > 1:
+            strings, ids = part.column("string").to_numpy(), part.column("id").to_numpy()
+            code = part.column("code").combine_chunks()
+            code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
+            width = len(code[0].as_py())
+            start = code.offset * width
+            data = np.frombuffer(code.buffers()[2], np.uint8)[start : start + len(code) * width].reshape(-1, width)
+            of, level = told.column("id").to_numpy(), told.column("level").to_numpy()
+            by_id = np.argsort(of)
+            order = np.argsort(strings, kind="stable")
+            mine = level[by_id[np.searchsorted(of[by_id], ids[order])]]
+            a, b, rough = climb(data[order], strings[order], ids[order], mine, least, keep, crowd)
         if least is not None:
             return pa.table({"id": np.minimum(a, b), "other": np.maximum(a, b)})
         return pa.table({"id": a, "other": b, "rough": rough})
 
-    # a few slices a task, however many there are, whatever the session's number of partitions
-    planted = planted.repartition(max(1, min(slices // 4, MOST_TASKS)), "slice")
+    # a few slices a task, however many there are, whatever the session's number of partitions; both passes over the slices share one shuffle
+    tasks = max(1, min(slices // 4, MOST_TASKS))
+    planted = planted.repartition(tasks, "slice")
+    both = planted.groupBy("slice").cogroup(levels_of(planted, ascend, tasks).groupBy("slice"))
     if least is not None:
-        return planted.groupBy("slice").applyInArrow(one, "id long, other long").distinct()
-    met = planted.groupBy("slice").applyInArrow(one, "id long, other long, rough float")
-    return best_pairs(met, keep)
+        return both.applyInArrow(one, "id long, other long").distinct()
+    return best_pairs(both.applyInArrow(one, "id long, other long, rough float"), keep)
 
 
 def best_pairs(met: DataFrame, keep: int) -> DataFrame:
@@ -398,7 +458,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float | None = None, trees: i
     pairs = keys.join(lists, "id").where((F.col("session_id") != F.col("other_session_id")) | (F.col("ordinal") != F.col("other_ordinal")))
     chunk = ["model", "session_id", "ordinal"]
     pairs = pairs.groupBy(*chunk, "other_session_id", "other_ordinal").agg(F.max("cosine").alias("cosine"))
-    closest = Window.partitionBy(*chunk).orderBy(F.desc("cosine"), "other_session_id", "other_ordinal")
+    closest = Window.partitionBy(*chunk).orderBy(F.desc(F.round("cosine", 9)), "other_session_id", "other_ordinal")
     return pairs.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)
 
 

@@ -45,7 +45,7 @@ WITH u AS (
   SELECT a.model, a.session_id, a.ordinal, b.session_id AS other_session_id, b.ordinal AS other_ordinal, max(list_cosine_similarity(a.v, b.v)) AS cosine
   FROM u a JOIN u b ON a.model = b.model AND len(a.v) = len(b.v) AND (a.session_id <> b.session_id OR a.ordinal <> b.ordinal) GROUP BY ALL
 ), best AS (
-  SELECT *, row_number() OVER (PARTITION BY model, session_id, ordinal ORDER BY cosine DESC, other_session_id, other_ordinal)::INT AS rank FROM pairs QUALIFY rank <= 5
+  SELECT *, row_number() OVER (PARTITION BY model, session_id, ordinal ORDER BY round(cosine, 9) DESC, other_session_id, other_ordinal)::INT AS rank FROM pairs QUALIFY rank <= 5
 )"""
 
 ORACLE: dict[str, str] = {

@@ -487,3 +487,38 @@ def test_the_last_tokens_of_a_text_are_whole():
     tokens = truncation.Tokens()
     text = "one two three " + "z" * 900
     assert truncation.tail_facts(text, tokens)[0] == "z" * 900
+
+
+def test_shared_bits_and_cuts():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**62, 3000) * 2 + rng.integers(0, 2, 3000)
+    b = a ^ (1 << rng.integers(0, 63, 3000)) ^ np.where(rng.random(3000) < 0.1, 0, 0)
+    text = lambda x: format(int(x), "063b")
+    expected = [next((i for i in range(63) if text(x)[i] != text(y)[i]), 63) for x, y in zip(a, b)]
+    assert forest.shared_bits(a, b).tolist() == expected and (forest.shared_bits(a, a) == 63).all()
+    strings = np.sort(a)
+    bounds = forest.cuts(strings, 12)
+    sizes = np.diff(np.concatenate(([0], np.searchsorted(strings, bounds), [len(strings)])))
+    assert (np.diff(bounds) > 0).all() and sizes.min() > 100 and sizes.max() < 500
+    assert all(text(x)[12:] == "0" * 51 for x in bounds)  # short prefixes
+
+
+def test_levels_follow_density():
+    dense, sparse = np.arange(1000), (np.arange(1, 200) << 52) + 12345
+    strings = np.sort(np.concatenate((dense, sparse)))
+    levels = forest.own_levels(strings, 17)
+    for i in range(0, len(strings), 37):
+        shared = forest.shared_bits(np.full(len(strings), strings[i]), strings)
+        assert levels[i] == max(x for x in range(64) if (shared >= x).sum() >= 17)
+    assert levels[:1000].min() > levels[1100:].max()
+
+
+def test_an_ascent_meets_all_that_share_a_prefix():
+    rng = np.random.default_rng(2)
+    strings, ids = np.sort(rng.integers(0, 2**63 - 1, 300)), np.arange(300)
+    code = np.concatenate((np.full((300, 4), 64, np.uint8), np.tile(np.float32([1 / 127]).view(np.uint8), (300, 1))), axis=1)
+    levels = rng.integers(2, 9, 300).astype(np.int16)
+    a, b, _ = forest.climb(code, strings, ids, levels, -1.0, 5, 10**9)
+    got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    shared = lambda i, j: forest.shared_bits(strings[i : i + 1], strings[j : j + 1])[0]
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if shared(i, j) >= min(levels[i], levels[j])}
