@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors that are scored against the table at once.
-BLOCK = 2_000
+#: Bytes of query vectors that go out in one pass over the table, and how many of them are scored at once.
+BLOCK_BYTES = 64_000_000
+AT_ONCE = 2_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,19 +63,20 @@ def stale(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str, vec: str, exclude_self: bool = True) -> DataFrame:
     """query, other, cosine, rank: the k most similar vectors of the whole table for each of a stated set of queries.
 
-    Queries go out in blocks of at most BLOCK; each partition scores a block by one matrix product
-    and hands on its own k best of each query, so what is shuffled is k rows a query and partition.
+    Queries go out in blocks of BLOCK_BYTES (125,000 of 64 values), each of which takes one pass;
+    a partition scores AT_ONCE of a block at a time by one matrix product and hands on its own k best of each query, so what is shuffled is k rows a query and partition.
     Ties go to the smaller key. Vectors that are unusable are in neither set.
     """
     spark = vectors.sparkSession
     key_type = dict(vectors.dtypes)[key]
     rows = sound(vectors, vec, None).select(F.col(key).alias("_key"), F.col(vec).alias("_vec"))
     asked = sound(queries, vec, None).select(F.col(key).alias("_key"), F.col(vec).alias("_vec"))
-    blocks = max(1, -(-asked.count() // BLOCK))
+    size = asked.agg(F.sum(F.size("_vec") * 8)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
     found = None
     for block in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == block)
-        got = mine.collect()  # about BLOCK vectors
+        got = mine.collect()  # about BLOCK_BYTES
         names = [r["_key"] for r in got]
         matrix = np.array([r["_vec"] for r in got], dtype=np.float64)
         if len(matrix):
@@ -89,16 +91,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str, vec: str, ex
                 theirs = np.stack(batch["_vec"].to_numpy()).astype(np.float64)
                 theirs /= np.linalg.norm(theirs, axis=1, keepdims=True)
                 keys = batch["_key"].to_numpy()
-                sims = np.round(matrix @ theirs.T, 12)
-                n = min(k + 1, len(keys))
-                floor = np.partition(sims, len(keys) - n, axis=1)[:, len(keys) - n]
-                q, at = np.nonzero(sims >= floor[:, None])
-                order = np.lexsort((keys[at], -sims[q, at], q))
-                q, at = q[order], at[order]
-                first = np.searchsorted(q, q)  # where each query's candidates begin
-                best = np.arange(len(q)) - first < n
-                q, at = q[best], at[best]
-                yield pd.DataFrame({"query": np.array(names)[q], "other": keys[at], "cosine": sims[q, at]})
+                for first in range(0, len(names), AT_ONCE):
+                    own = names[first : first + AT_ONCE]
+                    sims = np.round(matrix[first : first + AT_ONCE] @ theirs.T, 12)
+                    n = min(k + 1, len(keys))
+                    floor = np.partition(sims, len(keys) - n, axis=1)[:, len(keys) - n]
+                    q, at = np.nonzero(sims >= floor[:, None])
+                    order = np.lexsort((keys[at], -sims[q, at], q))
+                    q, at = q[order], at[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < n  # counted from where each query's candidates begin
+                    q, at = q[best], at[best]
+                    yield pd.DataFrame({"query": np.array(own)[q], "other": keys[at], "cosine": sims[q, at]})
 
         part = rows.mapInPandas(run, f"query {key_type}, other {key_type}, cosine double")
         found = part if found is None else found.unionByName(part)

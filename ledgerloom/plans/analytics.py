@@ -134,9 +134,9 @@ g AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, min(ts) AS started, count(*) AS events FROM g GROUP BY user_id, k""")
 def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Visits: a user's events with less than half an hour between them."""
-    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    visits = events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("started"))
-    return visits.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "events")
+    from ledgerloom.streaming.ingest import visits
+
+    return visits(table(spark, folder, "events")).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "events")
 
 
 @query("""

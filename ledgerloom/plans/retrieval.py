@@ -50,7 +50,7 @@ def document_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return chunks.chunk(documents, ["session_id"]), documents.select("session_id", "started_at")
 
 
-_KEPT: dict[tuple[str, str, bool], str] = {}
+_KEPT: dict[tuple[str, str, bool], search.Index] = {}
 
 
 def document_index(spark: SparkSession, folder: str, stems: bool = False) -> search.Index:
@@ -59,8 +59,8 @@ def document_index(spark: SparkSession, folder: str, stems: bool = False) -> sea
     if key not in _KEPT:
         where = temporary_folder(spark, "index")
         search.write_index(search.build_index(document_chunks(spark, folder)[0], stems), where)
-        _KEPT[key] = where
-    return search.read_index(spark, _KEPT[key])
+        _KEPT[key] = search.read_index(spark, where)
+    return _KEPT[key]
 
 
 def found(spark: SparkSession, folder: str, raw: str, expand: bool = False, stems: bool = False) -> DataFrame:
@@ -445,8 +445,8 @@ def conversation_index(spark: SparkSession, folder: str) -> search.Index:
         where = temporary_folder(spark, "index")
         prose = current_texts(table(spark, folder, "sessions")).join(conversations(spark, folder).select("session_id"), "session_id", "left_semi")
         search.write_index(search.build_index(chunks.chunk(prose, ["session_id"])), where)
-        _KEPT[key] = where
-    return search.read_index(spark, _KEPT[key])
+        _KEPT[key] = search.read_index(spark, where)
+    return _KEPT[key]
 
 
 @query(f"""WITH {CUR}, {SPOKEN}, {bm25({'a': forms('coverage'), 'b': forms('gate', 'gates', 'gated', 'gating')}, 'a > 0 AND b > 0')}, {excerpts('coverage', 'gates')}

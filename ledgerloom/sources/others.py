@@ -28,11 +28,9 @@ def read_prose(spark: SparkSession, folder: str, default_source: str = "claude")
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("source_path"))
     head = F.regexp_extract("value", r"^((?:#[^\n]*(?:\n|$))*)", 1)
     body = F.btrim(F.expr("substring(value, length(_head) + 1)"), F.lit("\n"))
-    # the last entry of a key wins in a map, so entries are taken from the back
     pairs = F.filter(F.transform(F.split("_head", "\n"), lambda line: F.struct(F.lower(F.trim(F.regexp_extract(line, r"^#([^:]*):", 1))).alias("key"), F.trim(F.regexp_extract(line, r"^#[^:]*:(.*)$", 1)).alias("value"))), lambda p: p["key"] != "")
-    firsts = F.filter(F.col("_pairs"), lambda p: F.lit(True))
     with_head = files.withColumn("_head", head).withColumn("_pairs", pairs).withColumn("_body", body)
-    at = lambda key: F.nullif(F.element_at(F.concat(F.transform(F.filter(firsts, lambda p: p["key"] == key), lambda p: p["value"]), F.array(F.lit(""))), 1), F.lit(""))
+    at = lambda key: F.nullif(F.element_at(F.concat(F.transform(F.filter(F.col("_pairs"), lambda p: p["key"] == key), lambda p: p["value"]), F.array(F.lit(""))), 1), F.lit(""))
     got = with_head.select("source_path", F.regexp_replace(F.substring_index("source_path", "/", -1), r"\.txt$", "").alias("_stem"), F.col("_body").alias("text"), F.size("_pairs").alias("_n"), *[at(k).alias(f"_{k}") for k in ("session", "kind", "project", "parent", "cwd", "branch", "model", "title", "name", "source", "start", "end", "turns")])
     stem = F.coalesce("_project", "_stem")
     identity = F.coalesce("_session", F.when(F.col("_kind").isNotNull(), F.concat("_kind", F.lit(":"), stem)).otherwise(stem))
