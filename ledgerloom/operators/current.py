@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +35,24 @@ def current_rows(sessions: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def current_texts(sessions: DataFrame, columns: list[str] = [], text: str = "text") -> DataFrame:
-    """session_id, ``text`` and ``columns`` of each session's current row, without a shuffle of prose.
+    """session_id, ``text`` and ``columns`` of each session's current row, whose prose goes through no aggregation.
 
-    The current version is found by time, words and a hash of its prose, and the rows are then kept
-    where they lie by a join with these marks; exact copies count once, by a partition and row
-    number that the marks carry.
+    The current version is found by time, words, a hash of its prose and the row's place in its file
+    (which tells exact copies apart), and kept by a semi-join with these narrow marks: where they are
+    small enough to be broadcast, no prose is shuffled at all, else each row once. Rows that come
+    from no file have no place; copies among them are dropped afterwards.
     """
-    place = F.struct(F.coalesce(F.col("words"), F.lit(-(2**31))).alias("w") if "words" in sessions.columns else F.lit(0).alias("w"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("at"))
-    rows = sessions.where(F.col("session_id").isNotNull()).select("session_id", "updated_at", place.alias("_place"), text, *[c for c in columns if c not in ("session_id", "updated_at", text)])
-    marks = rows.groupBy("session_id").agg(F.max(F.struct("updated_at", "_place")).alias("_m")).select(F.col("session_id").alias("_id"), F.col("_m._place").alias("_mark"))
-    kept = rows.join(marks, (F.col("session_id") == F.col("_id")) & (F.col("_place") == F.col("_mark")), "left_semi")
-    return kept.drop("_place", "updated_at")
+    words = F.coalesce(F.col("words"), F.lit(-(2**31))) if "words" in sessions.columns else F.lit(0)
+    kept = [c for c in columns if c not in ("session_id", "updated_at", text)]
+    filed = True
+    try:
+        place = [F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")]
+        sessions.select(*place)
+    except AnalysisException:
+        filed = False
+        place = [F.lit(0).cast("long"), F.lit(0).cast("long")]
+    mark = F.struct(words.alias("w"), F.xxhash64(text, *kept).alias("h"), place[0].alias("f"), place[1].alias("i"))
+    rows = sessions.where(F.col("session_id").isNotNull()).select("session_id", "updated_at", mark.alias("_mark"), text, *kept)
+    newest = rows.groupBy(F.col("session_id").alias("_id")).agg(F.max(F.struct("updated_at", "_mark")).alias("_m")).select("_id", F.col("_m.updated_at").alias("_at"), F.col("_m._mark").alias("_of"))
+    found = rows.join(newest, (F.col("session_id") == F.col("_id")) & F.col("updated_at").eqNullSafe(F.col("_at")) & (F.col("_mark") == F.col("_of")), "left_semi").drop("_mark", "updated_at")
+    return found if filed else found.dropDuplicates(["session_id"])

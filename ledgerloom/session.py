@@ -68,11 +68,11 @@ def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def spread(rows):
-    """``rows``, a plain scan, dealt over all cores where its files give it fewer partitions than half of them.
+def spread(rows, scan=None):
+    """``rows`` dealt over all cores where the files of ``scan``, a plain scan (``rows`` itself if none is named), give it fewer partitions than half of them.
 
     A single file that can't be divided would otherwise keep one core busy and the others idle. A
     table of many files comes back as it is, without a shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if 2 * rows.rdd.getNumPartitions() > cores else rows.repartition(cores)
+    return rows if 2 * (rows if scan is None else scan).rdd.getNumPartitions() > cores else rows.repartition(cores)

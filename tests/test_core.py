@@ -302,7 +302,7 @@ def test_model_windows(spark):
     assert got == {"n12000": 1, "n12001": 2, "n23200": 2, "n23201": 3}
 
 
-def test_current_texts_are_one_a_session_without_moving_prose(spark):
+def test_current_texts_are_one_a_session(spark, tmp_path):
     import datetime
 
     day = lambda d: datetime.datetime(2026, 1, d)
@@ -310,6 +310,9 @@ def test_current_texts_are_one_a_session_without_moving_prose(spark):
     frame = spark.createDataFrame(rows * 3, "session_id string, words int, text string, updated_at timestamp").repartition(5)
     assert sorted((r.session_id, r.text) for r in current.current_texts(frame).collect()) == [("a", "new"), ("b", "many"), ("c", None)]
     assert sorted((r.session_id, r.text) for r in current.current_rows(frame, ["text"]).collect()) == [("a", "new"), ("b", "many"), ("c", None)]
+    frame.write.parquet(str(tmp_path / "s"))  # rows of files are told apart by their places
+    filed = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((r.session_id, r.text) for r in current.current_texts(filed).repartition(7).collect()) == [("a", "new"), ("b", "many"), ("c", None)]
     empty = frame.where("false")
     assert current.current_texts(empty).collect() == []
 
