@@ -517,7 +517,7 @@ def session_kinds(sessions: DataFrame, fields: tuple[str, ...] = ("text", "title
 
 def redacted_sessions(sessions: DataFrame) -> DataFrame:
     """session_id, text and title of the current rows with placeholders for personal information; null and empty fields stay as they are."""
-    rows = current_texts(spread(sessions.select("session_id", "updated_at", *(["words"] if "words" in sessions.columns else []), "text", "title")), ["title"]).select("session_id", "text", "title")
+    rows = spread(current_texts(sessions, ["title"]).select("session_id", "text", "title"), sessions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()

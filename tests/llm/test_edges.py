@@ -70,3 +70,9 @@ def test_defined_results(spark, folders):
     assert got("p4_found") == [("m", "a", 0, "a", 1), ("m", "e", 0, "e", 1)]
     assert got("p6_found") == [(3,)]
     assert got("p7_found") == [(5, 1)]
+
+
+def test_every_session_comes_out_redacted(spark, folders):
+    got = {r.session_id: (r.text, r.title) for r in QUERIES["p3_redacted"](spark, folders["nulls"]).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    assert got["a"][0] == LONG and got["a"][1] == "Call back [PERSON] re: it" and got["b"] == (None, "") and got["c"] == ("", "x")
