@@ -11,11 +11,13 @@ target rank and then counting only that leaf's distinct scores.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.operators.archive import Commits
 from ledgerloom.operators.current import current_rows, label
+from ledgerloom.session import temporary_folder
 
 MANTISSA = 6
 DEPTH = 13  # 63-bit scores need (63 - MANTISSA + 1) * 2**MANTISSA < 2**12 leaves
@@ -51,6 +53,38 @@ def add_trees(*trees: DataFrame) -> DataFrame:
     return first.groupBy(*group, "node").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+class KeptTree:
+    """A tree under a folder, to which batches are added as they come; each is a part that one commit names.
+
+    A batch is counted once: its name is part of the commit, and adding it again changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, group: list[str]):
+        self.spark, self.group, self.commits = spark, group, Commits(spark, folder)
+
+    def add(self, name: str, scores: DataFrame, score: str = "score", n: str | None = None) -> bool:
+        """Adds a batch's node counts, with ``n`` negative to take records out; False if a batch of this name is there already."""
+        number, batches = self.commits.newest()
+        if name in batches:
+            return False
+        part = f"{self.commits.root}/part-{number + 1:012d}"
+        node_counts(scores, self.group, score, n).write.mode("overwrite").parquet(part)  # of a writer that died before its commit
+        self.commits.commit(number + 1, {**batches, name: [part]})
+        return True
+
+    def tree(self) -> DataFrame:
+        """The tree (group..., node, n) of all batches; at least one must have been added."""
+        parts = sorted({part for of in self.commits.newest()[1].values() for part in of})
+        return add_trees(self.spark.read.parquet(*parts))
+
+    def compact(self) -> None:
+        """Makes one part of all batches, whose names are kept."""
+        number, batches = self.commits.newest()
+        part = f"{self.commits.root}/part-{number + 1:012d}"
+        self.tree().write.mode("overwrite").parquet(part)
+        self.commits.commit(number + 1, {name: [part] for name in batches})
+
+
 def descend(tree: DataFrame, targets: DataFrame, group: list[str], rank: Column) -> DataFrame:
     """``targets`` with n, the leaf (``node``) of the record of ``rank`` from the top, and its rank there (``need``).
 
@@ -108,10 +142,10 @@ def session_scores(sessions: DataFrame) -> DataFrame:
     return rows.select("session_id", label("source").alias("source"), label("provenance").alias("provenance"), F.col("words").cast("long").alias("score"))
 
 
-def session_cutoffs(sessions: DataFrame, targets: DataFrame) -> DataFrame:
-    """Cutoffs of ``sessions.words`` for ``keep_targets`` (source, provenance, keep_pct)."""
+def session_cutoffs(sessions: DataFrame, targets: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """Cutoffs of ``sessions.words`` for ``keep_targets`` (source, provenance, keep_pct), from a kept ``tree`` if one is given."""
     named = targets.select(label("source").alias("source"), label("provenance").alias("provenance"), F.struct("source", "provenance").alias("_as"), "keep_pct")
-    found = cutoffs(session_scores(sessions), named, ["source", "provenance"])
+    found = cutoffs(session_scores(sessions), named, ["source", "provenance"], tree=tree)
     return found.select("source", "provenance", "_as", "keep_pct", "n", "cutoff", "kept")
 
 
@@ -124,3 +158,16 @@ def kept_sessions(sessions: DataFrame, targets: DataFrame) -> DataFrame:
     cuts = session_cutoffs(sessions, targets).select("source", "provenance", "_as", "cutoff")
     kept = session_scores(sessions).where(F.col("score") >= 0).join(cuts, ["source", "provenance"]).where(F.col("score") >= F.col("cutoff"))
     return kept.select("_as.source", "_as.provenance", "session_id").distinct()
+
+
+def cutoffs_of_batches(sessions: DataFrame, targets: DataFrame) -> DataFrame:
+    """What session_cutoffs() gives, from a kept tree that got the sessions in batches by length, one of them wrongly twice and once taken out again."""
+    spark, scores = sessions.sparkSession, session_scores(sessions)
+    kept = KeptTree(spark, temporary_folder(spark, "tree"), ["source", "provenance"])
+    kept.add("short", scores.where("score < 300"))
+    kept.add("long", scores.where("score >= 300"))
+    kept.add("long", scores.where("score >= 300"))  # counts once
+    kept.add("again", scores.where("score >= 300"))
+    kept.add("undone", scores.where("score >= 300").withColumn("_n", F.lit(-1)), n="_n")
+    kept.compact()
+    return session_cutoffs(sessions, targets, kept.tree())

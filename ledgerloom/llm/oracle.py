@@ -51,6 +51,7 @@ WITH u AS (
 ORACLE: dict[str, str] = {
     "p1_found": CUTS + " SELECT DISTINCT c.source, c.provenance, d.session_id FROM cuts c JOIN scored d ON d.s = c.s AND d.p = c.p AND d.words >= c.cutoff",
     "p1_cutoffs": CUTS + " SELECT source, provenance, keep_pct, n, cutoff::BIGINT AS cutoff, kept FROM cuts",
+    "p1_batches": CUTS + " SELECT source, provenance, keep_pct, n, cutoff::BIGINT AS cutoff, kept FROM cuts",
     "p2_found": f"WITH {CURRENT} SELECT session_id FROM cur WHERE length(text) > 8000 OR len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) > 1000",
     "p2_checked": f"WITH {CURRENT} SELECT session_id, true AS within, true AS whole, true AS repeated, true AS split FROM cur WHERE length(text) > 8000 OR len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) > 1000",
     "p4_neighbors": f"{NEAREST} SELECT model, session_id, ordinal, other_session_id, other_ordinal, rank, round(cosine, 5) AS cosine FROM best",

@@ -22,6 +22,12 @@ def p1_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("_as.source", "_as.provenance", "keep_pct", "n", "cutoff", "kept")
 
 
+def p1_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same cutoffs from a tree that is kept and added to in batches."""
+    found = keep_cutoff.cutoffs_of_batches(table(spark, folder, "sessions"), table(spark, folder, "keep_targets"))
+    return found.select("_as.source", "_as.provenance", "keep_pct", "n", "cutoff", "kept")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitter.split_sessions(table(spark, folder, "sessions"))
 
@@ -90,4 +96,4 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_pieces, p2_checked, p3_found, p3_redacted, p4_found, p4_neighbors, p5_daily, p5_span, p6_found, p6_containers, p6_fill, p6_checked, p7_found, p8_found, p8_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cutoffs, p1_batches, p2_found, p2_pieces, p2_checked, p3_found, p3_redacted, p4_found, p4_neighbors, p5_daily, p5_span, p6_found, p6_containers, p6_fill, p6_checked, p7_found, p8_found, p8_rates)}

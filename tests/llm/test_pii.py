@@ -77,7 +77,7 @@ WRITTEN = [
 
 
 def test_written_sentences():
-    """Recall and precision per text and kind on sentences of another hand; README states the figures."""
+    """Recall and precision per text and kind on sentences none of which is of the training; README states the figures."""
     hit = missed = wrong = 0
     for text, kinds in WRITTEN:
         found = {k for *_, k in pii.find(text)}
