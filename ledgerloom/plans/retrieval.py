@@ -12,7 +12,7 @@ from ledgerloom.operators import chunks, search, vectors
 from ledgerloom.operators.current import current_rows, current_texts, label
 from ledgerloom.operators.filters import Filters, apply
 from ledgerloom.plans.registry import CUR, WS, query
-from ledgerloom.session import spread, table, temporary_folder
+from ledgerloom.session import fingerprint, spread, table, temporary_folder
 
 WORDS = f"list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '')"
 CHUNKS = f"""
@@ -50,12 +50,13 @@ def document_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return chunks.chunk(documents, ["session_id"]), documents.select("session_id", "started_at")
 
 
-_KEPT: dict[tuple[str, str, bool], search.Index] = {}
+#: By application, table as it was, and whether stems are kept.
+_KEPT: dict[tuple, search.Index] = {}
 
 
 def document_index(spark: SparkSession, folder: str, stems: bool = False) -> search.Index:
     """The kept index of a folder's documents, in the shared folder; built by the first search that asks for it."""
-    key = (spark.sparkContext.applicationId, folder, stems)
+    key = (spark.sparkContext.applicationId, fingerprint(spark, folder, "documents"), stems)
     if key not in _KEPT:
         where = temporary_folder(spark, "index")
         search.write_index(search.build_index(document_chunks(spark, folder)[0], stems), where)
@@ -440,7 +441,7 @@ def conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversation_index(spark: SparkSession, folder: str) -> search.Index:
     """The kept index, by stems, of the conversations' prose."""
-    key = (spark.sparkContext.applicationId, f"{folder}#sessions", True)
+    key = (spark.sparkContext.applicationId, fingerprint(spark, folder, "sessions"), True)
     if key not in _KEPT:
         where = temporary_folder(spark, "index")
         prose = current_texts(table(spark, folder, "sessions")).join(conversations(spark, folder).select("session_id"), "session_id", "left_semi")

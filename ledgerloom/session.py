@@ -68,6 +68,14 @@ def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def fingerprint(spark: SparkSession, folder: str, name: str) -> tuple:
+    """What changes when a table is written anew: its path, files, bytes and time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, f"{name}.parquet"))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(path)
+    return path.toString(), size.getFileCount(), size.getLength(), fs.getFileStatus(path).getModificationTime()
+
+
 def spread(rows, scan=None):
     """``rows`` dealt over all cores where the files of ``scan``, a plain scan (``rows`` itself if none is named), give it fewer partitions than half of them.
 

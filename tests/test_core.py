@@ -351,3 +351,17 @@ def test_why_tells_work_that_was_never_committed(spark):
     commits = spark.createDataFrame([("c1", "repo", "2026-01-01 01:00:00"), ("c2", "REPO", "2026-01-01 00:30:00"), ("c3", "repo", "2025-01-01 00:00:00"), ("c4", "elsewhere", "2026-01-01 01:00:00")], "commit_id string, repo string, at string")
     got = {(r.commit_id, r.session_id, r.confidence) for r in places.why(commits, sessions, files, "a.py", "repo").collect()}
     assert got == {("c1", "f", "touched-file"), ("c2", "f", "touched-file"), ("c2", "r", "touched-repo"), ("c3", None, None), (None, "u", "uncommitted"), (None, "n", "uncommitted")}
+
+
+def test_an_index_is_built_anew_for_a_changed_table(spark, tmp_path):
+    import datetime
+
+    from ledgerloom.plans import retrieval
+
+    rows = [(1, "the rate limiter is fine", "s", datetime.datetime(2026, 1, 1), "r")]
+    schema = "doc_id long, text string, source string, captured_at timestamp, repo string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.session_id for r in retrieval.search_all_words(spark, str(tmp_path)).collect()] == ["1"]
+    assert retrieval.document_index(spark, str(tmp_path)) is retrieval.document_index(spark, str(tmp_path))
+    spark.createDataFrame([(2, "a rate for every limiter", "s", None, None)], schema).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.session_id for r in retrieval.search_all_words(spark, str(tmp_path)).collect()) == ["1", "2"]
